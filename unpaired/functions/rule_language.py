@@ -76,14 +76,14 @@ def fields(text: str) -> set[tuple[str, str]]:
     return {(n.value.id, n.attr) for n in ast.walk(parse(text)) if isinstance(n, ast.Attribute)}
 
 
-def compile_rule(text: str, lookup: Callable[[str, str], Column]) -> Column:
+def compile_rule(text: str, lookup: Callable[[str, str], Column | None]) -> Column:
     """A predicate as a Column; ``lookup(entity, field)`` gives a field's column.
 
-    ``lookup`` should give a null for a field that exists nowhere and raise
-    :class:`RuleError` for an unknown entity.
+    ``lookup`` gives None for a field that exists nowhere (it counts as missing in
+    every row) and raises :class:`RuleError` for an unknown entity.
     """
 
-    def build(node: ast.expr) -> Column:
+    def build(node: ast.expr, kind: str = "string") -> Column:
         if isinstance(node, ast.BoolOp):
             join = all_of if isinstance(node.op, ast.And) else any_of
             parts = [build(v) for v in node.values]
@@ -97,9 +97,11 @@ def compile_rule(text: str, lookup: Callable[[str, str], Column]) -> Column:
             links = [COMPARISONS[type(op)](a, b) for op, a, b in zip(node.ops, sides, sides[1:], strict=False)]
             return reduce(lambda right, left: all_of(left, right), reversed(links[:-1]), links[-1])
         if isinstance(node, ast.Call):
-            return FUNCTIONS[node.func.id](*(build(a) for a in node.args))
+            second = "string" if node.func.id == "contains" else "array<string>"
+            return FUNCTIONS[node.func.id](build(node.args[0], "array<string>"), build(node.args[1], second))
         if isinstance(node, ast.Attribute):
-            return lookup(node.value.id, node.attr)
+            found = lookup(node.value.id, node.attr)
+            return F.lit(None).cast(kind) if found is None else found
         return F.lit(node.value)
 
     return build(parse(text))

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unpaired.tables import settle
+
 Types = tuple[str, str]
 
 
@@ -39,6 +41,12 @@ class Graph:
         pairs = None if admissible is None else tuple(sorted({tuple(sorted(p)) for p in admissible}))
         return cls(nodes, own, pairs, name, meta or {})
 
+    def settled(self) -> Graph:
+        """The graph with its tables settled, for the many joins that read them."""
+        own = Graph(settle(self.nodes, "nodes"), settle(self.edges, "edges"), self.admissible, self.name, self.meta)
+        own.__dict__["degrees"] = settle(own.degrees, "degrees")
+        return own
+
     @cached_property
     def adjacency(self) -> DataFrame:
         """Both directions of every edge: (u, v)."""

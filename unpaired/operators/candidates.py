@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from unpaired.functions.hashing import hash52
 from unpaired.graph import Graph
+from unpaired.tables import settle
 
 MAX_POOL = 200_000
 #: Above this many admissible pairs (or twice the pool), pairs are drawn, not listed.
@@ -106,9 +107,9 @@ def generate_candidates(graph: Graph, max_pool: int = MAX_POOL, seed: int = 0) -
     """The candidate pool: the complement if it is small, else a sample of ``max_pool``."""
     size = admissible_sizes(graph).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
     if size > max(ENUMERATE_MAX, 2 * max_pool):
-        return rejection_sample(graph, max_pool, seed)
+        return settle(rejection_sample(graph, max_pool, seed), "pool")
     pool = non_edges(graph, enumerate_pairs(graph))
-    return pool if size <= max_pool else hash_sample(pool, max_pool, seed)
+    return settle(pool if size <= max_pool else hash_sample(pool, max_pool, seed), "pool")
 
 
 def topology_hard_nonedges(pairs: DataFrame, common: str, n: int) -> DataFrame:

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from unpaired.tables import settle
+
 BUCKETS = 64
 
 
 def running_sums(df: DataFrame, order: str, values: list[str], descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """Adds ``cum_<value>``: sums of ``values`` up to and with each row, by distinct ``order``."""
+    df = settle(df, "counts")  # read three times below
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(x) for x in shares]), 1000)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -34,6 +37,7 @@ def running_sums(df: DataFrame, order: str, values: list[str], descending: bool
 
 def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds ``out``: the share of the other rows that are strictly below."""
+    df = settle(df, "ranked")
     counts = running_sums(df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n")), "_v", ["n"])
     total = df.agg(F.count(F.lit(1)).alias("_all"))
     ranked = counts.join(F.broadcast(total)).select("_v", F.when(F.col("_all") > 1, (F.col("cum_n") - F.col("n")) / (F.col("_all") - 1)).otherwise(0.0).alias(out))

@@ -93,11 +93,11 @@ def predicate(rule: Rule, columns: Iterable[str]) -> Column:
     def side(first: str, second: str) -> Column:
         entities = {"a": first, "b": second} | ({t1: first, t2: second} if t1 != t2 else {})
 
-        def lookup(entity: str, field: str) -> Column:
+        def lookup(entity: str, field: str) -> Column | None:
             if entity not in entities:
                 raise RuleError(f"{rule.id}: unknown entity {entity!r}")
             name = f"{entities[entity]}.{field}"
-            return F.col(f"`{name}`") if name in known else F.lit(None)
+            return F.col(f"`{name}`") if name in known else None
 
         return compile_rule(rule.when, lookup)
 

@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 
 from unpaired.functions.hashing import hash52, sha1_order, uniform
 from unpaired.operators.ranking import top
+from unpaired.tables import settle
 
 PROPORTIONS = (0.6, 0.3, 0.1)
 PSM_CAP = 0.7
@@ -146,8 +147,8 @@ def per_entity_cap(pool: DataFrame, n: int, cap: int, by: str = "confidence") ->
         own = left.join(both, ["u", "v"])
         now = own.where(F.col("_r") <= cap).drop("_r", "_c")
         taken = now if taken is None else taken.unionByName(now)
-        left = own.where((F.col("_r") > cap) & (F.col("_c") < cap)).drop("_r", "_c").persist()
-        taken = taken.persist()
+        left = settle(own.where((F.col("_r") > cap) & (F.col("_c") < cap)).drop("_r", "_c"), "left")
+        taken = settle(taken, "taken")
     return taken.orderBy("_order").limit(n).drop("_order")
 
 

@@ -33,13 +33,13 @@ def supply_pairs(spark: SparkSession, sf_dir: str, returned: str = "R", least: i
 
 def supply(spark: SparkSession, sf_dir: str) -> Graph:
     suppliers = table(spark, sf_dir, "supplier").select(key("S", "s_suppkey").alias("id"), F.lit("supplier").alias("type"))
-    return Graph.from_edges(supply_pairs(spark, sf_dir), parts(spark, sf_dir).unionByName(suppliers), [("part", "supplier")], "supply")
+    return Graph.from_edges(supply_pairs(spark, sf_dir), parts(spark, sf_dir).unionByName(suppliers), [("part", "supplier")], "supply").settled()
 
 
 def coorder(spark: SparkSession, sf_dir: str, least: int = 40) -> Graph:
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", key("P", "l_partkey").alias("p"))
     pairs = lines.withColumnRenamed("p", "u").join(lines.withColumnRenamed("p", "v"), "l_orderkey").where("u < v").select("u", "v")
-    return Graph.from_edges(pairs, parts(spark, sf_dir), [("part", "part")], "coorder")
+    return Graph.from_edges(pairs, parts(spark, sf_dir), [("part", "part")], "coorder").settled()
 
 
 def part_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

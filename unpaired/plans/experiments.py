@@ -10,6 +10,7 @@ from unpaired.functions.numeric import ratio, rounded
 from unpaired.graph import Graph
 from unpaired.operators import candidates, fusion, manifold, metrics, ranking, selection, topology
 from unpaired.operators.filters import Context
+from unpaired.tables import settle
 
 FEATURES = ("deg_u", "deg_v", "cn", "jaccard", "aa", "ra", "pref")
 
@@ -19,7 +20,7 @@ def frozen_pool(graph: Graph, max_pool: int, seed: int = 0, pairs: DataFrame | N
     pairs = candidates.generate_candidates(graph, max_pool, seed) if pairs is None else pairs
     own = topology.structured_score(graph, pairs.select("u", "v")).select("u", "v", F.col("value").alias("stream_structured"), (F.col("k_u") + F.col("k_v")).alias("degsum"))
     topo = topology.topology_score(graph, pairs.select("u", "v")).select("u", "v", F.col("value").alias("stream_topology"), F.coalesce("risk", F.lit(0.0)).alias("hardness_raw"), "cn")
-    scored = own.join(topo, ["u", "v"])
+    scored = own.join(topo, ["u", "v"])  # settled by the ranking
     scored = ranking.percent_rank(scored, "hardness_raw", "_r").withColumn("hardness", rounded(F.col("_r"))).drop("_r")
     return scored.withColumn("confidence", fusion.fuse({"structured": F.col("stream_structured"), "topology": F.col("stream_topology")}))
 
@@ -116,13 +117,13 @@ def run_benchmark(graph: Graph, gold: DataFrame | None = None, n: int = 1000, ma
 
     Features and negatives come from the graph of training edges alone.
     """
-    split = random_split(graph.edges, 0.2, seed).persist()
+    split = settle(random_split(graph.edges, 0.2, seed), "split")
     seen = Graph(graph.nodes, split.where("not is_test").select("u", "v"), graph.admissible, graph.name)
     n_test = split.where("is_test").count()
     negatives = candidates.hash_sample(candidates.non_edges(graph, gold.select(F.col("lo").alias("u"), F.col("hi").alias("v"))), n_test, seed) if gold is not None else candidates.rejection_sample(graph, n_test, seed + 1)
     test_pairs = split.where("is_test").select("u", "v", F.lit(1).alias("y")).unionByName(negatives.select("u", "v", F.lit(0).alias("y")))
     positives = candidates.hash_sample(seen.edges, n, seed)
-    pool = frozen_pool(seen, max_pool, seed).persist()
+    pool = settle(frozen_pool(seen, max_pool, seed), "pool")
     if featurizer == "spectral":
         vectors = manifold.spectral_embeddings(seen)
         size = manifold.DIMENSIONS
@@ -131,13 +132,13 @@ def run_benchmark(graph: Graph, gold: DataFrame | None = None, n: int = 1000, ma
     else:
         names = list(FEATURES)
         featurize = lambda p: topology.pair_features(seen, p)
-    test = featurize(test_pairs).persist()
+    test = settle(featurize(test_pairs), "test")
     out = None
     every = arms(pool, seen.edges, n, seed)
     for arm in arm_names:
-        train = featurize(positives.select("u", "v", F.lit(1).alias("y")).unionByName(every[arm].select("u", "v", F.lit(0).alias("y")))).persist()
+        train = settle(featurize(positives.select("u", "v", F.lit(1).alias("y")).unionByName(every[arm].select("u", "v", F.lit(0).alias("y")))), "train")
         for model in models:
-            predictions = fit_predict(train, test, names, model, seed).persist()
+            predictions = settle(fit_predict(train, test, names, model, seed), "predictions")
             row = metrics.auroc(predictions).join(F.broadcast(metrics.average_precision(predictions))).select(F.lit(arm).alias("arm"), F.lit(model).alias("model"), "auroc", "average_precision")
             out = row if out is None else out.unionByName(row)
     return out
@@ -145,7 +146,7 @@ def run_benchmark(graph: Graph, gold: DataFrame | None = None, n: int = 1000, ma
 
 def out_of_fold(rows: DataFrame, features: list[str], folds: int = 5, model: str = "lr", seed: int = 0) -> DataFrame:
     """Each row (u, v, y, features...) scored by a learner that didn't see its fold."""
-    dealt = rows.withColumn("_f", fold(seed, folds, F.col("u"), F.col("v"))).persist()
+    dealt = settle(rows.withColumn("_f", fold(seed, folds, F.col("u"), F.col("v"))), "dealt")
     out = None
     for k in range(folds):
         part = fit_predict(dealt.where(F.col("_f") != k), dealt.where(F.col("_f") == k), features, model, seed)

@@ -14,6 +14,7 @@ from unpaired.operators import candidates, fusion, metrics, ranking, routing, se
 from unpaired.operators.filters import Context, Filter, Stage, build_filters
 from unpaired.operators.judge import Judge
 from unpaired.operators.rules import Rule
+from unpaired.tables import settle
 
 
 @dataclass(frozen=True)
@@ -77,17 +78,19 @@ def run_pipeline(graph: Graph, config: PipelineConfig = PipelineConfig(), filter
     """Matched, scored and explained negative pairs of a graph.
 
     ``context`` carries annotations, further positives, vectors and verdicts. The pool
-    is bounded by ``max_pool``; it is persisted, as evaluation, training and counts
+    is bounded by ``max_pool``; it is settled, as evaluation, training and counts
     all read it.
     """
+    graph = graph.settled()
     context = context or Context(graph)
+    context.graph = graph
     context.seed, context.max_degree = config.seed, config.max_degree
     context.rules = rules if rules is not None else context.rules
     context.judge = judge or context.judge
     filters = filters or build_filters(config.modality, list(config.filters) if config.filters else None)
     for f in filters:
         f.fit(context)
-    pool = candidates.generate_candidates(graph, config.max_pool, config.seed).persist()
+    pool = candidates.generate_candidates(graph, config.max_pool, config.seed)
     kept = pool
     for f in filters:
         if f.stage is Stage.VETO:
@@ -103,9 +106,9 @@ def run_pipeline(graph: Graph, config: PipelineConfig = PipelineConfig(), filter
             scored = scored.join(degrees.select(F.col("id").alias(end), F.col("k").alias(f"_k_{end}")), end, "left")
         scored = scored.withColumn("degsum", F.coalesce("_k_u", F.lit(0)) + F.coalesce("_k_v", F.lit(0))).drop("_k_u", "_k_v")
     if not any(f.provides_hardness for f in graded):
-        scored = scored.withColumn("hardness", F.lit(0.0)).persist()
+        scored = scored.withColumn("hardness", F.lit(0.0))
     else:
-        scored = ranking.percent_rank(scored.persist(), "hardness_raw", "_rank")
+        scored = ranking.percent_rank(scored, "hardness_raw", "_rank")
         scored = scored.withColumn("hardness", F.floor(F.col("_rank") * 10000 + 0.5) / 10000.0).drop("_rank")
     scored = fused(scored, names, config)
     lists = [F.col(c) for c in scored.columns if c.startswith("flags_")]
@@ -114,16 +117,17 @@ def run_pipeline(graph: Graph, config: PipelineConfig = PipelineConfig(), filter
     scored = scored.withColumn("graded_flags", graded_flags)
     pairs = [(a, b) for a, b in config.disagreement_pairs if a in names and b in names]
     scored = scored.withColumn("disagreement", routing.disagreement_flags(pairs, config.disagreement))
-    scored = match_weights(graph, scored, config).persist()
+    scored = settle(match_weights(graph, scored, config), "scored")
 
-    chosen = selection.degree_matched(scored, config.n_eval, "match_weight", config.seed).persist()
+    chosen = settle(selection.degree_matched(scored, config.n_eval, "match_weight", config.seed), "eval")
     positives = None
     if config.train_selection == "psm":
         d = graph.degrees
         positives = graph.edges.join(d.select(F.col("id").alias("u"), F.col("k").alias("a")), "u").join(d.select(F.col("id").alias("v"), F.col("k").alias("b")), "v").select((F.col("a") + F.col("b")).alias("degsum"))
-    train = selection.select_train(scored, config.n_train, chosen, config.train_selection, config.proportions, config.seed, positives, config.psm_cap).persist()
+    train = settle(selection.select_train(scored, config.n_train, chosen, config.train_selection, config.proportions, config.seed, positives, config.psm_cap), "train")
     emitted = chosen.withColumn("mode", F.lit("eval")).unionByName(train.withColumn("mode", F.lit("train")))
 
+    emitted = settle(emitted, "emitted")
     contested = routing.contested(emitted, config.false_negative_pct, cap=config.gated_max)
     gated = [f for f in filters if f.stage is Stage.GATED]
     gated_names = []

@@ -213,7 +213,7 @@ def id_space_mapping(spark, sf_dir):
     return readers.map_pairs(B.supply(spark, sf_dir).edges, part.unionByName(supplier))
 
 
-@query("SELECT 'P' || p_partkey AS node, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(replace(p_type, ' ', ','), ','), x -> lower(trim(x))), x -> x <> ''))), ',') AS compartments FROM part")
+@query("SELECT 'P' || p_partkey AS node, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(replace(p_type, ' ', ','), ','), lambda x: lower(trim(x))), lambda x: x <> ''))), ',') AS compartments FROM part")
 def localization_sets(spark, sf_dir):
     raw = F.replace("p_type", F.lit(" "), F.lit(","))
     return B.table(spark, sf_dir, "part").select(B.key("P", "p_partkey").alias("node"), F.array_join(F.array_sort(readers.clean_set(raw)), ",").alias("compartments"))
@@ -294,8 +294,8 @@ VECTORS = "vec AS (SELECT 'P' || vec_id AS id, CAST(embedding AS DOUBLE[]) AS ve
 
 @query("WITH" + COORDER + f""", {VECTORS},
 p AS (SELECT e.u, e.v, a.vec AS a, b.vec AS b FROM edges e JOIN vec a ON a.id = e.u JOIN vec b ON b.id = e.v)
-SELECT u, v, {r4("list_sum(list_transform(range(1, len(a) + 1), i -> a[i] * b[i]))")} AS dot, {r4("list_sum(list_transform(range(1, len(a) + 1), i -> (a[i] + b[i]) / 2))")} AS avg_sum,
-  {r4("list_sum(list_transform(range(1, len(a) + 1), i -> least(a[i], b[i])))")} AS low_sum, {r4("list_sum(list_transform(range(1, len(a) + 1), i -> abs(a[i] - b[i])))")} AS l1 FROM p""")
+SELECT u, v, {r4("list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i]))")} AS dot, {r4("list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i] + b[i]) / 2))")} AS avg_sum,
+  {r4("list_sum(list_transform(range(1, len(a) + 1), lambda i: least(a[i], b[i])))")} AS low_sum, {r4("list_sum(list_transform(range(1, len(a) + 1), lambda i: abs(a[i] - b[i])))")} AS l1 FROM p""")
 def pair_operators(spark, sf_dir):
     vec = B.embedding_table(spark, sf_dir)
     own = B.coorder(spark, sf_dir).edges.join(vec.select(F.col("id").alias("u"), F.col("vec").alias("a")), "u").join(vec.select(F.col("id").alias("v"), F.col("vec").alias("b")), "v")
@@ -306,10 +306,10 @@ def pair_operators(spark, sf_dir):
 
 
 @query("WITH" + COORDER + f""", {VECTORS},
-known AS (SELECT e.u, e.v, list_transform(range(1, len(a.vec) + 1), i -> a.vec[i] * b.vec[i]) AS rep FROM edges e JOIN vec a ON a.id = e.u JOIN vec b ON b.id = e.v),
-unit AS (SELECT u, v, list_transform(rep, x -> x / sqrt(list_sum(list_transform(rep, y -> y * y)))) AS rep FROM known),
+known AS (SELECT e.u, e.v, list_transform(range(1, len(a.vec) + 1), lambda i: a.vec[i] * b.vec[i]) AS rep FROM edges e JOIN vec a ON a.id = e.u JOIN vec b ON b.id = e.v),
+unit AS (SELECT u, v, list_transform(rep, lambda x: x / sqrt(list_sum(list_transform(rep, lambda y: y * y)))) AS rep FROM known),
 bg AS (SELECT * FROM unit ORDER BY {h("'0:' || u || ':' || v")}, u, v LIMIT 50),
-sims AS (SELECT q.u, q.v, list_sum(list_transform(range(1, len(q.rep) + 1), i -> q.rep[i] * bg.rep[i])) AS s, row_number() OVER (PARTITION BY q.u, q.v ORDER BY list_sum(list_transform(range(1, len(q.rep) + 1), i -> q.rep[i] * bg.rep[i])) DESC) AS r FROM unit q, bg)
+sims AS (SELECT q.u, q.v, list_sum(list_transform(range(1, len(q.rep) + 1), lambda i: q.rep[i] * bg.rep[i])) AS s, row_number() OVER (PARTITION BY q.u, q.v ORDER BY list_sum(list_transform(range(1, len(q.rep) + 1), lambda i: q.rep[i] * bg.rep[i])) DESC) AS r FROM unit q, bg)
 SELECT u, v, {r4("avg(s)")} AS resemblance FROM sims WHERE r <= 10 GROUP BY u, v""")
 def topk_mean_similarity(spark, sf_dir):
     import numpy as np

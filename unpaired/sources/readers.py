@@ -58,7 +58,7 @@ def id_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exploded_map(table: DataFrame) -> DataFrame:
-    targets = F.filter(F.transform(F.split("targets", ","), F.trim), lambda x: x != "")
+    targets = F.filter(F.transform(F.split("targets", ","), lambda x: F.trim(x)), lambda x: x != "")
     return table.select("src", F.explode(targets).alias("dst")).distinct()
 
 
