@@ -94,7 +94,8 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     placed = documents.withColumn("_row", F.monotonically_increasing_id())
     own = placed.select("_row", F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words().alias("_words"))
     taken = keep(mix(own, "_row", "_id", "_source", "_words").where("copies > 0").select("_row", "copies"), "mix-taken")
-    chosen = placed.join(taken, "_row")
+    # the rows taken grow with the input: never a broadcast
+    chosen = placed.join(taken.hint("merge"), "_row")
     return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*documents.columns)
 
 

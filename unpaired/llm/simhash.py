@@ -286,8 +286,13 @@ def document_near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def first_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: a row with the component's smallest key."""
-    near = near_duplicates(documents, key, text)
-    kept = near.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    joined = documents.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return joined.dropDuplicates([key])
+    """One row of each component: that of the smallest key, of equal keys the first.
+
+    ``documents`` must be a table scan: rows are told apart by their place in it. The
+    rows that stay grow with the input, so they are never broadcast.
+    """
+    placed = documents.withColumn("_row", F.monotonically_increasing_id())
+    name = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.col("_row").alias("row"))
+    near = near_duplicates(placed.select(name.alias("_name"), F.col(text).alias("_text")), "_name", "_text")
+    first = near.where(F.col("_name") == F.col("component_id")).select(F.col("_name.row").alias("_row"))
+    return placed.join(first.hint("merge"), "_row", "left_semi").drop("_row")
