@@ -425,10 +425,10 @@ def fuse_entropy(spark, sf_dir):
     return coorder_scored(spark, sf_dir).select("u", "v", fusion.fuse(streams, mode="entropy").alias("confidence"))
 
 
-@query(SUPPLY_SCORED + f" SELECT u, v, {r4('CASE WHEN stream_topology IS NULL THEN 0.0 ELSE abs(stream_structured - stream_topology) / 2 END')} AS spread FROM scored")
+@query(SUPPLY_SCORED + " SELECT u, v, floor(CASE WHEN stream_topology IS NULL THEN 0.0 ELSE abs(stream_structured - stream_topology) / 2 END * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS spread FROM scored")
 def stream_disagreement(spark, sf_dir):
     streams = {"structured": F.col("stream_structured"), "topology": F.col("stream_topology")}
-    return supply_scored(spark, sf_dir).select("u", "v", rounded(fusion.disagreement(streams)).alias("spread"))
+    return supply_scored(spark, sf_dir).select("u", "v", rounded(fusion.disagreement(streams), 6).alias("spread"))
 
 
 @query(SUPPLY_SCORED + " SELECT u, v, hardness_raw, hardness FROM scored")
@@ -591,9 +591,9 @@ def risky_coverage(spark, sf_dir):
 
 @query(EMITTED + f""",
 pos AS (SELECT a.k + b.k AS x FROM edges e JOIN deg a ON a.id = e.u JOIN deg b ON b.id = e.v),
-both AS (SELECT degsum AS x, 1 AS a, 0 AS b FROM ev UNION ALL SELECT x, 0, 1 FROM pos),
-cum AS (SELECT DISTINCT x, sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb FROM both)
-SELECT {r4("max(abs(ca / (SELECT sum(a) FROM both)::DOUBLE - cb / (SELECT sum(b) FROM both)::DOUBLE))")} AS ks FROM cum""")
+mx AS (SELECT degsum AS x, 1 AS a, 0 AS b FROM ev UNION ALL SELECT x, 0, 1 FROM pos),
+cum AS (SELECT DISTINCT x, sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb FROM mx)
+SELECT {r4("max(abs(ca / (SELECT sum(a) FROM mx)::DOUBLE - cb / (SELECT sum(b) FROM mx)::DOUBLE))")} AS ks FROM cum""")
 def ks_degree_match(spark, sf_dir):
     g, result = _run(spark, sf_dir)
     d = g.degrees
