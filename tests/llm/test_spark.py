@@ -129,6 +129,21 @@ def test_simhash_on_odd_rows(spark, odd):
     assert sorted(r["doc_id"] for r in simhash.first_of_each(odd.where("doc_id is not null")).collect()) == [0, 2, 3, 6, 7]
 
 
+def test_one_of_each_group_of_near_copies_stays(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_ROWS", 16)  # a hot bucket is read in several pieces
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 9000, 300) for _ in range(30)]
+    rows = [(i, " ".join(map(str, b)), "a") for i, b in enumerate(base)]
+    for i in range(120):  # near copies: one word in 150 is changed; half of them of one text
+        copy = base[0 if i % 2 else i % 30].copy()
+        copy[rng.integers(0, 300, 2)] = 9001 + i
+        rows.append((1000 + i, " ".join(map(str, copy)), "b"))
+    docs = common.keep(spark.createDataFrame(rows, "doc_id long, text string, _x string"), "near-copies")
+    got = simhash.first_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(30))
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
@@ -223,8 +238,14 @@ def test_pipeline(spark):
     keep = common.keep
     named = keep(cp.identify_language(spark, docs, DATA), "t1")
     unique = keep(cp.drop_near_duplicates(spark, named, DATA), "t2")
-    near = simhash.near_duplicates(named).collect()
-    assert {r["doc_id"] for r in unique.collect()} == {r["component_id"] for r in near}
+    near = simhash.near_duplicates(named, wide=simhash.WIDE_SHINGLE).collect()
+    first = sorted((r["doc_id"], np.frombuffer(r["wide"], np.uint64)) for r in near if r["doc_id"] == r["component_id"])
+    wide = np.stack([w for _, w in first])
+    close = np.bitwise_count(wide[:, None] ^ wide[None]).sum(-1) <= simhash.WIDE_DISTANCE
+    label = np.arange(len(wide))
+    for _ in label:
+        label = np.where(close, label[None], len(wide)).min(1)
+    assert {r["doc_id"] for r in unique.collect()} == {first[i][0] for i in label}
     clean = keep(cp.drop_benchmark_passages(spark, unique, DATA), "t3")
     marked = {r["doc_id"] for r in decontaminate.document_contamination(unique, spark.read.parquet(f"{DATA}/benchmark.parquet")).where("contaminated").collect()}
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in unique.collect()} - marked

@@ -12,6 +12,9 @@ Only links that connect are kept (a bucket yields fewer links than rows), and
 components come from alternating large-star and small-star steps on tables in the
 shared folder.
 
+:func:`first_of_each` also uses wide fingerprints of 512 bits, whose differing bits tell
+the similarity of two texts far better than 64 bits can.
+
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; equal texts share a fingerprint and so a component; repeated rows each get
 their row; a null ``doc_id`` never names a component unless it has no other.
@@ -20,7 +23,7 @@ their row; a null ``doc_id`` never names a component unless it has no other.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,16 @@ FAN = 8
 #: Most pairs of a query and a row that a block of a search may hold at once.
 BLOCK_PAIRS = 1 << 20
 
+#: Wide fingerprints: 64-bit words, words in a shingle, and the most bits that may differ.
+#: Two equally long texts that share the Jaccard index J of their shingles differ in about
+#: acos(2J / (1 + J)) / pi of the bits: 78 of 512, give or take 8, at J = 0.8.
+WIDE_WORDS = 8
+WIDE_SHINGLE = 5
+WIDE_DISTANCE = 86
+#: Rows of one bucket that are compared with each other at once.
+WIDE_ROWS = 20_000
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _LOWER = bytes(i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 
 
@@ -58,35 +71,56 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 def fold(hashes: list[np.ndarray]) -> np.ndarray:
     """The fingerprint of each document: bits set in over half of its hashes."""
-    sizes = np.array([len(x) for x in hashes], np.int64)
-    full = np.flatnonzero(sizes)
-    out = np.zeros(len(hashes), np.uint64)
-    if not len(full):
-        return out
-    bits = np.unpackbits(np.concatenate(hashes).view(np.uint8), bitorder="little").reshape(-1, 64)
-    starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-    votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    kept = 2 * votes > sizes[full][:, None]
-    out[full] = np.packbits(kept, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
-
-
-def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``key`` and the 64-bit ``fp`` (a signed long with the fingerprint's bits)."""
+    n, sizes = len(hashes), np.array([len(x) for x in hashes], np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    if n and sizes.any():
+        cells = np.repeat(np.arange(n) * 256, sizes)
+        for i, part in enumerate(np.concatenate(hashes).view(np.uint8).reshape(-1, 8).T):  # votes from counts of byte values
+            counts = np.bincount(cells + part, minlength=256 * n).reshape(n, 256)
+            out[:, i] = np.packbits(2 * (counts.astype(np.float64) @ _BITS) > sizes[:, None], axis=1, bitorder="little")[:, 0]
+    return out.view(np.uint64)[:, 0]
+
+
+def spread(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Another hash of each hash, for word ``word`` of a wide fingerprint."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(word + 1) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fold_wide(hashes: list[np.ndarray]) -> np.ndarray:
+    """Wide fingerprints, a row of ``WIDE_WORDS`` words for each document."""
+    return np.stack([fold([spread(x, i) for x in hashes]) for i in range(WIDE_WORDS)], 1)
+
+
+def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, wide: int = 0) -> DataFrame:
+    """``key`` and the 64-bit ``fp`` (a signed long with the fingerprint's bits).
+
+    With ``wide`` also the wide fingerprint (binary) of shingles of that many words.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, waiting, size = [], [], 0
-            for x in batch.column(1):
-                waiting.append(shingle_hashes(x.as_py(), shingle))
+            out, wider = [np.empty(0, np.uint64)], []
+            waiting, others, size = [], [], 0
+            for i, x in enumerate(batch.column(1)):
+                text = x.as_py()
+                waiting.append(shingle_hashes(text, shingle))
+                if wide:
+                    others.append(shingle_hashes(text, wide))
                 size += len(waiting[-1])
-                if size > 200_000:
+                if size > 200_000 or len(waiting) == 1000 or i == batch.num_rows - 1:
                     out.append(fold(waiting))
-                    waiting, size = [], 0
-            out.append(fold(waiting))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64))], [key, "fp"])
+                    if wide:
+                        wider += [row.tobytes() for row in fold_wide(others)]
+                    waiting, others, size = [], [], 0
+            columns = [batch.column(0), pa.array(np.concatenate(out).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(wider, pa.binary())] if wide else columns, [key, "fp", "wide"][: 2 + bool(wide)])
 
-    return documents.select(F.col(key), F.col(text)).mapInArrow(scan, f"`{key}` {dict(documents.dtypes)[key]}, fp long")
+    schema = f"`{key}` {dict(documents.dtypes)[key]}, fp long" + ", wide binary" * bool(wide)
+    return documents.select(F.col(key), F.col(text)).mapInArrow(scan, schema)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -153,6 +187,18 @@ class GrayIndex:
         return who[later], node[later]
 
 
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give the rows that pairs (a, b) connect the smallest label among them."""
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label != (jump := label[label])).any():
+            label[:] = jump
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+
+
 def link_runs(codes: np.ndarray, run: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """For each row, the first row of its run that links connect it to."""
     label = np.arange(len(codes))
@@ -166,14 +212,7 @@ def link_runs(codes: np.ndarray, run: np.ndarray, distance: int = DISTANCE) -> n
         if not len(part):
             continue
         a, b = index.near(part, run[part], distance)
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            while (label != (jump := label[label])).any():
-                label = jump
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
+        join_labels(label, a, b)
     return label
 
 
@@ -267,17 +306,96 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, limit: int = BUCKET) -> DataFrame:
-    """``key``, ``fp`` and ``component_id``: the smallest key that links reach."""
-    prints = keep(fingerprints(documents, key, text, shingle), "fingerprints")
+def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Whether rows of wide fingerprints are within ``distance``; most are told by their first half."""
+    half = WIDE_WORDS // 2
+    away = np.bitwise_count(a[..., :half] ^ b[..., :half]).sum(-1, dtype=np.int64)
+    close = np.asarray(away <= distance)
+    a, b = np.broadcast_arrays(a, b)
+    away = away[close] + np.bitwise_count(a[close][:, half:] ^ b[close][:, half:]).sum(-1, dtype=np.int64)
+    close[close] = away <= distance
+    return close
+
+
+def link_wide(wide: np.ndarray, run: np.ndarray, distance: int = WIDE_DISTANCE, few: int = 48) -> np.ndarray:
+    """For each row of wide fingerprints, the first row of its run that links connect it to."""
+    label = np.arange(len(wide))
+    sizes = np.bincount(run)
+    small = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= few))
+    for k in range(1, few):  # short runs: all of them side by side
+        a, b = small[:-k], small[k:]
+        same = run[a] == run[b]
+        if not same.any():
+            break
+        a, b = a[same], b[same]
+        close = _near(wide[a], wide[b], distance)
+        join_labels(label, a[close], b[close])
+    for long in np.flatnonzero(sizes > few):  # long runs: grow one component after the other
+        rest = np.arange(*np.searchsorted(run, [long, long + 1]))
+        while len(rest):
+            seed, rest = rest[0], rest[1:]
+            front = np.array([seed])
+            while len(front) and len(rest):
+                close = np.zeros(len(rest), bool)
+                for at in range(0, len(front), step := max(1, (BLOCK_PAIRS >> 2) // len(rest))):
+                    close |= _near(wide[front[at : at + step], None], wide[None, rest], distance).any(0)
+                    if close.all():
+                        break
+                front, rest = rest[close], rest[~close]
+                label[front] = seed
+    return label
+
+
+def wide_links(codes: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """Links ``a, b`` of ``node``s whose ``wide`` fingerprints are within ``distance`` bits.
+
+    Fingerprints meet where any 16 neighbouring bits (of 32 such bands) are equal. A
+    bucket is read in pieces of ``WIDE_ROWS`` rows; of what has been read, one row of each
+    component stays to be compared with the next piece, so a bucket with a third of all
+    rows needs no more memory than a small one with as many components.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, node, wide = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE_WORDS), np.uint64)
+        least = WIDE_ROWS
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                bucket = np.concatenate([bucket, batch.column(0).to_numpy()])
+                node = np.concatenate([node, batch.column(1).to_numpy()])
+                wide = np.concatenate([wide, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)])
+                if len(node) < least:
+                    continue
+            if not len(node):
+                continue
+            label = link_wide(wide, np.cumsum(np.diff(bucket, prepend=bucket[0]) != 0), distance)
+            linked = label != np.arange(len(label))
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"])
+            on = ~linked & (bucket == bucket[-1])  # the last run may go on
+            bucket, node, wide = bucket[on], node[on], wide[on]
+            least = max(WIDE_ROWS, 2 * len(node))
+
+    band = F.explode(F.sequence(F.lit(0), F.lit(4 * WIDE_WORDS - 1))).alias("band")
+    value = F.conv(F.hex(F.substring("wide", 2 * F.col("band") + 1, F.lit(2))), 16, 10).cast("long")
+    placed = codes.select("node", "wide", band).select((F.col("band") * 65536 + value).alias("bucket"), "node", "wide")
+    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(search, "a long, b long")
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, limit: int = BUCKET, wide: int = 0) -> DataFrame:
+    """``key``, ``fp`` and ``component_id``: the smallest key that links reach; with ``wide`` see :func:`fingerprints`."""
+    prints = keep(fingerprints(documents, key, text, shingle, wide), "fingerprints")
     first = keep(prints.groupBy("fp").agg(F.min(key).alias("least")), "codes")
-    roots = components(links(first.select("fp"), distance, limit))
-    member = keep(first.join(roots, first["fp"] == roots["node"]).select("fp", "least", "root"), "members")
+    every = component_of(first, links(first.select("fp"), distance, limit), "fp")
+    return prints.join(every, F.col("fp") == F.col("_code"), "left").drop("_code")
+
+
+def component_of(first: DataFrame, edges: DataFrame, code: str) -> DataFrame:
+    """``_code`` and ``component_id`` for the codes of ``first`` (code, least key)."""
+    own = first.select(F.col(code).alias("_code"), "least")
+    member = keep(own.join(components(edges).withColumnRenamed("node", "_code"), "_code"), "members")
     lowest = keep(member.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
-    named = keep(member.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id"), "named")
-    own = first.select(F.col("fp").alias("_fp"), F.col("least").alias("component_id")).join(named.select("_fp"), "_fp", "left_anti")
-    every = keep(own.unionByName(named), "component-of")
-    return prints.join(every, F.col("fp") == F.col("_fp"), "left").drop("_fp")
+    named = keep(member.join(lowest, "root").select("_code", "component_id"), "named")
+    alone = own.withColumnRenamed("least", "component_id").join(named.select("_code"), "_code", "left_anti")
+    return keep(alone.unionByName(named), "component-of")
 
 
 def document_near_duplicates(documents: DataFrame) -> DataFrame:
@@ -286,13 +404,19 @@ def document_near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def first_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that of the smallest key, of equal keys the first.
+    """One row of each group of near copies: that of the smallest key, of equal keys the first.
+
+    Groups are first those of :func:`near_duplicates`. Of the rows that stay, those are
+    grouped again whose wide fingerprints of 5-word shingles say that they are 0.8
+    similar or more (see ``WIDE_DISTANCE``).
 
     ``documents`` must be a table scan: rows are told apart by their place in it. The
     rows that stay grow with the input, so they are never broadcast.
     """
     placed = documents.withColumn("_row", F.monotonically_increasing_id())
     name = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.col("_row").alias("row"))
-    near = near_duplicates(placed.select(name.alias("_name"), F.col(text).alias("_text")), "_name", "_text")
-    first = near.where(F.col("_name") == F.col("component_id")).select(F.col("_name.row").alias("_row"))
+    near = near_duplicates(placed.select(name.alias("_name"), F.col(text).alias("_text")), "_name", "_text", wide=WIDE_SHINGLE)
+    left = keep(near.where(F.col("_name") == F.col("component_id")).groupBy("wide").agg(F.min("_name").alias("least")).withColumn("node", F.monotonically_increasing_id()), "left")
+    every = component_of(left.select("node", "least"), wide_links(left), "node")
+    first = keep(every.select("component_id.row").distinct().withColumnRenamed("row", "_row"), "first-rows")
     return placed.join(first.hint("merge"), "_row", "left_semi").drop("_row")
