@@ -144,6 +144,26 @@ def test_one_of_each_group_of_near_copies_stays(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(30))
 
 
+def test_chained_variants_in_a_hot_bucket_stay_linked(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_ROWS", 16)
+    rng = np.random.default_rng(8)
+    chained = [rng.integers(0, 2, 512)]
+    for _ in range(99):  # all share band 0; only neighbours of the chain are within the distance
+        flips = np.zeros(512, bool)
+        flips[np.arange(16, 512, 16) + rng.integers(0, 16, 31)] = True
+        flips[rng.choice(np.arange(16, 512), 45, replace=False)] = True
+        chained.append(chained[-1] ^ flips)
+    wide = np.packbits(np.stack(chained), axis=1)
+    rows = [(int(i), wide[i].tobytes()) for i in rng.permutation(100)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        links = common.keep(simhash.wide_links(spark.createDataFrame(rows, "node long, wide binary")), "chained-links")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert got == dict.fromkeys(range(100), 0)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

@@ -48,7 +48,7 @@ BLOCK_PAIRS = 1 << 20
 WIDE_WORDS = 8
 WIDE_SHINGLE = 5
 WIDE_DISTANCE = 86
-#: Rows of one bucket that are compared with each other at once.
+#: Rows of one bucket above which it is dealt out in blocks.
 WIDE_ROWS = 20_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -346,38 +346,73 @@ def link_wide(wide: np.ndarray, run: np.ndarray, distance: int = WIDE_DISTANCE,
     return label
 
 
+def in_blocks(rows: DataFrame, group: str, size: str | None, limit: int) -> DataFrame:
+    """``rows`` with ``i, j``: blocks of a group in which all of its pairs of rows meet.
+
+    A group above ``limit`` (rows, or the sum of ``size``) is cut into pieces by a hash of
+    ``node``, and each two pieces i < j meet in a block of their own; others are one block.
+    """
+    weight = F.sum(size) if size else F.count(F.lit(1))
+    hot = keep(rows.groupBy(group).agg(weight.alias("_weight")).where(F.col("_weight") > limit).select(group, F.ceil(F.col("_weight") / limit).cast("int").alias("_pieces")), "hot-groups")
+    if hot.isEmpty():
+        return rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    cut = rows.join(hot, group, "left").withColumn("_own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("_pieces")).cast("int"), F.lit(0)))
+    others = F.when(F.col("_pieces").isNull(), F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("_pieces") - 1), F.col("_own")))
+    met = cut.withColumn("_other", F.explode(others))
+    return met.select(*rows.columns, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], rows: int, keys: int = 3) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches put together to ``rows`` rows or more, and the run of each row: those of equal ``keys``. No run is cut."""
+    waiting, count = [], 0
+
+    def runs(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        for k in range(keys):
+            code = table.column(k).combine_chunks().dictionary_encode()
+            code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+            new[1:] |= np.diff(code.indices.to_numpy()) != 0
+        return np.cumsum(new)
+
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            waiting.append(batch)
+            count += batch.num_rows
+            if count < rows:
+                continue
+        if not count:
+            continue
+        table = pa.Table.from_batches(waiting)
+        run = runs(table)
+        cut = len(run) if batch is None else int(np.searchsorted(run, run[-1]))  # the last run may go on
+        if cut:
+            yield table.slice(0, cut), run[:cut]
+        waiting = table.slice(cut).to_batches()
+        count = len(run) - cut
+        rows = max(rows, 2 * count) if not cut else rows
+
+
 def wide_links(codes: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
     """Links ``a, b`` of ``node``s whose ``wide`` fingerprints are within ``distance`` bits.
 
     Fingerprints meet where any 16 neighbouring bits (of 32 such bands) are equal. A
-    bucket is read in pieces of ``WIDE_ROWS`` rows; of what has been read, one row of each
-    component stays to be compared with the next piece, so a bucket with a third of all
-    rows needs no more memory than a small one with as many components.
+    bucket above ``WIDE_ROWS`` rows is dealt out in blocks of two pieces (:func:`in_blocks`),
+    so all of its pairs are compared, by many tasks of bounded memory.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, node, wide = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE_WORDS), np.uint64)
-        least = WIDE_ROWS
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                bucket = np.concatenate([bucket, batch.column(0).to_numpy()])
-                node = np.concatenate([node, batch.column(1).to_numpy()])
-                wide = np.concatenate([wide, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)])
-                if len(node) < least:
-                    continue
-            if not len(node):
-                continue
-            label = link_wide(wide, np.cumsum(np.diff(bucket, prepend=bucket[0]) != 0), distance)
+        for table, run in whole_runs(batches, WIDE_ROWS):
+            node = table.column("node").to_numpy()
+            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+            label = link_wide(wide, run, distance)
             linked = label != np.arange(len(label))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"])
-            on = ~linked & (bucket == bucket[-1])  # the last run may go on
-            bucket, node, wide = bucket[on], node[on], wide[on]
-            least = max(WIDE_ROWS, 2 * len(node))
 
     band = F.explode(F.sequence(F.lit(0), F.lit(4 * WIDE_WORDS - 1))).alias("band")
     value = F.conv(F.hex(F.substring("wide", 2 * F.col("band") + 1, F.lit(2))), 16, 10).cast("long")
     placed = codes.select("node", "wide", band).select((F.col("band") * 65536 + value).alias("bucket"), "node", "wide")
-    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(search, "a long, b long")
+    dealt = in_blocks(placed, "bucket", None, WIDE_ROWS).select("bucket", "i", "j", "node", "wide")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(search, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, limit: int = BUCKET, wide: int = 0) -> DataFrame:
