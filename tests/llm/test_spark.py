@@ -216,6 +216,30 @@ def test_mix_meets_targets(spark, odd):
     assert mixing.mixed_documents(kept).columns == docs.columns
 
 
+def test_rows_keep_their_numbers_when_splits_change(spark, monkeypatch):
+    rows = [(i, f"text {i} " * 30 + f"of {i}", "a") for i in range(60)] + [(100 + i, f"text {i} " * 30 + f"of {i}", "a") for i in range(60)]
+    docs = common.keep(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8), "numbered-test")
+
+    def keep_then_split(df, name):
+        out = common.keep(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728" if name in ("fingerprints", "mix-rows") else "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        return out
+
+    def scans(got):
+        return got._jdf.queryExecution().analyzed().toString().count("monotonically_increasing_id")
+
+    try:
+        monkeypatch.setattr(simhash, "keep", keep_then_split)
+        monkeypatch.setattr(mixing, "keep", keep_then_split)
+        unique, mixed = simhash.first_of_each(docs), mixing.mixed_documents(docs)
+        assert scans(unique) == scans(mixed) == 0  # the last join reads numbers, it doesn't give them
+        assert sorted(r["doc_id"] for r in unique.collect()) == list(range(60))
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+
+
 def test_language_of_odd_rows(spark, odd):
     got = langid.document_languages(odd).collect()
     assert len(got) == odd.count()

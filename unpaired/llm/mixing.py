@@ -89,9 +89,9 @@ def document_mix(documents: DataFrame) -> DataFrame:
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """``documents`` as the mix takes them: each as often as it is taken.
 
-    ``documents`` must be a table scan: rows are told apart by their place in it.
+    Rows are numbered once, in a table that both sides of the last join read.
     """
-    placed = documents.withColumn("_row", F.monotonically_increasing_id())
+    placed = keep(documents.withColumn("_row", F.monotonically_increasing_id()), "mix-numbered")
     own = placed.select("_row", F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words().alias("_words"))
     taken = keep(mix(own, "_row", "_id", "_source", "_words").where("copies > 0").select("_row", "copies"), "mix-taken")
     # the rows taken grow with the input: never a broadcast

@@ -445,10 +445,10 @@ def first_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text")
     grouped again whose wide fingerprints of 5-word shingles say that they are 0.8
     similar or more (see ``WIDE_DISTANCE``).
 
-    ``documents`` must be a table scan: rows are told apart by their place in it. The
-    rows that stay grow with the input, so they are never broadcast.
+    Rows are numbered once, in a table that both sides of the last join read. The rows
+    that stay grow with the input, so they are never broadcast.
     """
-    placed = documents.withColumn("_row", F.monotonically_increasing_id())
+    placed = keep(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     name = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.col("_row").alias("row"))
     near = near_duplicates(placed.select(name.alias("_name"), F.col(text).alias("_text")), "_name", "_text", wide=WIDE_SHINGLE)
     left = keep(near.where(F.col("_name") == F.col("component_id")).groupBy("wide").agg(F.min("_name").alias("least")).withColumn("node", F.monotonically_increasing_id()), "left")
