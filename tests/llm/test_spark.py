@@ -144,6 +144,25 @@ def test_one_of_each_group_of_near_copies_stays(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(30))
 
 
+def test_a_member_of_a_group_links_others_to_it(spark):
+    def away(one, two, shingle, fold):
+        prints = fold([simhash.shingle_hashes(x, shingle) for x in (one, two)])
+        return int(np.bitwise_count(prints[0] ^ prints[1]).sum())
+
+    for seed in range(2000):  # b is within 3 bits of a and near c; a and c are apart
+        rng = np.random.default_rng(seed)
+        words = rng.integers(0, 9000, 200).astype(str)
+        a, c = words.copy(), words.copy()
+        a[:4], c[-15:] = rng.integers(9000, 18000, 4).astype(str), rng.integers(9000, 18000, 15).astype(str)
+        a, b, c = (" ".join(x) for x in (a, words, c))
+        if away(a, b, 3, simhash.fold) <= 3 < away(a, c, 3, simhash.fold) and away(b, c, 5, simhash.fold_wide) <= 70 and away(a, c, 5, simhash.fold_wide) > simhash.WIDE_DISTANCE:
+            break
+    else:
+        raise AssertionError("no such texts")
+    docs = common.keep(spark.createDataFrame([(1, a), (2, b), (3, c), (4, "quite another text of seven words")], "doc_id long, text string"), "bridge")
+    assert sorted(r["doc_id"] for r in simhash.first_of_each(docs).collect()) == [1, 4]
+
+
 def test_chained_variants_in_a_hot_bucket_stay_linked(spark, monkeypatch):
     monkeypatch.setattr(simhash, "WIDE_ROWS", 16)
     rng = np.random.default_rng(8)

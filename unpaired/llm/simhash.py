@@ -441,17 +441,23 @@ def document_near_duplicates(documents: DataFrame) -> DataFrame:
 def first_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies: that of the smallest key, of equal keys the first.
 
-    Groups are first those of :func:`near_duplicates`. Of the rows that stay, those are
-    grouped again whose wide fingerprints of 5-word shingles say that they are 0.8
-    similar or more (see ``WIDE_DISTANCE``).
+    Groups are the components of all links: those of :func:`near_duplicates`, and those of
+    rows whose wide fingerprints of 5-word shingles say that they are 0.8 similar or more
+    (see ``WIDE_DISTANCE``).
 
     Rows are numbered once, in a table that both sides of the last join read. The rows
     that stay grow with the input, so they are never broadcast.
     """
     placed = keep(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     name = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.col("_row").alias("row"))
-    near = near_duplicates(placed.select(name.alias("_name"), F.col(text).alias("_text")), "_name", "_text", wide=WIDE_SHINGLE)
-    left = keep(near.where(F.col("_name") == F.col("component_id")).groupBy("wide").agg(F.min("_name").alias("least")).withColumn("node", F.monotonically_increasing_id()), "left")
-    every = component_of(left.select("node", "least"), wide_links(left), "node")
+    prints = keep(fingerprints(placed.select(name.alias("_name"), F.col(text).alias("_text")), "_name", "_text", SHINGLE, WIDE_SHINGLE), "fingerprints")
+    codes = keep(prints.groupBy("fp", "wide").agg(F.min("_name").alias("least")).withColumn("node", F.monotonically_increasing_id()), "codes")
+    hub = keep(codes.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
+    same = codes.join(hub.hint("merge"), "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b")
+    close = links(hub.select("fp"))
+    for end in ("a", "b"):  # from fingerprints to nodes
+        close = close.join(hub.select(F.col("fp").alias(end), F.col("hub").alias(f"_{end}")).hint("merge"), end).drop(end)
+    edges = same.unionByName(close.withColumnsRenamed({"_a": "a", "_b": "b"})).unionByName(wide_links(codes))
+    every = component_of(codes.select("node", "least"), edges, "node")
     first = keep(every.select("component_id.row").distinct().withColumnRenamed("row", "_row"), "first-rows")
     return placed.join(first.hint("merge"), "_row", "left_semi").drop("_row")
