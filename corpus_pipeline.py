@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (3 bits as op5, or 0.8 on 5-word shingles)."""
+    """One document of each group of near copies (Jaccard index of 0.8 on 5-word shingles)."""
     return simhash.first_of_each(docs)
 
 

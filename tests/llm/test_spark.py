@@ -163,6 +163,27 @@ def test_a_member_of_a_group_links_others_to_it(spark):
     assert sorted(r["doc_id"] for r in simhash.first_of_each(docs).collect()) == [1, 4]
 
 
+@pytest.mark.parametrize("hashes", [1 << 18, 3000])
+def test_near_copies_are_those_of_the_exact_index(spark, monkeypatch, hashes):
+    monkeypatch.setattr(simhash, "SET_HASHES", hashes, raising=False)  # 3000: groups are dealt out in blocks
+    rng = np.random.default_rng(11)
+    texts = []
+    for base in rng.integers(0, 9000, (6, 150)):
+        for i in range(15):  # up to 30 words are changed at one place: indices of 0.6 to 1
+            copy, n = base.copy(), int(rng.integers(0, 31))
+            at = rng.integers(0, 150 - n)
+            copy[at : at + n] = rng.integers(9000, 10**6, n)
+            texts.append(" ".join(map(str, copy)))
+    texts += ["one line that all of them have " * 60 + " ".join(map(str, rng.integers(0, 9000, 40))) for _ in range(10)]
+    sets = [set(simhash.shingle_hashes(x, 5).tolist()) for x in texts]
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    want = np.arange(len(texts))
+    for _ in texts:
+        want = np.where(near, want[None], len(texts)).min(1)
+    docs = common.keep(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "exact-index")
+    assert sorted(r["doc_id"] for r in simhash.first_of_each(docs).collect()) == sorted(set(want.tolist()))
+
+
 def test_chained_variants_in_a_hot_bucket_stay_linked(spark, monkeypatch):
     monkeypatch.setattr(simhash, "WIDE_ROWS", 16)
     rng = np.random.default_rng(8)
