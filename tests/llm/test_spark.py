@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from unpaired.llm import chat_format, common, decontaminate, langid, media, mixing, quality, sharding, simhash, token_counts, url_filter
@@ -130,7 +131,7 @@ def test_simhash_on_odd_rows(spark, odd):
 
 
 def test_one_of_each_group_of_near_copies_stays(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "WIDE_ROWS", 16)  # a hot bucket is read in several pieces
+    monkeypatch.setattr(simhash, "SET_HASHES", 4000)  # a hot bucket is dealt out in blocks
     rng = np.random.default_rng(5)
     base = [rng.integers(0, 9000, 300) for _ in range(30)]
     rows = [(i, " ".join(map(str, b)), "a") for i, b in enumerate(base)]
@@ -145,27 +146,56 @@ def test_one_of_each_group_of_near_copies_stays(spark, monkeypatch):
 
 
 def test_a_member_of_a_group_links_others_to_it(spark):
-    def away(one, two, shingle, fold):
-        prints = fold([simhash.shingle_hashes(x, shingle) for x in (one, two)])
-        return int(np.bitwise_count(prints[0] ^ prints[1]).sum())
-
-    for seed in range(2000):  # b is within 3 bits of a and near c; a and c are apart
-        rng = np.random.default_rng(seed)
-        words = rng.integers(0, 9000, 200).astype(str)
-        a, c = words.copy(), words.copy()
-        a[:4], c[-15:] = rng.integers(9000, 18000, 4).astype(str), rng.integers(9000, 18000, 15).astype(str)
-        a, b, c = (" ".join(x) for x in (a, words, c))
-        if away(a, b, 3, simhash.fold) <= 3 < away(a, c, 3, simhash.fold) and away(b, c, 5, simhash.fold_wide) <= 70 and away(a, c, 5, simhash.fold_wide) > simhash.WIDE_DISTANCE:
-            break
-    else:
-        raise AssertionError("no such texts")
-    docs = common.keep(spark.createDataFrame([(1, a), (2, b), (3, c), (4, "quite another text of seven words")], "doc_id long, text string"), "bridge")
-    assert sorted(r["doc_id"] for r in simhash.first_of_each(docs).collect()) == [1, 4]
-
-
-@pytest.mark.parametrize("hashes", [1 << 18, 3000])
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 9000, 200).astype(str)
+    a, c = words.copy(), words.copy()  # b is near both; a and c are apart
+    a[:15], c[-15:] = rng.integers(9000, 18000, 15).astype(str), rng.integers(9000, 18000, 15).astype(str)
+    docs = [(1, " ".join(a)), (2, " ".join(words)), (3, " ".join(c)), (4, "quite another text of seven words")]
+    sets = [set(simhash.shingle_hashes(x, 5).tolist()) for _, x in docs]
+    index = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert index(0, 1) >= 0.8 <= index(1, 2) and index(0, 2) < 0.8
+    assert sorted(r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == [1, 4]
+
+
+def test_blocks_of_a_hot_bucket_cover_all_pairs_with_a_seed(spark):
+    rng = np.random.default_rng(4)
+    rows = [(b, n, int(rng.integers(1, 9)), bool(rng.random() < share), n) for b, share in ((0, 0.1), (1, 1.0), (2, 0.0)) for n in range(60)] + [(3, 1, 2, True, 1), (3, 2, 2, False, 2)]
+    dealt = simhash.in_blocks(spark.createDataFrame(rows, "bucket long, node long, size long, seed boolean, label long"), 40).collect()
+    blocks, seen = {}, {}
+    for r in dealt:
+        blocks.setdefault((r["bucket"], r["i"], r["j"]), []).append(r)
+    for (bucket, _, _), own in blocks.items():
+        assert sum(r["size"] for r in own) <= 160
+        for x in own:
+            for y in own:
+                if x["seed"] and x["node"] != y["node"]:
+                    seen.setdefault(bucket, set()).add((x["node"], y["node"]))
+    for bucket in range(4):
+        own = [r for r in rows if r[0] == bucket]
+        assert seen.get(bucket, set()) == {(x[1], y[1]) for x in own for y in own if x[3] and x[1] != y[1]}
+
+
+def test_unconnected_groups_of_one_bucket_are_compared(spark, monkeypatch):
+    # a chain, in a bucket whose hub is near none but the first: only the second step can connect it
+    rng = np.random.default_rng(9)
+    words = rng.integers(0, 9000, 400).astype(str)
+    texts = []
+    for i in range(12):
+        words[20 * i : 20 * i + 20] = rng.integers(9000, 10**6, 20).astype(str)
+        texts.append(" ".join(words))
+    codes = [(i, i, len(set(simhash.shingle_hashes(t, 5).tolist())), [1]) for i, t in enumerate(texts)]
+    codes = spark.createDataFrame(codes, "node long, fp long, size long, keys array<long>")
+    monkeypatch.setattr(simhash, "links", lambda codes: codes.sparkSession.createDataFrame([], "a long, b long"))
+    texts = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for hashes in (1 << 19, 900):
+        monkeypatch.setattr(simhash, "SET_HASHES", hashes)
+        got = {r["node"]: r["root"] for r in simhash.components(simhash.near_copy_links(codes, texts)).collect()}
+        assert got == dict.fromkeys(range(12), 0)
+
+
+@pytest.mark.parametrize("hashes", [1 << 19, 3000])
 def test_near_copies_are_those_of_the_exact_index(spark, monkeypatch, hashes):
-    monkeypatch.setattr(simhash, "SET_HASHES", hashes, raising=False)  # 3000: groups are dealt out in blocks
+    monkeypatch.setattr(simhash, "SET_HASHES", hashes)  # 3000: groups are dealt out in blocks
     rng = np.random.default_rng(11)
     texts = []
     for base in rng.integers(0, 9000, (6, 150)):
@@ -184,26 +214,6 @@ def test_near_copies_are_those_of_the_exact_index(spark, monkeypatch, hashes):
     assert sorted(r["doc_id"] for r in simhash.first_of_each(docs).collect()) == sorted(set(want.tolist()))
 
 
-def test_chained_variants_in_a_hot_bucket_stay_linked(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "WIDE_ROWS", 16)
-    rng = np.random.default_rng(8)
-    chained = [rng.integers(0, 2, 512)]
-    for _ in range(99):  # all share band 0; only neighbours of the chain are within the distance
-        flips = np.zeros(512, bool)
-        flips[np.arange(16, 512, 16) + rng.integers(0, 16, 31)] = True
-        flips[rng.choice(np.arange(16, 512), 45, replace=False)] = True
-        chained.append(chained[-1] ^ flips)
-    wide = np.packbits(np.stack(chained), axis=1)
-    rows = [(int(i), wide[i].tobytes()) for i in rng.permutation(100)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
-    try:
-        links = common.keep(simhash.wide_links(spark.createDataFrame(rows, "node long, wide binary")), "chained-links")
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    got = {r["node"]: r["root"] for r in simhash.components(links).collect()}
-    assert got == dict.fromkeys(range(100), 0)
-
-
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
@@ -236,7 +246,8 @@ def test_shards_are_near_equal_and_gapless(spark, odd):
     assert len(got) == odd.count()
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got}[0] == (1, 0)
     assert sharding.document_shards(empty(spark)).count() == 0
-    assert set(sharding.shard_documents(odd).columns) == {*odd.columns, "slot"}
+    assert sharding.shard_documents(odd).columns == ["shard_" if c == "shard" else c for c in odd.columns] + ["shard", "slot"]
+    assert sorted(map(str, sharding.shard_documents(odd).select(*[F.col("shard_").alias(c) if c == "shard" else c for c in odd.columns]).collect())) == sorted(map(str, odd.collect()))
 
 
 def test_mix_meets_targets(spark, odd):
@@ -310,6 +321,43 @@ def test_quality_is_learned(spark):
     assert sum(r["predicted"] == r["quality"] for r in got) / len(got) > 0.9
 
 
+CLASHING = "_row row copies _copy score lang_pred _found found shard slot _size size h key _h _pid _idx _at doc name node label digest keys seed".split()
+
+
+def clashing(spark, n=24):
+    """Documents of three sources in which every other column has a name that operators use inside."""
+    rng = np.random.default_rng(6)
+    docs = []
+    for i in range(n):
+        text = " ".join(rng.choice(["the", "of", "house", "water", "and", "with", "garden", "river", "small", "light"], 40))
+        docs.append((i, None if i == 5 else text, "en", "abc"[i % 3], len(text), *(f"{c}{i}" for c in CLASHING)))
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+
+
+@pytest.mark.parametrize("stage", ["language", "near", "benchmark", "mix", "shards"])
+def test_columns_of_any_name_are_carried(spark, stage):
+    docs = common.keep(clashing(spark), "clashing")
+    bench = spark.createDataFrame([(1, "zz yy")], "item_id long, text string")
+    got = {"language": langid.identified, "near": simhash.first_of_each, "benchmark": lambda d: decontaminate.decontaminate(d, bench), "mix": mixing.mixed_documents, "shards": sharding.shard_documents}[stage](docs)
+    given = {tuple(r) for r in docs.collect()}
+    if stage == "shards":
+        assert got.columns == [f"{c}_" if c in ("shard", "slot") else c for c in docs.columns] + ["shard", "slot"]
+        assert {tuple(r)[:-2] for r in got.collect()} == given
+    else:
+        assert got.columns == docs.columns
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) <= given and len(set(rows)) >= {"language": 23, "near": 24, "benchmark": 24}.get(stage, 10)
+
+
+def test_clashing_columns_of_predictions_stay_under_another_name(spark):
+    docs = clashing(spark)
+    got = langid.predict_language(docs, None)
+    assert got.columns == [f"{c}_" if c in ("score", "lang_pred") else c for c in docs.columns] + ["lang_pred", "score"]
+    assert {r["score_"] for r in got.collect()} == {r["score"] for r in docs.collect()}
+    bench = spark.createDataFrame([(1, "zz yy")], "item_id long, text string")
+    assert {r["found_"] for r in decontaminate.find(docs, bench).collect()} == {r["found"] for r in docs.collect()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
@@ -322,14 +370,12 @@ def test_pipeline(spark):
     keep = common.keep
     named = keep(cp.identify_language(spark, docs, DATA), "t1")
     unique = keep(cp.drop_near_duplicates(spark, named, DATA), "t2")
-    near = simhash.near_duplicates(named, wide=simhash.WIDE_SHINGLE).collect()
-    first = sorted((r["doc_id"], np.frombuffer(r["wide"], np.uint64)) for r in near if r["doc_id"] == r["component_id"])
-    wide = np.stack([w for _, w in first])
-    close = np.bitwise_count(wide[:, None] ^ wide[None]).sum(-1) <= simhash.WIDE_DISTANCE
-    label = np.arange(len(wide))
+    rows = sorted((r["doc_id"], frozenset(simhash.shingle_hashes(r["text"], 5).tolist())) for r in named.collect())
+    near = np.array([[x == y or 5 * len(x & y) >= 4 * len(x | y) for _, y in rows] for _, x in rows])
+    label = np.arange(len(rows))
     for _ in label:
-        label = np.where(close, label[None], len(wide)).min(1)
-    assert {r["doc_id"] for r in unique.collect()} == {first[i][0] for i in label}
+        label = np.where(near, label[None], len(rows)).min(1)
+    assert {r["doc_id"] for r in unique.collect()} == {rows[i][0] for i in label}
     clean = keep(cp.drop_benchmark_passages(spark, unique, DATA), "t3")
     marked = {r["doc_id"] for r in decontaminate.document_contamination(unique, spark.read.parquet(f"{DATA}/benchmark.parquet")).where("contaminated").collect()}
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in unique.collect()} - marked

@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("unpaired.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-unpaired-")
         spark.conf.set("unpaired.shared.dir", found)
     return found.rstrip("/")
@@ -47,6 +49,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that an operator's own names can't clash with them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
+def renamed(df: DataFrame, *outputs: str) -> DataFrame:
+    """``df`` whose columns named like one of ``outputs`` (in any case) get ``_`` behind the name.
+
+    The rule for operators that add columns: their results have the documented names, and
+    an input column of that name stays, as ``name_`` (``name__`` where that exists too).
+    """
+    taken, given = {c.lower() for c in df.columns} | {o.lower() for o in outputs}, {}
+    for c in df.columns:
+        if c.lower() in {o.lower() for o in outputs}:
+            new = f"{c}_"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            given[c] = new
+    return df.withColumnsRenamed(given)
+
+
 def partitions(df: DataFrame, rows: int, per_partition: int = 2_000_000) -> int:
     """Tasks for small rows: at least the session's shuffle partitions."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
@@ -56,16 +80,18 @@ def ordered_rows(df: DataFrame, order: list[str], name: str, parts: int) -> Data
     """Range-partition and sort by ``order``, keep the table, and number it.
 
     Adds ``_pid`` (the partition) and ``_idx`` (place in it). Both come from one
-    exchange and are written once, so every later reader agrees on them. ``order``
-    should end in a unique column: then no partition is larger than a range.
+    exchange and are written once, so every later reader agrees on them. Rows that are
+    equal in ``order`` are told apart by their place, so that no partition is larger
+    than a range.
     """
     numbered = (
-        df.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *order, "_tie")
+        .sortWithinPartitions(*order, "_tie")
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright("_at", 33).cast("int"))
         .withColumn("_idx", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_at")
+        .drop("_at", "_tie")
     )
     return keep(numbered, name)
 

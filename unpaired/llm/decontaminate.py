@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from unpaired.llm.common import renamed, whole
+
 WINDOW = 13
 SHARD_WORDS = 1_000_000
 #: Test sets above this many bytes of text are searched block by block.
@@ -196,7 +198,11 @@ def _merged(a: list[dict], b: list[tuple[int, int]]) -> list[dict]:
 
 
 def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "found", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``documents`` with ``out``: number of words, hit spans of words, and items found."""
+    """``documents`` with ``out``: number of words, hit spans of words, and items found.
+
+    A column named ``out`` stays under another name (:func:`unpaired.llm.common.renamed`).
+    """
+    documents = renamed(documents, out)
     at = documents.columns.index(text)
     done = documents.withColumn(out, F.lit(None).cast(FOUND))
     for block in _blocks(benchmark, item, item_text, block_bytes):
@@ -239,8 +245,8 @@ def summary(found: str = "found") -> dict[str, Column]:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` without the contaminated ones, all columns as they were."""
-    found = find(documents, benchmark, text, out="_found")
-    return found.where(~summary("_found")["contaminated"]).drop("_found")
+    found = find(documents.select(whole(documents).alias("doc"), F.col(text).alias("text")), benchmark, "text")
+    return found.where(~summary()["contaminated"]).select("doc.*")
 
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

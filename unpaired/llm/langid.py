@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unpaired.llm.common import bounded_sample
+from unpaired.llm.common import bounded_sample, renamed, whole
 
 UNKNOWN = "und"
 CHAIN = 64
@@ -242,9 +242,10 @@ def fit_language_model(documents: DataFrame, learn: Column, key: str = "doc_id",
 
 
 def predict_language(documents: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``."""
+    """``documents`` with ``lang_pred`` and ``score`` (see :func:`unpaired.llm.common.renamed` for columns of these names)."""
     shipped = documents.sparkSession.sparkContext.broadcast(model)
-    at = documents.columns.index(text)
+    kept = renamed(documents, "lang_pred", "score")
+    at = kept.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,8 +254,6 @@ def predict_language(documents: DataFrame, model: Crf | None, text: str = "text"
             names = [*batch.schema.names, "lang_pred", "score"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names)
 
-    kept = documents.drop("lang_pred", "score")
-    at = kept.columns.index(text)
     schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return kept.mapInArrow(predict, schema)
 
@@ -291,7 +290,7 @@ def document_languages(documents: DataFrame) -> DataFrame:
 
 
 def identified(documents: DataFrame, least: float = REJECT_BELOW) -> DataFrame:
-    """``documents`` whose language is known with a mean probability of ``least``."""
+    """``documents`` whose language is known with a mean probability of ``least``, columns as they were."""
     model = fit_language_model(documents, ~held_out())
-    named = predict_language(documents, model)
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*documents.columns)
+    named = predict_language(documents.select(whole(documents).alias("doc"), "text"), model)
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")

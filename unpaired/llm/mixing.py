@@ -19,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unpaired.llm.common import drop_kept, keep, partitions, running_total, text_or_empty
+from unpaired.llm.common import drop_kept, keep, partitions, running_total, text_or_empty, whole
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 REPEATS = 2
 
 
-def n_words(text: str = "text") -> Column:
+def n_words(text: str | Column = "text") -> Column:
     """Number of runs of ``[^\\x20\\x09-\\x0D]+``."""
     return F.regexp_count(text_or_empty(text), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
@@ -87,16 +87,16 @@ def document_mix(documents: DataFrame) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """``documents`` as the mix takes them: each as often as it is taken.
+    """``documents`` as the mix takes them: each as often as it is taken, columns as they were.
 
     Rows are numbered once, in a table that both sides of the last join read.
     """
-    placed = keep(documents.withColumn("_row", F.monotonically_increasing_id()), "mix-numbered")
-    own = placed.select("_row", F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words().alias("_words"))
-    taken = keep(mix(own, "_row", "_id", "_source", "_words").where("copies > 0").select("_row", "copies"), "mix-taken")
+    placed = keep(documents.select(whole(documents).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-numbered")
+    own = placed.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.source").alias("source"), n_words(F.col("doc.text")).alias("words"))
+    taken = keep(mix(own, "row", "id", "source", "words").where("copies > 0").select("row", "copies"), "mix-taken")
     # the rows taken grow with the input: never a broadcast
-    chosen = placed.join(taken.hint("merge"), "_row")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*documents.columns)
+    chosen = placed.join(taken.hint("merge"), "row")
+    return chosen.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 ORACLE = """

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from unpaired.llm.common import drop_kept, keep, ordered_rows, partitions, text_or_empty
+from unpaired.llm.common import drop_kept, keep, ordered_rows, partitions, renamed, text_or_empty, whole
 
 SHARDS = 8
 #: A splitter is good if the bytes below it are within this share of a shard's bytes.
@@ -122,7 +122,8 @@ def shard_of(h: Column, key: Column, bounds: list[tuple[int, int | None]]) -> Co
 def histogram_shards(rows: DataFrame, h: str, key: str, size: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``, exchanged once in key order.
 
-    ``h`` and ``key`` are long columns, ``size`` the bytes of a row.
+    ``h`` and ``key`` are long columns, ``size`` the bytes of a row. ``rows`` has no other
+    columns named ``shard``, ``slot`` or beginning with an underscore.
     """
     keys = keep(rows.select(F.col(h).alias("h"), F.col(key).cast("long").alias("id"), F.col(size).cast("long").alias("size")), "shard-keys")
     bounds = splitters(keys, shards, tolerance)
@@ -138,18 +139,20 @@ def histogram_shards(rows: DataFrame, h: str, key: str, size: str, shards: int =
     return placed.withColumn("slot", F.col("_idx") + F.col("_offset")).drop("_shard", "_of", "_offset", "_pid", "_idx")
 
 
-def sized(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_h`` (hash of the text) and ``_size`` (its UTF-8 bytes plus 1)."""
-    return documents.withColumn("_h", F.xxhash64(text_or_empty(text))).withColumn("_size", F.octet_length(text_or_empty(text)).cast("long") + 1)
+def sized(text: str = "text") -> list[Column]:
+    """``h`` (hash of the text) and ``size`` (its UTF-8 bytes plus 1)."""
+    return [F.xxhash64(text_or_empty(text)).alias("h"), (F.octet_length(text_or_empty(text)).cast("long") + 1).alias("size")]
 
 
 def shard_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """``documents`` with their ``shard`` and ``slot``."""
-    return histogram_shards(sized(documents, text), "_h", key, "_size", shards).drop("_h", "_size")
+    """``documents`` with their ``shard`` and ``slot`` (see :func:`unpaired.llm.common.renamed` for columns of these names)."""
+    given = renamed(documents, "shard", "slot")
+    rows = given.select(whole(given).alias("doc"), F.col(key).alias("key"), *sized(text))
+    return histogram_shards(rows, "h", "key", "size", shards).select("doc.*", "shard", "slot")
 
 
 def document_shards(documents: DataFrame) -> DataFrame:
     """The op7 rows."""
-    own = sized(documents.select("doc_id", "text")).withColumn("text_crc32", F.crc32(F.encode(text_or_empty("text"), "UTF-8"))).drop("text")
-    placed = histogram_shards(keep(own, "sized"), "_h", "doc_id", "_size")
-    return placed.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    own = documents.select("doc_id", *sized(), F.crc32(F.encode(text_or_empty("text"), "UTF-8")).alias("text_crc32"))
+    placed = histogram_shards(keep(own, "sized"), "h", "doc_id", "size")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -12,8 +12,8 @@ Only links that connect are kept (a bucket yields fewer links than rows), and
 components come from alternating large-star and small-star steps on tables in the
 shared folder.
 
-Wide fingerprints of 512 bits tell the similarity of two texts far better than 64 bits
-can. :func:`first_of_each` confirms each link by exact sets of shingles.
+:func:`first_of_each` drops near copies: there fingerprints and bands of minima only
+propose buckets, and every link is confirmed by exact sets of shingles.
 
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; equal texts share a fingerprint and so a component; repeated rows each get
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unpaired.llm.common import drop_kept, keep
+from unpaired.llm.common import drop_kept, keep, whole
 
 DISTANCE = 3
 SHINGLE = 3
@@ -42,21 +42,14 @@ FAN = 8
 #: Most pairs of a query and a row that a block of a search may hold at once.
 BLOCK_PAIRS = 1 << 20
 
-#: Wide fingerprints: 64-bit words, words in a shingle, and the most bits that may differ.
-#: Two equally long texts that share the Jaccard index J of their shingles differ in about
-#: acos(2J / (1 + J)) / pi of the bits: 78 of 512, give or take 8, at J = 0.8.
-WIDE_WORDS = 8
-WIDE_SHINGLE = 5
-WIDE_DISTANCE = 86
 #: Near copies share this part of their sets of 5-word shingles (Jaccard index), as a fraction.
+SET_SHINGLE = 5
 JACCARD = (4, 5)
 #: Candidates agree on one of so many bands of so many minima. A pair at 0.8 is missed with
 #: probability (1 - 0.8 ** 6) ** 36, under 2 in 100,000; a pair at 0.9 under 1 in 10 ** 11.
 BANDS, BAND_HASHES = 36, 6
-#: Shingles of one group of candidates above which it is dealt out in blocks.
-SET_HASHES = 1 << 18
-#: Rows of one bucket above which it is dealt out in blocks.
-WIDE_ROWS = 20_000
+#: Shingles of one bucket above which it is dealt out in blocks.
+SET_HASHES = 1 << 19
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _LOWER = bytes(i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
@@ -89,7 +82,7 @@ def fold(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def spread(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Another hash of each hash, for word ``word`` of a wide fingerprint."""
+    """Another hash of each hash, for number ``word`` of a family."""
     with np.errstate(over="ignore"):
         x = hashes + np.uint64(word + 1) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -97,36 +90,22 @@ def spread(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fold_wide(hashes: list[np.ndarray]) -> np.ndarray:
-    """Wide fingerprints, a row of ``WIDE_WORDS`` words for each document."""
-    return np.stack([fold([spread(x, i) for x in hashes]) for i in range(WIDE_WORDS)], 1)
-
-
-def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, wide: int = 0) -> DataFrame:
-    """``key`` and the 64-bit ``fp`` (a signed long with the fingerprint's bits).
-
-    With ``wide`` also the wide fingerprint (binary) of shingles of that many words.
-    """
+def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``key`` and the 64-bit ``fp`` (a signed long with the fingerprint's bits)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, wider = [np.empty(0, np.uint64)], []
-            waiting, others, size = [], [], 0
+            out = [np.empty(0, np.uint64)]
+            waiting, size = [], 0
             for i, x in enumerate(batch.column(1)):
-                text = x.as_py()
-                waiting.append(shingle_hashes(text, shingle))
-                if wide:
-                    others.append(shingle_hashes(text, wide))
+                waiting.append(shingle_hashes(x.as_py(), shingle))
                 size += len(waiting[-1])
                 if size > 200_000 or len(waiting) == 1000 or i == batch.num_rows - 1:
                     out.append(fold(waiting))
-                    if wide:
-                        wider += [row.tobytes() for row in fold_wide(others)]
-                    waiting, others, size = [], [], 0
-            columns = [batch.column(0), pa.array(np.concatenate(out).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(wider, pa.binary())] if wide else columns, [key, "fp", "wide"][: 2 + bool(wide)])
+                    waiting, size = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64))], [key, "fp"])
 
-    schema = f"`{key}` {dict(documents.dtypes)[key]}, fp long" + ", wide binary" * bool(wide)
+    schema = f"`{key}` {dict(documents.dtypes)[key]}, fp long"
     return documents.select(F.col(key), F.col(text)).mapInArrow(scan, schema)
 
 
@@ -313,60 +292,26 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Whether rows of wide fingerprints are within ``distance``; most are told by their first half."""
-    half = WIDE_WORDS // 2
-    away = np.bitwise_count(a[..., :half] ^ b[..., :half]).sum(-1, dtype=np.int64)
-    close = np.asarray(away <= distance)
-    a, b = np.broadcast_arrays(a, b)
-    away = away[close] + np.bitwise_count(a[close][:, half:] ^ b[close][:, half:]).sum(-1, dtype=np.int64)
-    close[close] = away <= distance
-    return close
-
-
-def link_wide(wide: np.ndarray, run: np.ndarray, distance: int = WIDE_DISTANCE, few: int = 48) -> np.ndarray:
-    """For each row of wide fingerprints, the first row of its run that links connect it to."""
-    label = np.arange(len(wide))
-    sizes = np.bincount(run)
-    small = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= few))
-    for k in range(1, few):  # short runs: all of them side by side
-        a, b = small[:-k], small[k:]
-        same = run[a] == run[b]
-        if not same.any():
-            break
-        a, b = a[same], b[same]
-        close = _near(wide[a], wide[b], distance)
-        join_labels(label, a[close], b[close])
-    for long in np.flatnonzero(sizes > few):  # long runs: grow one component after the other
-        rest = np.arange(*np.searchsorted(run, [long, long + 1]))
-        while len(rest):
-            seed, rest = rest[0], rest[1:]
-            front = np.array([seed])
-            while len(front) and len(rest):
-                close = np.zeros(len(rest), bool)
-                for at in range(0, len(front), step := max(1, (BLOCK_PAIRS >> 2) // len(rest))):
-                    close |= _near(wide[front[at : at + step], None], wide[None, rest], distance).any(0)
-                    if close.all():
-                        break
-                front, rest = rest[close], rest[~close]
-                label[front] = seed
-    return label
-
-
-def in_blocks(rows: DataFrame, group: str, size: str | None, limit: int) -> DataFrame:
-    """``rows`` with ``i, j``: blocks of a group in which all of its pairs of rows meet.
+def in_blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (bucket, node, size, seed, label) with ``i, j``: blocks in which every seed of a bucket meets all of its rows.
 
-    A group above ``limit`` (rows, or the sum of ``size``) is cut into pieces by a hash of
-    ``node``, and each two pieces i < j meet in a block of their own; others are one block.
+    A bucket whose sizes sum up to more than ``limit`` is cut by a hash of ``node``: its
+    seeds into pieces i, its rows into pieces j. A row goes to all blocks of its piece j,
+    a seed also to all blocks of its piece i, where it counts as a seed; few seeds make
+    few copies. Other buckets are one block.
     """
-    weight = F.sum(size) if size else F.count(F.lit(1))
-    hot = keep(rows.groupBy(group).agg(weight.alias("_weight")).where(F.col("_weight") > limit).select(group, F.ceil(F.col("_weight") / limit).cast("int").alias("_pieces")), "hot-groups")
+    pieces = lambda size: F.greatest(F.lit(1), F.ceil(size / limit)).cast("int")
+    load = rows.groupBy("bucket").agg(F.sum("size").alias("_all"), F.sum(F.when(F.col("seed"), F.col("size")).otherwise(0)).alias("_seeds"))
+    hot = keep(load.where(F.col("_all") > limit).select("bucket", pieces(F.col("_seeds")).alias("_p"), pieces(F.col("_all")).alias("_q")), "hot-buckets")
     if hot.isEmpty():
         return rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    cut = rows.join(hot, group, "left").withColumn("_own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("_pieces")).cast("int"), F.lit(0)))
-    others = F.when(F.col("_pieces").isNull(), F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("_pieces") - 1), F.col("_own")))
-    met = cut.withColumn("_other", F.explode(others))
-    return met.select(*rows.columns, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+    cut = rows.join(hot, "bucket", "left").withColumns({"_p": F.coalesce("_p", F.lit(1)), "_q": F.coalesce("_q", F.lit(1))})
+    cut = cut.withColumns({"_i": F.pmod(F.xxhash64("node"), F.col("_p")).cast("int"), "_j": F.pmod(F.xxhash64("node", F.lit(1)), F.col("_q")).cast("int")})
+    place = lambda i, j, seed: F.struct(i.alias("i"), j.alias("j"), seed.alias("seed"))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda i: place(i, F.col("_j"), F.col("seed") & (i == F.col("_i"))))
+    others = F.filter(F.sequence(F.lit(0), F.col("_q") - 1), lambda j: F.col("seed") & (j != F.col("_j")))
+    as_seed = F.transform(others, lambda j: place(F.col("_i"), j, F.lit(True)))
+    return cut.withColumn("_at", F.explode(F.concat(as_row, as_seed))).select("bucket", "node", "size", "label", "_at.*")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], rows: int, keys: int = 3) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -399,32 +344,9 @@ def whole_runs(batches: Iterator[pa.RecordBatch], rows: int, keys: int = 3) -> I
         rows = max(rows, 2 * count) if not cut else rows
 
 
-def wide_links(codes: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """Links ``a, b`` of ``node``s whose ``wide`` fingerprints are within ``distance`` bits.
-
-    Fingerprints meet where any 16 neighbouring bits (of 32 such bands) are equal. A
-    bucket above ``WIDE_ROWS`` rows is dealt out in blocks of two pieces (:func:`in_blocks`),
-    so all of its pairs are compared, by many tasks of bounded memory.
-    """
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, run in whole_runs(batches, WIDE_ROWS):
-            node = table.column("node").to_numpy()
-            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-            label = link_wide(wide, run, distance)
-            linked = label != np.arange(len(label))
-            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"])
-
-    band = F.explode(F.sequence(F.lit(0), F.lit(4 * WIDE_WORDS - 1))).alias("band")
-    value = F.conv(F.hex(F.substring("wide", 2 * F.col("band") + 1, F.lit(2))), 16, 10).cast("long")
-    placed = codes.select("node", "wide", band).select((F.col("band") * 65536 + value).alias("bucket"), "node", "wide")
-    dealt = in_blocks(placed, "bucket", None, WIDE_ROWS).select("bucket", "i", "j", "node", "wide")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(search, "a long, b long")
-
-
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, limit: int = BUCKET, wide: int = 0) -> DataFrame:
-    """``key``, ``fp`` and ``component_id``: the smallest key that links reach; with ``wide`` see :func:`fingerprints`."""
-    prints = keep(fingerprints(documents, key, text, shingle, wide), "fingerprints")
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, limit: int = BUCKET) -> DataFrame:
+    """``key``, ``fp`` and ``component_id``: the smallest key that links reach."""
+    prints = keep(fingerprints(documents, key, text, shingle), "fingerprints")
     first = keep(prints.groupBy("fp").agg(F.min(key).alias("least")), "codes")
     every = component_of(first, links(first.select("fp"), distance, limit), "fp")
     return prints.join(every, F.col("fp") == F.col("_code"), "left").drop("_code")
@@ -449,25 +371,26 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A key for each band of minima of a set of hashes; none for an empty set."""
     if not len(hashes):
         return np.empty(0, np.int64)
-    factors = spread(np.arange(BANDS * BAND_HASHES, dtype=np.uint64), WIDE_WORDS) | np.uint64(1)
+    factors = spread(np.arange(BANDS * BAND_HASHES, dtype=np.uint64), 8) | np.uint64(1)
     low = np.concatenate([(part[:, None] * hashes).min(1) for part in np.split(factors, BANDS)])
-    band = spread(np.arange(BANDS, dtype=np.uint64), WIDE_WORDS + 1)
+    band = spread(np.arange(BANDS, dtype=np.uint64), 9)
     for column in low.reshape(BANDS, BAND_HASHES).T:
-        band = spread(band ^ column, WIDE_WORDS + 2)
+        band = spread(band ^ column, 10)
     return band.view(np.int64)
 
 
 def sketches(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, the 64-bit ``fp``, a ``digest`` of the set of 5-word shingles, and its band ``keys``."""
+    """``key``, the 64-bit ``fp``, and of the set of 5-word shingles a ``digest``, its ``size`` and band ``keys``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, waiting, digests, keys, size = [np.empty(0, np.uint64)], [], [], [], 0
+            out, waiting, digests, sizes, keys, size = [np.empty(0, np.uint64)], [], [], [], [], 0
             for i, x in enumerate(batch.column(1)):
                 one = x.as_py()
                 waiting.append(shingle_hashes(one))
-                own = np.unique(shingle_hashes(one, WIDE_SHINGLE))
+                own = np.unique(shingle_hashes(one, SET_SHINGLE))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
                 keys.append(band_keys(own))
                 size += len(waiting[-1])
                 if size > 200_000 or len(waiting) == 1000 or i == batch.num_rows - 1:
@@ -475,21 +398,24 @@ def sketches(documents: DataFrame, key: str, text: str) -> DataFrame:
                     waiting, size = [], 0
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64)), pa.array(digests, pa.binary()), lists], [key, "fp", "digest", "keys"])
+            columns = [batch.column(0), pa.array(np.concatenate(out).view(np.int64)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, [key, "fp", "digest", "size", "keys"])
 
-    schema = f"`{key}` {dict(documents.dtypes)[key]}, fp long, digest binary, keys array<long>"
+    schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, fp long, digest binary, size long, keys array<long>"
     return documents.select(F.col(key), F.col(text)).mapInArrow(scan, schema)
 
 
-def link_sets(sets: list[np.ndarray]) -> np.ndarray:
-    """For each sorted set of hashes, the first one that links of ``JACCARD`` or more connect it to.
+def link_sets(sets: list[np.ndarray], seeds: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of ``JACCARD`` or more between the rows ``seeds`` and any others whose label differs.
 
-    Such sets share one of their smallest hashes: a set of m has to give ceil(0.8 m) of
-    them, so only the first m - ceil(0.8 m) + 1 are looked up. All pairs found are counted.
+    Near sets share one of their smallest hashes: a set of m has to give ceil(0.8 m) of
+    them, so only the first m - ceil(0.8 m) + 1 are looked up. Every set found so is
+    counted in full. Rows that links connect are given one label, and rows of one label
+    aren't compared any more.
     """
     p, q = JACCARD
     n, size = len(sets), np.array([len(x) for x in sets], np.int64)
-    label, alive = np.arange(n), np.ones(n, bool)
+    label = np.unique(label, return_inverse=True)[1]
     start = np.concatenate([[0], np.cumsum(size)])
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.minimum(size, size - (p * size + q - 1) // q + 1)
@@ -498,78 +424,111 @@ def link_sets(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(what, kind="stable")
     whose, at = whose[order], np.searchsorted(what[order], np.arange(len(ids) + 1))
     mark = np.zeros(len(ids), bool)
-    for seed in range(n):
-        front = [seed] if alive[seed] else []
-        alive[seed] = False
-        while front:
-            now = front.pop()
-            own = flat[start[now] : start[now + 1]]
-            met = [whose[at[i] : at[i + 1]] for i in own[: first[now]].tolist() if at[i + 1] - at[i] > 1]
-            if not met:
-                continue
-            met = np.concatenate(met)
-            met = np.unique(met[alive[met]])
-            if not len(met):
-                continue
-            mark[own] = True
-            begin = np.cumsum(size[met]) - size[met]
-            hit = mark[flat[np.repeat(start[met] - begin, size[met]) + np.arange(int(size[met].sum()))]]
-            mark[own] = False
-            shared = np.add.reduceat(hit, begin, dtype=np.int64)
-            met = met[shared * (p + q) >= p * (size[met] + size[now])]
-            alive[met], label[met] = False, seed
-            front += met.tolist()
-    return label
-
-
-def similar_links(members: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect all ``node``s of a ``root`` whose ``text``s are near copies by their exact Jaccard index."""
+    found: list[tuple[int, np.ndarray]] = []
+    for seed in seeds.tolist():
+        own = flat[start[seed] : start[seed + 1]]
+        met = [whose[at[i] : at[i + 1]] for i in own[: first[seed]].tolist() if at[i + 1] - at[i] > 1]
+        if not met:
+            continue
+        met = np.unique(np.concatenate(met))
+        met = met[(label[met] != label[seed]) & (q * size[met] >= p * size[seed]) & (q * size[seed] >= p * size[met])]
+        if not len(met):
+            continue
+        mark[own] = True
+        begin = np.cumsum(size[met]) - size[met]
+        hit = mark[flat[np.repeat(start[met] - begin, size[met]) + np.arange(int(size[met].sum()))]]
+        mark[own] = False
+        shared = np.add.reduceat(hit, begin, dtype=np.int64)
+        met = met[shared * (p + q) >= p * (size[met] + size[seed])]
+        if len(met):
+            found.append((seed, met[np.unique(label[met], return_index=True)[1]]))
+            label[np.isin(label, label[met])] = label[seed]
+    ends = [np.empty(0, np.int64), *(b for _, b in found)]
+    return np.repeat([a for a, _ in found], [len(b) for _, b in found]).astype(np.int64), np.concatenate(ends)
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``node`` and the sorted ``hashes`` of the 5-word shingles of its ``text``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), WIDE_SHINGLE)) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["root", "node", "size", "hashes"])
+            sets = [np.unique(shingle_hashes(x.as_py(), SET_SHINGLE)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(scan, "node long, hashes binary")
+
+
+def confirmed_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` of near copies between the seeds of each bucket and all of its rows; see :func:`in_blocks`."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, run in whole_runs(batches, 1000):
-            node = table.column("node").to_numpy()
+            node, seed, label = (table.column(x).to_numpy() for x in ("node", "seed", "label"))
             sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
             cuts = np.flatnonzero(np.diff(run, prepend=-1, append=-1))
-            label = np.concatenate([a + link_sets(sets[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-            linked = label != np.arange(len(label))
-            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"])
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                one, two = link_sets(sets[a:b], np.flatnonzero(seed[a:b]), label[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a + one]), pa.array(node[a + two])], ["a", "b"])
+
+    dealt = in_blocks(rows, SET_HASHES).join(sets.hint("merge"), "node").select("bucket", "i", "j", "node", "seed", "label", "hashes")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(search, "a long, b long")
+
+
+def proposals(codes: DataFrame) -> DataFrame:
+    """Buckets in which every pair of candidates lies: ``bucket, hub, node, size``; the hub is one of its nodes.
+
+    A bucket has the nodes with one band key, or those whose fingerprints links within
+    3 bits connect.
+    """
+    hub = keep(codes.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
+    same = codes.join(hub.hint("merge"), "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b")
+    close = links(hub.select("fp"))
+    for end in ("a", "b"):  # from fingerprints to nodes
+        close = close.join(hub.select(F.col("fp").alias(end), F.col("hub").alias(f"_{end}")).hint("merge"), end).drop(end)
+    near = components(same.unionByName(close.withColumnsRenamed({"_a": "a", "_b": "b"}))).withColumnRenamed("root", "hub")
+    near = near.join(codes.select("node", "size").hint("merge"), "node").select((-1 - F.col("hub")).alias("bucket"), "hub", "node", "size")
+    keyed = codes.select("node", "size", F.explode("keys").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("_high")).where("hub < _high").drop("_high")
+    return near.unionByName(keyed.join(shared.hint("merge"), "bucket").select("bucket", "hub", "node", "size"))
+
+
+def near_copy_links(codes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` that connect all nodes of ``codes`` (node, fp, size, keys) that are near copies.
 
-    sets = keep(members.select("root", "node", "text").mapInArrow(scan, "root long, node long, size long, hashes binary"), "shingle-sets")
-    dealt = in_blocks(sets, "root", "size", SET_HASHES).select("root", "i", "j", "node", "hashes")
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(search, "a long, b long")
+    ``texts`` has ``node`` and ``text``. First every node is compared with the hub of each
+    bucket, which connects most of a group of near copies at a cost in proportion to it.
+    Then, in buckets where two unconnected groups are left, all nodes outside of the
+    largest group are compared with all nodes, so no link that connects is missed.
+    """
+    buckets = keep(proposals(codes), "buckets")
+    sets = keep(shingle_sets(texts.join(buckets.select("node").distinct().hint("merge"), "node")), "shingle-sets")
+    pairs = buckets.select(F.col("hub").alias("bucket"), "node", "size").distinct()
+    first = components(confirmed_links(pairs.select("*", (F.col("node") == F.col("bucket")).alias("seed"), F.col("node").alias("label")), sets))
+    first = keep(first, "first-groups")
+    rest = buckets.where("node <> hub").join(first.hint("merge"), "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("label"))
+    groups = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = groups.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_ = keep(rest.join(main.select("bucket", "main").hint("merge"), "bucket").select("bucket", "node", "size", (F.col("label") != F.col("main")).alias("seed"), "label"), "open-buckets")
+    return first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(confirmed_links(open_, sets))
 
 
 def first_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies: that of the smallest key, of equal keys the first.
 
     Near copies are texts whose sets of 5-word shingles have a Jaccard index of 0.8 or more
-    (``JACCARD``). Fingerprints within 3 bits and bands of minima only propose groups;
-    inside each, links are confirmed by the exact index of all pairs that may connect.
+    (``JACCARD``), and a group is all that such links connect. Columns stay as they were,
+    whatever their names.
 
     Rows are numbered once, in a table that both sides of the last join read. The rows
     that stay grow with the input, so they are never broadcast.
     """
-    placed = keep(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    name = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.col("_row").alias("row"))
-    prints = sketches(placed.select(name.alias("_name"), F.col(text).alias("_text")), "_name", "_text")
-    codes = prints.groupBy("digest").agg(F.min("_name").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    placed = keep(documents.select(whole(documents).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    own = placed.select(F.col("doc").getField(key).alias("key"), F.col("doc").getField(text).alias("text"), "row")
+    name = F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")
+    prints = sketches(own.select(name.alias("name"), "text"), "name", "text")
+    codes = prints.groupBy("digest").agg(F.min("name").alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     codes = keep(codes.drop("digest").withColumn("node", F.monotonically_increasing_id()), "codes")
-    hub = keep(codes.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
-    same = codes.join(hub.hint("merge"), "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b")
-    close = links(hub.select("fp"))
-    for end in ("a", "b"):  # from fingerprints to nodes
-        close = close.join(hub.select(F.col("fp").alias(end), F.col("hub").alias(f"_{end}")).hint("merge"), end).drop(end)
-    keyed = codes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    banded = keyed.join(shared.hint("merge"), "key").select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-    proposed = components(same.unionByName(close.withColumnsRenamed({"_a": "a", "_b": "b"})).unionByName(banded))
-    members = proposed.join(codes.select("node", F.col("least.row").alias("_row")).hint("merge"), "node")
-    members = members.join(placed.select("_row", F.col(text).alias("text")).hint("merge"), "_row")
-    every = component_of(codes.select("node", "least"), similar_links(members), "node")
-    first = keep(every.select("component_id.row").distinct().withColumnRenamed("row", "_row"), "first-rows")
-    return placed.join(first.hint("merge"), "_row", "left_semi").drop("_row")
+    texts = codes.select("node", F.col("least.row").alias("row")).join(own.select("row", "text").hint("merge"), "row").select("node", "text")
+    every = component_of(codes.select("node", "least"), near_copy_links(codes, texts), "node")
+    first = keep(every.select("component_id.row").distinct(), "first-rows")
+    return placed.join(first.hint("merge"), "row", "left_semi").select("doc.*")
