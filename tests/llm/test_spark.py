@@ -100,6 +100,12 @@ def test_preference_prefix_and_spans(spark):
     assert chat_format.conversation_preferences(df.limit(0)).count() == 0
 
 
+def shingles(text):
+    """The set of 5-word shingles, or the one of a shorter text."""
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def brute_components(prints):
     prints = [(k, f & (2**64 - 1)) for k, f in prints]
     label = [k for k, _ in prints]
@@ -151,7 +157,7 @@ def test_a_member_of_a_group_links_others_to_it(spark):
     a, c = words.copy(), words.copy()  # b is near both; a and c are apart
     a[:15], c[-15:] = rng.integers(9000, 18000, 15).astype(str), rng.integers(9000, 18000, 15).astype(str)
     docs = [(1, " ".join(a)), (2, " ".join(words)), (3, " ".join(c)), (4, "quite another text of seven words")]
-    sets = [set(simhash.shingle_hashes(x, 5).tolist()) for _, x in docs]
+    sets = [shingles(x) for _, x in docs]
     index = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
     assert index(0, 1) >= 0.8 <= index(1, 2) and index(0, 2) < 0.8
     assert sorted(r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == [1, 4]
@@ -183,7 +189,7 @@ def test_unconnected_groups_of_one_bucket_are_compared(spark, monkeypatch):
     for i in range(12):
         words[20 * i : 20 * i + 20] = rng.integers(9000, 10**6, 20).astype(str)
         texts.append(" ".join(words))
-    codes = [(i, i, len(set(simhash.shingle_hashes(t, 5).tolist())), [1]) for i, t in enumerate(texts)]
+    codes = [(i, i, len(shingles(t)), [1]) for i, t in enumerate(texts)]
     codes = spark.createDataFrame(codes, "node long, fp long, size long, keys array<long>")
     monkeypatch.setattr(simhash, "links", lambda codes: codes.sparkSession.createDataFrame([], "a long, b long"))
     texts = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
@@ -205,7 +211,7 @@ def test_near_copies_are_those_of_the_exact_index(spark, monkeypatch, hashes):
             copy[at : at + n] = rng.integers(9000, 10**6, n)
             texts.append(" ".join(map(str, copy)))
     texts += ["one line that all of them have " * 60 + " ".join(map(str, rng.integers(0, 9000, 40))) for _ in range(10)]
-    sets = [set(simhash.shingle_hashes(x, 5).tolist()) for x in texts]
+    sets = [shingles(x) for x in texts]
     near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
     want = np.arange(len(texts))
     for _ in texts:
@@ -370,7 +376,7 @@ def test_pipeline(spark):
     keep = common.keep
     named = keep(cp.identify_language(spark, docs, DATA), "t1")
     unique = keep(cp.drop_near_duplicates(spark, named, DATA), "t2")
-    rows = sorted((r["doc_id"], frozenset(simhash.shingle_hashes(r["text"], 5).tolist())) for r in named.collect())
+    rows = sorted((r["doc_id"], shingles(r["text"])) for r in named.collect())
     near = np.array([[x == y or 5 * len(x & y) >= 4 * len(x | y) for _, y in rows] for _, x in rows])
     label = np.arange(len(rows))
     for _ in label:

@@ -79,10 +79,11 @@ def test_shingles_and_fingerprint_bits():
     text = "The quick\tbrown  fox THE quick brown"
     words = text.lower().split()
     expected = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)]
-    got = simhash.shingle_hashes(text)
+    hashes = lambda x: simhash.shingle_hashes(simhash.words_of(x))
+    got = hashes(text)
     assert got.tolist() == expected
     bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in expected) > len(expected))
-    assert simhash.fold([got, simhash.shingle_hashes("one two"), simhash.shingle_hashes(None)]).tolist() == [bits, xxhash.xxh64_intdigest("one two", 42), 0]
+    assert simhash.fold([got, hashes("one two"), hashes(None)]).tolist() == [bits, xxhash.xxh64_intdigest("one two", 42), 0]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -136,6 +137,25 @@ def test_links_of_sets_match_brute_force(seed):
     assert not (found & ~wanted).any() and (groups(found, label) == groups(wanted, label)).all()
 
 
+def test_minima_agree_as_often_as_the_index_says():
+    rng = np.random.default_rng(2)
+    pairs = []
+    for _ in range(300):  # index 0.8: 400 of 500 are shared
+        pool = rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 500).astype(np.uint64)
+        pairs += [np.unique(pool[:450]), np.unique(pool[50:])]
+    keys = simhash.band_keys(pairs)
+    same = keys[::2] == keys[1::2]
+    assert abs(same.mean() - 0.8**6) < 0.02 and same.any(1).all()
+    assert (np.stack([simhash.band_keys([x])[0] for x in pairs[:5]]) == keys[:5]).all()
+    words = [b"a", b"b", b"c", b"d", b"e", b"f", b"a", b"b", b"c", b"d", b"e"]
+    long = [b"%d" % i for i in rng.integers(0, 9, 3000)]
+    texts = [words, words[:3], [], words[:3], words[:5], words[1:5], [b"ab", b"c"], [b"a", b"bc"], long]
+    sets = simhash.shingle_sets(texts)
+    assert [len(x) for x in sets] == [6, 1, 0, 1, 1, 1, 1, 1, len({tuple(long[i : i + 5]) for i in range(2996)})]
+    assert len(set(np.concatenate(sets[:5]).tolist())) == 7 and len(set(np.concatenate(sets[4:8]).tolist())) == 4
+    assert sets[4][0] in sets[0] and all((x == simhash.shingle_sets([y])[0]).all() for x, y in zip(sets, texts, strict=True))
+
+
 def test_bands_cover_every_link():
     masks = simhash._bands(0, 4)
     assert sum(bin(m).count("1") for m in masks) == 64 and len(masks) == 4

@@ -55,9 +55,13 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _LOWER = bytes(i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z) runs of ``[^\\x20\\x09-\\x0D]+``, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+
+
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """XXH64 of every word shingle, repeats included; one for fewer words, none for none."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     joined = b" ".join(words)
@@ -90,6 +94,40 @@ def spread(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word: a sum of hashed bytes and their places."""
+    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)  # no word has a space
+    ends = np.flatnonzero(data == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(data)) - np.repeat(starts, ends + 1 - starts)
+    return np.add.reduceat(spread(data.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)), 11), starts)
+
+
+def shingle_sets(texts: list[list[bytes]], size: int = SET_SHINGLE) -> list[np.ndarray]:
+    """For each list of words, sorted distinct 64-bit hashes of its shingles; of the whole list for fewer words."""
+    counts = np.array([len(x) for x in texts], np.int64)
+    if not counts.any():
+        return [np.empty(0, np.uint64)] * len(texts)
+    each = word_hashes(list(chain.from_iterable(texts)))
+    begin = np.cumsum(counts) - counts
+    joined = spread(each, size)
+    for k in range(1, min(size, len(each))):
+        joined[:-k] = spread(joined[:-k] ^ each[k:], k)
+    out = []
+    for a, n in zip(begin.tolist(), counts.tolist(), strict=True):
+        if n >= size:
+            own = np.sort(joined[a : a + n - size + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        elif n:
+            short = spread(each[a : a + 1], n)
+            for k in range(1, n):
+                short = spread(short ^ each[a + k : a + k + 1], k)
+            out.append(short)
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``key`` and the 64-bit ``fp`` (a signed long with the fingerprint's bits)."""
 
@@ -98,7 +136,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text",
             out = [np.empty(0, np.uint64)]
             waiting, size = [], 0
             for i, x in enumerate(batch.column(1)):
-                waiting.append(shingle_hashes(x.as_py(), shingle))
+                waiting.append(shingle_hashes(words_of(x.as_py()), shingle))
                 size += len(waiting[-1])
                 if size > 200_000 or len(waiting) == 1000 or i == batch.num_rows - 1:
                     out.append(fold(waiting))
@@ -367,16 +405,18 @@ def document_near_duplicates(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of minima of a set of hashes; none for an empty set."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    factors = spread(np.arange(BANDS * BAND_HASHES, dtype=np.uint64), 8) | np.uint64(1)
-    low = np.concatenate([(part[:, None] * hashes).min(1) for part in np.split(factors, BANDS)])
-    band = spread(np.arange(BANDS, dtype=np.uint64), 9)
-    for column in low.reshape(BANDS, BAND_HASHES).T:
-        band = spread(band ^ column, 10)
-    return band.view(np.int64)
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``BANDS`` keys for each set; no set is empty."""
+    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+    halves = [flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)]
+    factors = (spread(np.arange(BANDS * BAND_HASHES, dtype=np.uint64), 8) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    out = np.empty((len(sets), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = spread(np.full(len(sets), band, np.uint64), 9)
+        for i in range(band * BAND_HASHES, (band + 1) * BAND_HASHES):
+            key = spread(key ^ np.minimum.reduceat(halves[i % 2] * factors[i], starts), 10)
+        out[:, band] = key
+    return out.view(np.int64)
 
 
 def sketches(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -384,21 +424,22 @@ def sketches(documents: DataFrame, key: str, text: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, waiting, digests, sizes, keys, size = [np.empty(0, np.uint64)], [], [], [], [], 0
+            prints, keys = [np.empty(0, np.uint64)], [np.empty((0, BANDS), np.int64)]
+            digests, sizes, waiting, load = [], [], [], 0
             for i, x in enumerate(batch.column(1)):
-                one = x.as_py()
-                waiting.append(shingle_hashes(one))
-                own = np.unique(shingle_hashes(one, SET_SHINGLE))
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
-                keys.append(band_keys(own))
-                size += len(waiting[-1])
-                if size > 200_000 or len(waiting) == 1000 or i == batch.num_rows - 1:
-                    out.append(fold(waiting))
-                    waiting, size = [], 0
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            columns = [batch.column(0), pa.array(np.concatenate(out).view(np.int64)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
+                waiting.append(words_of(x.as_py()))
+                load += len(waiting[-1])
+                if load > 200_000 or len(waiting) == 1000 or i == batch.num_rows - 1:
+                    prints.append(fold([shingle_hashes(x) for x in waiting]))
+                    sets = shingle_sets(waiting)
+                    digests += [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                    sizes += map(len, sets)
+                    if filled := [x for x in sets if len(x)]:
+                        keys.append(band_keys(filled))
+                    waiting, load = [], 0
+            ends = np.cumsum([0, *(BANDS * bool(n) for n in sizes)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).reshape(-1)))
+            columns = [batch.column(0), pa.array(np.concatenate(prints).view(np.int64)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists]
             yield pa.RecordBatch.from_arrays(columns, [key, "fp", "digest", "size", "keys"])
 
     schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, fp long, digest binary, size long, keys array<long>"
@@ -447,12 +488,12 @@ def link_sets(sets: list[np.ndarray], seeds: np.ndarray, label: np.ndarray) -> t
     return np.repeat([a for a, _ in found], [len(b) for _, b in found]).astype(np.int64), np.concatenate(ends)
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
+def hashed_sets(texts: DataFrame) -> DataFrame:
     """``node`` and the sorted ``hashes`` of the 5-word shingles of its ``text``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), SET_SHINGLE)).tobytes() for x in batch.column(1)]
+            sets = [x.tobytes() for y in batch.column(1) for x in shingle_sets([words_of(y.as_py())])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
     return texts.select("node", "text").mapInArrow(scan, "node long, hashes binary")
@@ -501,7 +542,7 @@ def near_copy_links(codes: DataFrame, texts: DataFrame) -> DataFrame:
     largest group are compared with all nodes, so no link that connects is missed.
     """
     buckets = keep(proposals(codes), "buckets")
-    sets = keep(shingle_sets(texts.join(buckets.select("node").distinct().hint("merge"), "node")), "shingle-sets")
+    sets = keep(hashed_sets(texts.join(buckets.select("node").distinct().hint("merge"), "node")), "shingle-sets")
     pairs = buckets.select(F.col("hub").alias("bucket"), "node", "size").distinct()
     first = components(confirmed_links(pairs.select("*", (F.col("node") == F.col("bucket")).alias("seed"), F.col("node").alias("label")), sets))
     first = keep(first, "first-groups")
