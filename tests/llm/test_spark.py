@@ -313,6 +313,36 @@ def test_languages_are_learned(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > 0.95
 
 
+def test_words_of_switched_texts_are_labelled(spark):
+    """Held-out texts of two languages joined stretch by stretch: each word's language is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null")
+    model = langid.fit_language_model(docs, ~langid.held_out())
+    rows = [(r["text"], r["lang"]) for r in docs.where(langid.held_out() & (F.length("text") > 800)).orderBy("doc_id").collect()]
+    rng = np.random.default_rng(0)
+    texts, truth = [], []
+    for i in range(120):
+        (a, x), (b, y) = (rows[j] for j in rng.choice(len(rows), 2, replace=False))
+        parts, langs = [a.split(), b.split()], [x, y]
+        words, own = [], []
+        while min(map(len, parts)) and len(words) < 200:
+            n = int(rng.integers(8, 25))
+            took, parts = parts[0][:n], [parts[1], parts[0][n:]]
+            words += took
+            own += [langs[0]] * len(langid.words([" ".join(took)])[1])
+            langs.reverse()
+        texts.append((i, " ".join(words)))
+        truth.append(own)
+    right = total = 0
+    spans = langid.language_spans(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    for r in spans:
+        own = truth[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]]
+        assert len(own) == r["n_words"]
+        right, total = right + own.count(r["lang"]), total + len(own)
+    assert total == sum(map(len, truth))
+    print(f"words labelled right: {right / total:.4f} of {total}")
+    assert right / total > 0.9
+
+
 def test_quality_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(2, 1, 0), (2, 0, 0), (3, 1, None), (4, None, 0), (None, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.document_quality(odd, labels).collect()
@@ -358,7 +388,7 @@ def test_columns_of_any_name_are_carried(spark, stage):
 def test_clashing_columns_of_predictions_stay_under_another_name(spark):
     docs = clashing(spark)
     got = langid.predict_language(docs, None)
-    assert got.columns == [f"{c}_" if c in ("score", "lang_pred") else c for c in docs.columns] + ["lang_pred", "score"]
+    assert got.columns == [f"{c}_" if c in ("score", "lang_pred") else c for c in docs.columns] + ["lang_pred", "score", "n_runs"]
     assert {r["score_"] for r in got.collect()} == {r["score"] for r in docs.collect()}
     bench = spark.createDataFrame([(1, "zz yy")], "item_id long, text string")
     assert {r["found_"] for r in decontaminate.find(docs, bench).collect()} == {r["found"] for r in docs.collect()}

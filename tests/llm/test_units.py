@@ -205,19 +205,20 @@ def test_collisions_are_confirmed(tmp_path):
     assert url_filter.DigestArray(str(tmp_path / "e")).find([(b"net/", 3)]).tolist() == [-1]
 
 
-def test_forward_backward_equals_enumeration():
+@pytest.mark.parametrize("piece", [64, 1, 2, 3])
+def test_forward_backward_equals_enumeration(monkeypatch, piece):
     from itertools import product
 
+    monkeypatch.setattr(langid, "PIECE", piece)  # pieces of a chain carry exact messages
     model = langid.Crf(["x", "y", "z"])
     rng = np.random.default_rng(0)
     model.moves = rng.normal(size=(3, 3))
-    emit = rng.normal(size=(7, 3))
-    chain, place = np.array([0] * 4 + [1] * 3), np.array([0, 1, 2, 3, 0, 1, 2])
-    got, both = model.marginals(emit, chain, place, pairs=True)
-    expected, expected_both = np.zeros((7, 3)), np.zeros((3, 3))
-    for rows in (range(4), range(4, 7)):
-        rows = list(rows)
-        total, mine, pair = 0.0, np.zeros((7, 3)), np.zeros((3, 3))
+    chains = [range(4), range(4, 10), range(10, 11), range(11, 16)]
+    emit, place = rng.normal(size=(16, 3)), np.concatenate([np.arange(len(x)) for x in chains])
+    got, both = model.marginals(emit, place, pairs=True)
+    expected, expected_both = np.zeros((16, 3)), np.zeros((3, 3))
+    for rows in map(list, chains):
+        total, mine, pair = 0.0, np.zeros((16, 3)), np.zeros((3, 3))
         for path in product(range(3), repeat=len(rows)):
             p = np.exp(sum(emit[r, k] for r, k in zip(rows, path, strict=True)) + sum(model.moves[a, b] for a, b in zip(path, path[1:], strict=False)))
             total += p
@@ -230,13 +231,35 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(got, expected) and np.allclose(both, expected_both)
 
 
+def test_pieces_of_a_long_chain_give_what_one_chain_gives(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = langid.Crf(["a", "b", "c", "d"])
+    model.moves = rng.normal(size=(4, 4)) + 4 * np.eye(4)
+    sizes = [1, 64, 65, 128, 3000, 7]
+    emit, place = 3 * rng.normal(size=(sum(sizes), 4)), np.concatenate([np.arange(n) for n in sizes])
+    in_pieces = model.marginals(emit, place, pairs=True)
+    monkeypatch.setattr(langid, "PIECE", 10_000)
+    whole = model.marginals(emit, place, pairs=True)
+    assert np.allclose(in_pieces[0], whole[0]) and np.allclose(in_pieces[1], whole[1])
+
+
+def test_training_sequences_change_between_texts():
+    text = np.repeat(np.arange(40), 100)
+    by = langid.spliced(text, np.random.default_rng(0))
+    assert sorted(by.tolist()) == list(range(4000))
+    changes = int((np.diff(text[by]) != 0).sum())
+    assert 100 < changes < 400  # without splices: 39
+    assert langid.spliced(np.zeros(3, np.int64), np.random.default_rng(0)).tolist() == [0, 1, 2]
+
+
 def test_language_model_labels_switched_text():
     en, de = "the and of with house water " * 20, "der und von mit haus wasser schön " * 20
     model = langid.Crf(["de", "en"]).fit([en, de] * 4, ["en", "de"] * 4)
     assert [x[0] for x in model.predict([en, de, None, "", "123 !!", "—"])] == ["en", "de", "und", "und", "und", "und"]
     own, shares = model.label_words(["the water and the house und wasser von der schön"])[3:]
     assert shares.argmax(1).tolist() == [1] * 5 + [0] * 5
-    assert all(0 <= s <= 1 for _, s in model.predict([en, de, "x"]))
+    assert all(0 <= s <= 1 for _, s, _ in model.predict([en, de, "x"]))
+    assert [x[2] for x in model.predict(["the water and the house und wasser von der schön", None, en])] == [2, 0, 1]
 
 
 def test_trees_learn_and_flat_traversal_agrees():

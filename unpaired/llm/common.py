@@ -124,15 +124,16 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def bounded_sample(df: DataFrame, rows: int, key: str) -> list:
-    """At most ``rows`` rows, those of the smallest hash of ``key``; the same each time.
+def bounded_sample(df: DataFrame, rows: int) -> list:
+    """At most ``rows`` different rows, those of the smallest hash; the same each time.
 
     A cut on the hash, from the number of rows, keeps what reaches the driver near
-    ``rows`` however many partitions there are.
+    ``rows`` however many partitions there are. Equal rows count once, so a row that
+    is repeated a great many times can't fill the sample.
     """
     count = df.count()
-    hashed = df.withColumn("_hash", F.xxhash64(F.col(key)))
+    hashed = df.withColumn("_hash", F.xxhash64(*df.columns))
     if count > rows:
         spread = 1.3 * rows / count + 100 / count
         hashed = hashed.where(F.col("_hash") <= int(-(1 << 63) + min(1.0, spread) * ((1 << 64) - 1)) - 1)
-    return hashed.orderBy("_hash", *[c for c in df.columns]).limit(rows).drop("_hash").collect()
+    return hashed.dropDuplicates(["_hash"]).orderBy("_hash").limit(rows).drop("_hash").collect()

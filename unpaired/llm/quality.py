@@ -159,7 +159,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, learn: Column, key: str
     """Trees fitted on at most ``rows`` labelled documents for which ``learn`` (of ``key``) holds."""
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
     marked = marked.withColumnRenamed("_key", key).where(learn).groupBy(key).agg(F.min("_label").alias("_label"))
-    sample = bounded_sample(marked, rows, key)
+    sample = bounded_sample(marked, rows)
     if not sample:
         return None
     chosen = documents.sparkSession.createDataFrame(sample, marked.schema).withColumnRenamed(key, "_key")
