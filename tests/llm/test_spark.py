@@ -78,6 +78,31 @@ def test_longest_matches(spark):
     assert got == {1: (5, 1, 1), 2: (4, 1, 2), 3: (3, 1, 3)}
 
 
+@pytest.mark.parametrize("block_bytes", [32 << 20, 60])
+def test_longest_matches_equal_brute_force(spark, block_bytes):
+    rng = np.random.default_rng(7)
+    word = lambda n: " ".join(rng.choice(["a", "b", "c"], n))
+    docs = [(int(i), word(int(rng.integers(0, 30)))) for i in rng.permutation(25)] + [(None, word(12)), (3, word(9))]
+    items = [(i, word(int(rng.integers(1, 14)))) for i in range(8)]
+    items += [(9, docs[4][1]), (10, docs[7][1] + " " + docs[8][1])]
+    want = {}
+    for item, text in items:
+        x = text.split()
+        least = min(4, len(x))
+        for pos in range(len(x) - least + 1 if x else 0):
+            for doc, other in docs:
+                w = other.split()
+                for i in range(len(w)):
+                    n = 0
+                    while i + n < len(w) and pos + n < len(x) and w[i + n] == x[pos + n]:
+                        n += 1
+                    if n >= least:
+                        want[item, pos] = min(want.get((item, pos), (0, (True, 0), 0)), (-n, (doc is not None, doc or 0), i))
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.longest_matches(*frames, least=4, shard_words=90, block_bytes=block_bytes).collect()
+    assert {(r["item_id"], r["item_pos"]): (-r["n_words"], (r["doc_id"] is not None, r["doc_id"] or 0), r["doc_pos"]) for r in got} == want and len(got) == len(want)
+
+
 def test_token_counts_on_odd_rows(spark, odd):
     got = token_counts.token_counts(odd).collect()
     counter = token_counts.Counter(token_counts.load_vocabulary())

@@ -53,6 +53,24 @@ def brute_hits(texts, items):
     return out
 
 
+def brute_longest(text, items):
+    """The longest match (words, first word, item) of a suffix of 13 words or more, or of a whole shorter item."""
+    w, out = dc.words_of(text), []
+    for key, other in items:
+        x = dc.words_of(other)
+        if key is None or not x:
+            continue
+        least = min(13, len(x))
+        for i in range(len(w)):
+            for j in range(len(x) - least + 1):
+                n = 0
+                while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                    n += 1
+                if n >= least:
+                    out.append((-n, i, str(key)))
+    return (lambda b: (-b[0], b[1], b[2]))(min(out)) if out else None
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_array_hits_match_brute_force(seed):
     rng = random.Random(seed)
@@ -60,7 +78,9 @@ def test_suffix_array_hits_match_brute_force(seed):
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 12, 13, 14, 40])))) for i in range(6)] + [(1, "zz"), (None, "ab"), (9, None)]
     texts = [" ".join(word() for _ in range(rng.randrange(60))) for _ in range(30)] + [None, "", items[4][1], "!! " + items[5][1].upper() + " x"]
     got = dc.search_shard([dc.words_of(t) for t in texts], dc.TestSet(items))
-    for (spans, names), (hit, found) in zip(got, brute_hits(texts, [x for x in items if x[0] is not None and x[1]]), strict=True):
+    for (_, _, longest), text in zip(got, texts, strict=True):
+        assert longest == brute_longest(text, items)
+    for (spans, names, _), (hit, found) in zip(got, brute_hits(texts, [x for x in items if x[0] is not None and x[1]]), strict=True):
         assert {p for a, b in spans for p in range(a, b)} == hit
         assert set(names) == found
 

@@ -2,8 +2,10 @@
 
 Each task encodes the words of its documents in the test set's vocabulary (other
 words become 0, which no test suffix contains), sorts the suffixes of every shard
-of about ``SHARD_WORDS`` words, and binary-searches the test suffixes in it. A
-document lies in one shard whole, so nothing is shuffled.
+of about ``SHARD_WORDS`` words, and binary-searches every test suffix in it: first
+its leading window, then one more word at a time as long as suffixes of the shard
+agree. This tells how long each place matches each test suffix. A document lies in
+one shard whole, so nothing is shuffled.
 
 Defined results: null or wordless texts have no words and are never contaminated;
 items without words or without an id are skipped; repeated items count once by id;
@@ -18,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ SHARD_WORDS = 1_000_000
 #: Test sets above this many bytes of text are searched block by block.
 BLOCK_BYTES = 32 << 20
 
-_FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
+_FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.struct([("n_words", pa.int64()), ("start", pa.int64()), ("item", pa.string())]))])
+FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>,longest:struct<n_words:long,start:long,item:string>>"
 _PLAIN = bytes(32 if i < 0x30 or 0x3A <= i <= 0x40 or 0x5B <= i <= 0x60 or 0x7B <= i <= 0x7F else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 
 
@@ -48,6 +51,8 @@ class TestSet:
         self.ids: list[str] = []
         self.tokens: list[list[int]] = []
         windows: dict[tuple[int, ...], set[str]] = {}
+        places: dict[tuple[int, ...], int] = {}
+        suffixes: list[tuple[int, int, int]] = []
         for key, text in items:
             words = words_of(text)
             if key is None or not words:
@@ -57,7 +62,9 @@ class TestSet:
             self.tokens.append(ids)
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1):
-                windows.setdefault(tuple(ids[i : i + size]), set()).add(str(key))
+                own = tuple(ids[i : i + size])
+                windows.setdefault(own, set()).add(str(key))
+                suffixes.append((len(self.tokens) - 1, i, places.setdefault(own, len(places))))
         self.longest = max(map(len, self.tokens), default=0)
         self.bits = max(1, len(self.vocabulary).bit_length())
         self.packed = max(1, min(62 // self.bits, window))
@@ -66,6 +73,13 @@ class TestSet:
         for i, x in enumerate(windows):
             self.windows[i, : len(x)] = x
         self.items = [sorted(x) for x in windows.values()]
+        #: Of every test suffix of a window or more: its item, its place in it, and its window.
+        self.item, self.pos, self.window = np.array(suffixes, np.int64).reshape(-1, 3).T
+        lengths = np.array([len(x) for x in self.tokens], np.int64)
+        self.flat = np.concatenate([np.empty(0, np.int64), *(np.array(x, np.int64) for x in self.tokens)])
+        self.at = (np.cumsum(lengths) - lengths)[self.item] + self.pos
+        self.left = lengths[self.item] - self.pos
+        self.name_rank = np.unique(self.ids, return_inverse=True)[1] if self.ids else np.empty(0, np.int64)
 
 
 class SuffixArray:
@@ -131,6 +145,46 @@ class SuffixArray:
         return low
 
 
+    def longest(self, test: TestSet, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """How far test suffixes match, from the ranges of their windows: (suffix, words, low, high).
+
+        The suffixes of the shard in low to high match so many words of that test suffix
+        and no more. The last entry of a test suffix has its longest matches.
+        """
+        now = np.flatnonzero(right[test.window] > left[test.window])
+        low, high, size = left[test.window[now]], right[test.window[now]], test.sizes[test.window[now]]
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+
+        def give(which: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+            which = np.flatnonzero(which & (a < b))
+            for column, x in zip(out, (now, size, a, b), strict=True):
+                column.append(x[which])
+
+        while len(now):
+            open_ = test.left[now] > size
+            give(~open_, low, high)
+            now, low, high, size = (x[open_] for x in (now, low, high, size))
+            wanted = test.flat[test.at[now] + size]
+            a, b = (self._next(size, wanted, low, high, past) for past in (False, True))
+            every = np.ones(len(now), bool)
+            give(every, low, a)
+            give(every, b, high)
+            # none goes on: those were given above
+            now, low, high, size = (x[a < b] for x in (now, a, b, size + 1))
+        return tuple(np.concatenate(x) for x in out)
+
+    def _next(self, size: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray, past: bool) -> np.ndarray:
+        """Where in low to high the word behind ``size`` words is no longer below (``past``: above) the one wanted."""
+        low, high = low.copy(), high.copy()
+        last = len(self.order) - 1
+        while (open_ := low < high).any():
+            middle = (low + high) >> 1
+            word = self.tokens[self.order[np.minimum(middle, last)] + size]
+            after = word <= wanted if past else word < wanted
+            low, high = np.where(open_ & after, middle + 1, low), np.where(open_ & ~after, middle, high)
+        return low
+
+
 def shard_tokens(texts: list[list[bytes]], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """The words of a shard as ids with a 0 before each document, and where documents begin."""
     sizes = np.array([len(x) for x in texts], np.int64)
@@ -141,21 +195,31 @@ def shard_tokens(texts: list[list[bytes]], vocabulary: dict[bytes, int]) -> tupl
     return tokens, begins
 
 
-def search_shard(texts: list[list[bytes]], test: TestSet) -> list[tuple[list[tuple[int, int]], list[str]]]:
-    """For each document: its hit spans of words (merged) and the ids of the items found."""
-    found: list[tuple[list[tuple[int, int]], list[str]]] = [([], []) for _ in texts]
+def _expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each low to its high, and the place of the pair that each is from."""
+    count = high - low
+    whose = np.repeat(np.arange(len(low)), count)
+    return low[whose] + np.arange(len(whose)) - (np.cumsum(count) - count)[whose], whose
+
+
+def search_shard(texts: list[list[bytes]], test: TestSet) -> list[tuple[list[tuple[int, int]], list[str], tuple[int, int, str] | None]]:
+    """For each document: its hit spans of words (merged), the ids of the items found, and its longest match.
+
+    A longest match is (words, first word, item); ties take the first place, then the
+    item that sorts first.
+    """
+    found: list = [([], [], None) for _ in texts]
     if not len(test.windows):
         return found
     tokens, begins = shard_tokens(texts, test.vocabulary)
-    suffixes = SuffixArray(tokens, test.bits, test.packed, test.windows.shape[1])
+    suffixes = SuffixArray(tokens, test.bits, test.packed, test.longest)
     left, right = suffixes.ranges(test.windows, test.sizes)
     count = right - left
     hit = np.flatnonzero(count > 0)
     if not len(hit):
         return found
-    window = np.repeat(hit, count[hit])
-    nth = np.arange(len(window)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-    start = suffixes.order[left[window] + nth]
+    place, whose = _expanded(left[hit], right[hit])
+    window, start = hit[whose], suffixes.order[place]
     n = len(tokens) + 1
     edge = np.bincount(start, minlength=n) - np.bincount(start + test.sizes[window], minlength=n)
     covered = np.cumsum(edge) > 0
@@ -174,6 +238,13 @@ def search_shard(texts: list[list[bytes]], test: TestSet) -> list[tuple[list[tup
         if names is None:
             names = listed[own.tobytes()] = sorted({x for w in own.tolist() for x in test.items[w]})
         found[d][1].extend(names)
+    suffix, size, low, high = suffixes.longest(test, left, right)
+    place, whose = _expanded(low, high)
+    start, size, item = suffixes.order[place], size[whose], test.item[suffix[whose]]
+    doc = np.searchsorted(begins, start, "right") - 1
+    order = np.lexsort((test.name_rank[item], start, -size, doc))
+    for i in order[np.flatnonzero(np.diff(doc[order], prepend=-1))].tolist():
+        found[doc[i]] = (*found[doc[i]][:2], (int(size[i]), int(start[i] - begins[doc[i]] - 1), test.ids[item[i]]))
     return found
 
 
@@ -198,7 +269,7 @@ def _merged(a: list[dict], b: list[tuple[int, int]]) -> list[dict]:
 
 
 def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "found", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``documents`` with ``out``: number of words, hit spans of words, and items found.
+    """``documents`` with ``out``: number of words, hit spans of words, items found, and the longest match with its place.
 
     A column named ``out`` stays under another name (:func:`unpaired.llm.common.renamed`).
     """
@@ -220,9 +291,11 @@ def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: s
                     shard.append(words)
                     size += len(words)
                     if size >= shard_words or i == len(texts) - 1:
-                        for words, (spans, items) in zip(shard, search_shard(shard, test.value), strict=True):
-                            old = before[len(rows)] or {"spans": [], "items": []}
-                            rows.append({"n_words": len(words), "spans": _merged(old["spans"], spans), "items": sorted({*old["items"], *items})})
+                        for words, (spans, items, longest) in zip(shard, search_shard(shard, test.value), strict=True):
+                            old = before[len(rows)] or {"spans": [], "items": [], "longest": None}
+                            best = [x for x in (old["longest"], longest and dict(zip(("n_words", "start", "item"), longest, strict=True))) if x]
+                            best = min(best, key=lambda x: (-x["n_words"], x["start"], x["item"]), default=None)
+                            rows.append({"n_words": len(words), "spans": _merged(old["spans"], spans), "items": sorted({*old["items"], *items}), "longest": best})
                         shard, size = [], 0
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, _FOUND)], batch.schema.names)
 
@@ -240,6 +313,9 @@ def summary(found: str = "found") -> dict[str, Column]:
         "n_items": F.size(items).cast("long"),
         "items_sha256": F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256),
         "contaminated": (hit > 0) & (20 * hit >= words),
+        "longest": F.coalesce(f"{found}.longest.n_words", F.lit(0).cast("long")),
+        "longest_start": F.col(f"{found}.longest.start"),
+        "longest_item": F.col(f"{found}.longest.item"),
     }
 
 
@@ -270,12 +346,12 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, key: str = "doc_
                     while stop < len(texts) and size < shard_words:
                         size += len(texts[stop])
                         stop += 1
-                    rows = _longest(texts[start:stop], test.value, least)
-                    doc = pa.array([start + r[3] for r in rows], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), batch.column(0).take(doc), pa.array([r[4] for r in rows], pa.int64())],
-                        ["item", "item_pos", "n_words", "key", "doc_pos"],
-                    )
+                    own = batch.column(0).slice(start, stop - start)
+                    rank = np.empty(len(own), np.int64)
+                    rank[pc.sort_indices(own, null_placement="at_start").to_numpy()] = np.arange(len(own))
+                    item, pos, size, doc, at = _longest(texts[start:stop], test.value, rank)
+                    names = pa.array(test.value.ids, pa.string()).take(pa.array(item))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(pos), pa.array(size), own.take(pa.array(doc)), pa.array(at)], ["item", "item_pos", "n_words", "key", "doc_pos"])
                     start = stop
 
         found = documents.select(F.col(key), F.col(text)).mapInArrow(search, f"item string, item_pos long, n_words long, key {kinds[key]}, doc_pos long")
@@ -284,29 +360,23 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, key: str = "doc_
     return best.select(F.col("item").cast(name).alias(item), "item_pos", (-F.col("b.n")).alias("n_words"), F.col("b.key").alias(key), F.col("b.doc_pos").alias("doc_pos"))
 
 
-def _longest(texts: list[list[bytes]], test: TestSet, least: int) -> list[tuple[str, int, int, int, int]]:
-    """The best (item, item_pos, n_words, document, doc_pos) of one shard for each test suffix."""
-    if not test.tokens:
-        return []
+def _longest(texts: list[list[bytes]], test: TestSet, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(item, item_pos, n_words, document, doc_pos) of one shard for each test suffix; ties take the document of the least ``rank``."""
+    empty = (np.empty(0, np.int64),) * 5
+    if not len(test.windows):
+        return empty
     tokens, begins = shard_tokens(texts, test.vocabulary)
     suffixes = SuffixArray(tokens, test.bits, test.packed, test.longest)
-    rows = []
-    for name, ids in zip(test.ids, test.tokens, strict=True):
-        item = np.array(ids, np.int64)
-        for pos in range(len(ids) - min(least, len(ids)) + 1):
-            size = min(least, len(ids) - pos)
-            low, high = (int(x[0]) for x in suffixes.ranges(np.pad(item[pos : pos + size], (0, test.windows.shape[1] - size))[None, :], np.array([size])))
-            while low < high and pos + size < len(ids):  # follow the suffix as far as one is left
-                nexts = suffixes.tokens[suffixes.order[low:high] + size]
-                same = np.flatnonzero(nexts == item[pos + size])
-                if not len(same):
-                    break
-                low, high, size = low + int(same[0]), low + int(same[-1]) + 1, size + 1
-            if low < high:
-                at = int(suffixes.order[low:high].min())
-                doc = int(np.searchsorted(begins, at, "right")) - 1
-                rows.append((name, pos, size, doc, at - int(begins[doc]) - 1))
-    return rows
+    suffix, size, low, high = suffixes.longest(test, *suffixes.ranges(test.windows, test.sizes))
+    if not len(suffix):
+        return empty
+    place, whose = _expanded(low, high)
+    start, suffix, size = suffixes.order[place], suffix[whose], size[whose]
+    doc = np.searchsorted(begins, start, "right") - 1
+    order = np.lexsort((start, rank[doc], -size, suffix))
+    best = order[np.flatnonzero(np.diff(suffix[order], prepend=-1))]
+    doc = doc[best]
+    return test.item[suffix[best]], test.pos[suffix[best]], size[best], doc, start[best] - begins[doc] - 1
 
 
 def document_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -318,16 +388,22 @@ def document_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFr
 
 ORACLE = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-bw AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, CAST(len(w) - least(13, len(w)) + 2 AS BIGINT))) AS i FROM b WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS bid, CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT bid, item, w, least(13, len(w)) AS n, unnest(range(1, CAST(len(w) - least(13, len(w)) + 2 AS BIGINT))) AS i FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM bw),
 sizes AS (SELECT DISTINCT n FROM win),
 dw AS (SELECT rid, n, w, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM d, sizes WHERE len(w) >= n),
 occ AS (SELECT rid, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM dw),
 hits AS (SELECT rid, item, occ.n, i FROM occ JOIN win ON occ.n = win.n AND occ.win = win.win),
+posn AS (SELECT bid, item, n, i AS place, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM bw),
+pairs AS (SELECT rid, bid, item, occ.n, occ.i, occ.i - place AS diagonal FROM occ JOIN posn ON occ.n = posn.n AND occ.win = posn.win),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY rid, bid, diagonal ORDER BY i) AS run FROM pairs),
+matches AS (SELECT rid, item, any_value(n) + count(*) - 1 AS words, min(i) - 1 AS start FROM runs GROUP BY rid, bid, item, diagonal, run),
+best AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY rid ORDER BY words DESC, start, item) = 1),
 hw AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, n, i FROM hits)) GROUP BY rid),
 hi AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(best.words, 0) AS BIGINT) AS longest, CAST(best.start AS BIGINT) AS longest_start, best.item AS longest_item
+FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid) LEFT JOIN best USING (rid)
 """
