@@ -214,10 +214,10 @@ def test_unconnected_groups_of_one_bucket_are_compared(spark, monkeypatch):
     for i in range(12):
         words[20 * i : 20 * i + 20] = rng.integers(9000, 10**6, 20).astype(str)
         texts.append(" ".join(words))
-    codes = [(i, i, len(shingles(t)), [1]) for i, t in enumerate(texts)]
-    codes = spark.createDataFrame(codes, "node long, fp long, size long, keys array<long>")
+    codes = [(i, i, i, len(shingles(t)), [1]) for i, t in enumerate(texts)]
+    codes = spark.createDataFrame(codes, "node long, row long, fp long, size long, keys array<long>")
     monkeypatch.setattr(simhash, "links", lambda codes: codes.sparkSession.createDataFrame([], "a long, b long"))
-    texts = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    texts = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     for hashes in (1 << 19, 900):
         monkeypatch.setattr(simhash, "SET_HASHES", hashes)
         got = {r["node"]: r["root"] for r in simhash.components(simhash.near_copy_links(codes, texts)).collect()}
@@ -245,6 +245,21 @@ def test_near_copies_are_those_of_the_exact_index(spark, monkeypatch, hashes):
     assert sorted(r["doc_id"] for r in simhash.first_of_each(docs).collect()) == sorted(set(want.tolist()))
 
 
+def test_tables_on_the_way_are_deleted(spark, tmp_path):
+    kept = []
+
+    def make():
+        kept.append(common.keep(spark.range(5), "inner"))
+        kept.append(common.only(lambda: common.keep(spark.range(3), "deeper"), "middle"))
+        return kept[0].join(kept[1], "id")
+
+    out = common.only(make, "outer")
+    assert out.count() == 3
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for x in kept for f in x.inputFiles())
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +36,40 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables that were kept inside of :func:`only`.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Keep the table that ``make`` returns, and delete all that were kept on the way to it."""
+    token = _MADE.set([])
+    try:
+        out = make()
+        made = list(_MADE.get())
+        kept = keep(out, name)
+    finally:
+        _MADE.reset(token)
+    if (outer := _MADE.get()) is not None:
+        outer.extend(x.rsplit("/", 1)[0] for x in kept.inputFiles()[:1])
+    for path in made:
+        _delete(kept.sparkSession, path)
+    return kept
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_kept(df: DataFrame) -> None:
     """Delete a table made by :func:`keep` that nothing will read again."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unpaired.llm.common import drop_kept, keep, partitions, running_total, text_or_empty, whole
+from unpaired.llm.common import drop_kept, keep, only, partitions, running_total, text_or_empty, whole
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -93,7 +93,7 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     """
     placed = keep(documents.select(whole(documents).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-numbered")
     own = placed.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.source").alias("source"), n_words(F.col("doc.text")).alias("words"))
-    taken = keep(mix(own, "row", "id", "source", "words").where("copies > 0").select("row", "copies"), "mix-taken")
+    taken = only(lambda: mix(own, "row", "id", "source", "words").where("copies > 0").select("row", "copies"), "mix-taken")
     # the rows taken grow with the input: never a broadcast
     chosen = placed.join(taken.hint("merge"), "row")
     return chosen.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unpaired.llm.common import drop_kept, keep, whole
+from unpaired.llm.common import drop_kept, keep, only, whole
 
 DISTANCE = 3
 SHINGLE = 3
@@ -534,15 +534,16 @@ def proposals(codes: DataFrame) -> DataFrame:
 
 
 def near_copy_links(codes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect all nodes of ``codes`` (node, fp, size, keys) that are near copies.
+    """Links ``a, b`` that connect all nodes of ``codes`` (node, row, fp, size, keys) that are near copies.
 
-    ``texts`` has ``node`` and ``text``. First every node is compared with the hub of each
+    ``texts`` has ``row`` and ``text``. First every node is compared with the hub of each
     bucket, which connects most of a group of near copies at a cost in proportion to it.
     Then, in buckets where two unconnected groups are left, all nodes outside of the
     largest group are compared with all nodes, so no link that connects is missed.
     """
     buckets = keep(proposals(codes), "buckets")
-    sets = keep(hashed_sets(texts.join(buckets.select("node").distinct().hint("merge"), "node")), "shingle-sets")
+    members = codes.select("node", "row").join(buckets.select("node").distinct().hint("merge"), "node")
+    sets = keep(hashed_sets(texts.join(members.hint("merge"), "row")), "shingle-sets")
     pairs = buckets.select(F.col("hub").alias("bucket"), "node", "size").distinct()
     first = components(confirmed_links(pairs.select("*", (F.col("node") == F.col("bucket")).alias("seed"), F.col("node").alias("label")), sets))
     first = keep(first, "first-groups")
@@ -567,9 +568,13 @@ def first_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text")
     own = placed.select(F.col("doc").getField(key).alias("key"), F.col("doc").getField(text).alias("text"), "row")
     name = F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")
     prints = sketches(own.select(name.alias("name"), "text"), "name", "text")
+    first = only(lambda: first_rows(prints, own.select("row", "text")), "first-rows")
+    return placed.join(first.hint("merge"), "row", "left_semi").select("doc.*")
+
+
+def first_rows(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``row`` of the least name of each group of near copies; ``prints`` are :func:`sketches` of (unnamed, key, row)."""
     codes = prints.groupBy("digest").agg(F.min("name").alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    codes = keep(codes.drop("digest").withColumn("node", F.monotonically_increasing_id()), "codes")
-    texts = codes.select("node", F.col("least.row").alias("row")).join(own.select("row", "text").hint("merge"), "row").select("node", "text")
+    codes = keep(codes.drop("digest").select("*", "least.row", F.monotonically_increasing_id().alias("node")), "codes")
     every = component_of(codes.select("node", "least"), near_copy_links(codes, texts), "node")
-    first = keep(every.select("component_id.row").distinct(), "first-rows")
-    return placed.join(first.hint("merge"), "row", "left_semi").select("doc.*")
+    return every.select("component_id.row").distinct()
