@@ -50,6 +50,25 @@ def test_media_assembly_keeps_positions(spark):
     assert out[2] is None and out[3][0]["media"] is None
 
 
+def test_pages_are_taken_apart_and_put_together(spark):
+    """Every word and medium of the raw pages, in order, as a plain regular expression finds them."""
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    seq = common.keep(media.interleave(pages, "page_id", "html"), "page-items")
+    store = media.store_payloads(spark.createDataFrame([("0" * 64, bytes(64))], "d string, p binary"), "d", "p")
+    whole = {r["page_id"]: r["items"] for r in media.assemble(seq, "page_id", store).collect()}
+    for r in pages.collect():
+        raw = re.sub(r"(?is)<(script|style|title|template|noscript)\b.*?</\1\s*>|<!--.*?-->", " ", r["html"] or "")
+        words = html.unescape(re.sub(r"<[^>]*>", " ", raw)).split()
+        items = whole[r["page_id"]] or []
+        shown = [w for i in items for w in (i["text"] if i["kind"] == "text" else "").split()]
+        captions = "".join(i["caption"] or "" for i in items if i["kind"] == "media")
+        assert "".join(shown) == "".join(words) or captions
+        assert [i["pos"] for i in items] == list(range(len(items)))
+
+
 def test_decontamination_contract(spark, odd):
     bench = spark.createDataFrame([(7, "the cat"), (7, "the cat"), (8, "MAT"), (None, "word"), (9, None), (10, "?")], "item_id long, text string")
     got = decontaminate.document_contamination(odd, bench).collect()
@@ -113,18 +132,40 @@ def test_token_counts_on_odd_rows(spark, odd):
 def test_preference_prefix_and_spans(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "and?"), (0, 3, "assistant", None), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, "x"), (4, 0, "user", "a"), (5, 0, "user", "a"), (None, 0, "user", "b")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = {r["pair_id"]: r for r in chat_format.conversation_preferences(df).collect()}
+    sides = df.where("conv_id is not null").selectExpr("floor(conv_id / 2) as pair_id", "conv_id % 2 = 0 as is_chosen", "turn", "role", "text")
+    got = {r["pair_id"]: r for r in chat_format.format_preferences(sides).collect()}
     assert set(got) == {0, 1, 2}
     r = got[0]
     assert r["prompt_turns"] == 1 and r["prompt"] == "<|im_start|>user\nhi<|im_end|>\n"
-    shown = [r["chosen"][int(a) : int(b)] for a, b in (s.split("-") for s in r["chosen_spans"].split(","))]
-    assert shown == ["yes<|im_end|>", "<|im_end|>"]
-    assert r["rejected"][slice(*map(int, r["rejected_spans"].split("-")))] == "no<|im_end|>"
-    assert (got[1]["prompt"], got[1]["rejected"], got[1]["chosen_spans"]) == ("", None, "")
+    assert [r["chosen"][s["start"] : s["end"]] for s in r["chosen_spans"]] == ["yes<|im_end|>", "<|im_end|>"]
+    assert [r["rejected"][s["start"] : s["end"]] for s in r["rejected_spans"]] == ["no<|im_end|>"]
+    assert (got[1]["prompt"], got[1]["rejected"], got[1]["chosen_spans"]) == ("", None, [])
     assert (got[2]["prompt_turns"], got[2]["chosen"], got[2]["rejected"]) == (1, "", "")
     assert chat_format.conversation_preferences(df.limit(0)).count() == 0
 
 
+def test_preferences_of_conversations_share_turns(spark):
+    long = "x" * 200_000
+    turns = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "one"), (0, 2, "user", "and?"), (0, 3, "assistant", "two"), (0, 4, "user", "bye"),
+        (1, 0, "user", long), (1, 1, "assistant", None),
+        (2, 0, "user", "tie"), (2, 1, "assistant", "same"), (2, 1, "assistant", "same"), (3, 0, "assistant", "same"),
+        (4, 0, "user", "no reply"), (5, None, None, None), (6, 0, "assistant", "no neighbour"), (None, 0, "user", "b"), (-2, 0, "assistant", "p"), (-1, 0, "assistant", "q"),
+    ]
+    df = spark.createDataFrame([(*t, "a", "b", "c") for t in turns], "conv_id long, turn long, role string, text string, pair_id string, _a string, prompt string")
+    got = {r["pair_id"]: r for r in chat_format.conversation_preferences(df).collect()}
+    assert set(got) == {-2, -1, 0, 1, 2, 3, 4, 5, 6}
+    show = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert (got[0]["prompt_turns"], got[0]["chosen"], got[0]["rejected"]) == (3, show("assistant", "two") + show("user", "bye"), show("assistant", ""))
+    assert (got[1]["prompt_turns"], got[1]["prompt"], got[1]["rejected"]) == (1, show("user", long), show("assistant", "two"))
+    assert (got[2]["prompt_turns"], got[2]["chosen"], got[2]["rejected"]) == (3, "", "")  # the other reply is the same
+    assert (got[3]["prompt_turns"], got[3]["rejected"]) == (1, "")
+    assert got[4]["rejected"] is None and got[5]["rejected"] is None and got[6]["rejected"] is None and got[6]["chosen"] == show("assistant", "no neighbour")
+    assert (got[-2]["rejected"], got[-1]["rejected"]) == (show("assistant", "q"), show("assistant", "p"))
+    real = chat_format.conversation_preferences(spark.read.parquet(f"{DATA}/conversations.parquet")).collect()
+    assert sum(r["prompt_turns"] > 0 for r in real) > len(real) / 2
+
+
 def shingles(text):
     """The set of 5-word shingles, or the one of a shorter text."""
     words = (text or "").lower().split()

@@ -34,6 +34,44 @@ def test_items_keep_order_positions_and_captions():
     assert media.parse_items(None) == media.parse_items("") == []
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<figure><figcaption>first</figcaption><img src=a></figure>x", [("a", "first"), "x"]),
+        ("<figure><img src=a><figcaption>cap</figure>rest <p>of it", [("a", "cap"), "rest", "of it"]),
+        ("<figure><img src=a><figcaption>never closed<p>rest", [("a", None), "never closed", "rest"]),
+        ("<title>never closed<p>rest", ["never closed", "rest"]),
+        ("a<template><img src=x>gone</template>b<template>kept", ["abkept"]),
+        ("<noscript><img src=lazy></noscript><img src=real alt=y>", [("real", "y")]),
+        ("<figure><figure><img src=in><figcaption>inner</figcaption></figure><img src=out><figcaption>outer</figcaption></figure>", [("in", "inner"), ("out", "outer")]),
+        ("<figure><figure><img src=in></figure><figcaption>outer</figcaption></figure>", [("in", "outer")]),
+        ("<figure><figcaption>alone</figcaption></figure><figcaption>stray</figcaption>", ["alone", "stray"]),
+        ("<picture><source srcset='s1 1x, s2 2x'><img src=i></picture><video poster=p src=v></video><object data=o></object>", [("s1", None), ("i", None), ("p", None), ("v", None), ("o", None)]),
+        ("<figcaption>one<p>two</figcaption>", ["one", "two"]),
+        ("<figure><img src=a><figcaption>one<br>two</figcaption></figure></figure></p>", [("a", "one two")]),
+    ],
+)
+def test_captions_and_unclosed_elements(page, expected):
+    items = media.parse_items(page)
+    assert [i["pos"] for i in items] == list(range(len(items)))
+    assert [i["text"] if i["kind"] == "text" else (i["src"], i["caption"]) for i in items] == expected
+
+
+def test_no_word_of_random_markup_is_lost_or_moved():
+    tags = "p div figure figcaption b article img br".split()
+    for seed in range(200):
+        rng = random.Random(seed)
+        page = "".join(rng.choice([f"<{t}>" if t not in ("img",) else f"<img src=m{i}>", f"</{t}>", f" w{i} "]) for i, t in enumerate(rng.choices(tags, k=60)))
+        items = media.parse_items(page)
+        import re as regex
+
+        words = regex.sub(r"<[^>]*>", " ", page).split()
+        shown = [w for i in items if i["kind"] == "text" for w in i["text"].split()]
+        captions = {w for i in items if i["kind"] == "media" and i["caption"] for w in i["caption"].split()}
+        assert sorted({*shown, *captions}) == sorted(words) and len(shown) == len(set(shown))
+        assert [i["src"] for i in items if i["kind"] == "media"] == regex.findall(r"src=(\w+)", page)
+
+
 def brute_hits(texts, items):
     windows = {}
     for key, text in items:

@@ -6,6 +6,12 @@ grey samples (PNG, 64 samples a row), once for each digest. ``resolve`` joins
 references to stored payloads by digest; ``assemble`` puts resolved items back
 into their documents in order.
 
+Captions: all ``figcaption``s of a figure, before or behind its media, are the caption
+of the media that are in this figure and in no captioned inner one; a figure without
+media gives its caption as text, and ``alt`` is the caption where no other is. Scripts,
+styles, titles, templates and ``noscript`` are left out with their media; what is never
+closed is plain text, so no text is lost.
+
 Defined results: null or empty HTML has no items; null bytes are stored as the
 empty payload; a reference without a stored digest stays, with null payload
 columns; repeated input rows give repeated output rows, and a digest is stored
@@ -32,74 +38,135 @@ ROW = 64
 ITEM = "struct<pos:int,kind:string,text:string,src:string,digest:string,caption:string>"
 _ITEM_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-MEDIA = frozenset("img audio video source embed".split())
+MEDIA = frozenset("img audio video source embed object".split())
 SKIPPED = frozenset("script style title template noscript".split())
+#: Elements whose content is only set apart if they are closed further on; else it is plain text.
+CLOSED = ("title", "template", "noscript", "figcaption", "figure")
+
+
+def _sources(tag: str, given: dict[str, str | None]) -> list[str]:
+    """What a media element refers to: its source, else the first candidate of a set; a video's poster comes first."""
+    first = given.get("data") if tag == "object" else given.get("src") or ((given.get("srcset") or "").split(",")[0].split() or [None])[0]
+    return [x for x in (given.get("poster") if tag == "video" else None, first) if x]
 
 
 class _Items(HTMLParser):
-    """Collects items in document order; a figure's caption goes to its media."""
+    """Collects items in document order; a figure's caption goes to the media of that very figure."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        low = html.lower()
+        self.last = {tag: low.rfind(f"</{tag}") for tag in CLOSED}
+        self.lines = [0, *(i + 1 for i, c in enumerate(html) if c == "\n")]
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.skipped = 0
-        self.figures: list[int] = []
+        self.skipped: list[str] = []
+        #: Open figures: their media that have no caption yet, and their captions.
+        self.figures: list[tuple[list[dict], list[str]]] = []
         self.caption: list[str] | None = None
 
+    def closes(self, *tags: str) -> bool:
+        """Whether an end tag of one of these follows."""
+        line, offset = self.getpos()
+        return max(self.last[t] for t in tags) > self.lines[line - 1] + offset
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
             self.add("text", text=text)
 
-    def add(self, kind: str, text: str | None = None, src: str | None = None, digest: str | None = None, caption: str | None = None) -> None:
+    def add(self, kind: str, text: str | None = None, src: str | None = None, digest: str | None = None, caption: str | None = None) -> dict:
         self.items.append({"pos": len(self.items), "kind": kind, "text": text, "src": src, "digest": digest, "caption": caption})
+        return self.items[-1]
+
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            caption, self.caption = " ".join("".join(self.caption).split()), None
+            if caption and self.figures:
+                self.figures[-1][1].append(caption)
+            elif caption:  # outside of a figure: plain text
+                self.add("text", text=caption)
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        media, captions = self.figures.pop()
+        for item in media:
+            if captions:
+                item["caption"] = " ".join(captions)
+            elif self.figures:  # the outer figure may have one
+                self.figures[-1][0].append(item)
+        if captions and not media:
+            self.add("text", text=" ".join(captions))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.skipped:
+            if tag in self.skipped and tag != "title":
+                self.skipped.append(tag)
+            return
         if tag in SKIPPED:
-            self.skipped += 1
-        if tag in BLOCKS and self.caption is None:
-            self.flush()
+            if tag in ("script", "style") or self.closes(tag):
+                self.skipped.append(tag)
+            return
         if tag == "figure":
-            self.figures.append(len(self.items))
+            self.end_caption()
+            self.flush()
+            self.figures.append(([], []))
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
-            self.caption = []
-        elif tag in MEDIA:
+            if self.figures and self.closes("figcaption", "figure"):
+                self.caption = []
+        elif tag in BLOCKS or tag == "br":
+            if self.caption is None:
+                self.flush()
+            else:
+                self.caption.append(" ")
+        if tag in MEDIA:
             given = dict(attrs)
-            src = given.get("src")
-            if src:
+            for src in _sources(tag, given):
                 if self.caption is None:
                     self.flush()
                 found = re.search(r"sha256[-:]([0-9a-f]{64})$", src)
-                self.add("media", src=src, digest=found and found[1], caption=given.get("alt"))
+                item = self.add("media", src=src, digest=found and found[1], caption=given.get("alt"))
+                if self.figures:
+                    self.figures[-1][0].append(item)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
-        if tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if item["kind"] == "media":
-                    item["caption"] = caption
-        elif tag in BLOCKS and self.caption is None:
-            self.flush()
-        if tag == "figure" and self.figures:
-            self.figures.pop()
+        if self.skipped:
+            if tag == self.skipped[-1]:
+                self.skipped.pop()
+            return
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure":
+            if self.figures:
+                self.end_figure()
+        elif tag in BLOCKS:
+            if self.caption is None:
+                self.flush()
+            else:
+                self.caption.append(" ")
 
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def finish(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.flush()
+        return self.items
+
 
 def parse_items(html: str | None) -> list[dict]:
     """The ordered items of one page."""
-    parser = _Items()
+    parser = _Items(html or "")
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.items
+    return parser.finish()
 
 
 def interleave(pages: DataFrame, key: str, html: str) -> DataFrame:
