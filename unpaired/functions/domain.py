@@ -35,7 +35,7 @@ def disorder(sequence: Column) -> Column:
 
 
 def pdockq(mean_plddt: Column, contacts: Column) -> Column:
-    """Sigmoid of the interface confidence times the log10 of its contacts; 0 without any."""
+    """Sigmoid of the interface confidence times the natural logarithm of its contacts; 0 without any."""
     # The published fit.
-    x = mean_plddt * F.log10(contacts)
+    x = mean_plddt * F.log(contacts)
     return F.when(contacts > 0, 0.724 / (1 + F.exp(-0.052 * (x - 152.611))) + 0.018).otherwise(0.0)

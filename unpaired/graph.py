@@ -18,6 +18,23 @@ def canonical(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
+def same_pair(a: str = "u", b: str = "v"):
+    """Join condition: the unordered pair (a, b) is (``_lo``, ``_hi``)."""
+    return (F.least(a, b) == F.col("_lo")) & (F.greatest(a, b) == F.col("_hi"))
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    """(``_lo``, ``_hi``) of pairs, whichever way round they are."""
+    return pairs.select(F.least("u", "v").alias("_lo"), F.greatest("u", "v").alias("_hi"))
+
+
+def excluding(pairs: DataFrame, *others: DataFrame) -> DataFrame:
+    """``pairs`` without those that occur in ``others``, whichever way round."""
+    for other in others:
+        pairs = pairs.join(unordered(other), same_pair(), "left_anti")
+    return pairs
+
+
 @dataclass(frozen=True)
 class Graph:
     """``nodes`` (id, type), ``edges`` (u < v, distinct) and the admissible type pairs.
@@ -73,8 +90,14 @@ class Graph:
 
     def positives(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are edges."""
-        e = self.edges.select(F.col("u").alias("_lo"), F.col("v").alias("_hi"))
-        return pairs.join(e, (F.least("u", "v") == F.col("_lo")) & (F.greatest("u", "v") == F.col("_hi")), "left_semi")
+        return pairs.join(unordered(self.edges), same_pair(), "left_semi")
+
+    def oriented(self, pairs: DataFrame) -> DataFrame:
+        """(u, v) of ``pairs`` as candidates have them: the type that sorts first is u, within a type the smaller id."""
+        a, b = (self.nodes.select(F.col("id").alias(end), F.col("type").alias(f"_{end}")) for end in ("u", "v"))
+        typed = pairs.select("u", "v").join(a, "u").join(b, "v")
+        turned = (F.col("_u") > F.col("_v")) | ((F.col("_u") == F.col("_v")) & (F.col("u") > F.col("v")))
+        return typed.select(F.when(turned, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("v"))
 
     def nodes_of_type(self, kind: str) -> DataFrame:
         return self.nodes.where(F.col("type") == kind)

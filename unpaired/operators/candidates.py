@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from unpaired.functions.hashing import hash52
-from unpaired.graph import Graph
+from unpaired.graph import Graph, excluding
 from unpaired.tables import settle
 
 MAX_POOL = 200_000
 #: Above this many admissible pairs (or twice the pool), pairs are drawn, not listed.
 ENUMERATE_MAX = 1_000_000
 BUCKET = 64
+#: Pairs that one task lists, and the sample size from which a cut goes before the sort.
+CELL_PAIRS = 2_000_000
+LARGE_SAMPLE = 20_000
 
 
 def type_counts(graph: Graph) -> DataFrame:
@@ -35,34 +40,45 @@ def admissible_sizes(graph: Graph) -> DataFrame:
 
 def non_edges(graph: Graph, pairs: DataFrame) -> DataFrame:
     """``pairs`` without the graph's edges."""
-    e = graph.edges.select(F.col("u").alias("_lo"), F.col("v").alias("_hi"))
-    return pairs.join(e, (F.least("u", "v") == F.col("_lo")) & (F.greatest("u", "v") == F.col("_hi")), "left_anti")
+    return excluding(pairs, graph.edges)
 
 
 def enumerate_pairs(graph: Graph) -> DataFrame:
     """All admissible pairs (u, v), u of the type that sorts first.
 
-    Only called behind a count of them (``ENUMERATE_MAX``). Nodes of a type are dealt
-    to cells, and cells are joined by number, so no side is broadcast or crossed.
+    The result is as large as that, so ask for it behind a count, or where the whole
+    complement is wanted. Each type pair is listed from the nodes of its two types alone:
+    the second side is dealt to cells of about ``CELL_PAIRS`` pairs and the first is
+    copied to each, so no side is broadcast and no task lists more than its cell.
     """
-    cells = 16
-    a = graph.nodes.select(F.col("id").alias("u"), F.col("type").alias("t1"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_cell"))
-    b = graph.nodes.select(F.col("id").alias("v"), F.col("type").alias("t2"), F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("_cell"))
-    joined = a.join(b, "_cell")
-    keep = F.lit(False)
+    counts = {r["type"]: r["n"] for r in type_counts(graph).collect()}  # a handful of types
+    out = None
     for pair in graph.type_pairs():
-        if pair is None:
-            keep = F.col("u") < F.col("v")
-        elif pair[0] == pair[1]:
-            keep = keep | ((F.col("t1") == pair[0]) & (F.col("t2") == pair[0]) & (F.col("u") < F.col("v")))
-        else:
-            keep = keep | ((F.col("t1") == pair[0]) & (F.col("t2") == pair[1]))
-    return joined.where(keep).select("u", "v")
+        kind = lambda t: graph.nodes if t is None else graph.nodes.where(F.col("type") == t)
+        first, second = pair or (None, None)
+        size = lambda t: sum(counts.values()) if t is None else counts.get(t, 0)
+        cells = max(16, -(-size(first) * size(second) // CELL_PAIRS))
+        a = kind(first).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_cell"))
+        b = kind(second).select(F.col("id").alias("v"), F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("_cell"))
+        listed = a.join(b.hint("shuffle_hash"), "_cell")
+        listed = (listed.where("u < v") if first == second else listed).select("u", "v")
+        out = listed if out is None else out.unionByName(listed)
+    return out
 
 
 def hash_sample(pairs: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` pairs of the smallest hash: uniform, without replacement, repeatable."""
-    return pairs.orderBy(hash52(seed, F.col("u"), F.col("v")), "u", "v").limit(n)
+    """``n`` pairs of the smallest hash: uniform, without replacement, repeatable.
+
+    For a large ``n`` of many more pairs, a cut on the hash goes first, so that a sort
+    gets little more than the sample.
+    """
+    drawn = hash52(seed, F.col("u"), F.col("v"))
+    if n > LARGE_SAMPLE:
+        count = pairs.count()
+        near = pairs.where(drawn < int(min(1.0, (1.2 * n + 1000) / max(count, 1)) * (1 << 52)))
+        if count > 2 * n and near.count() >= n:
+            pairs = near
+    return pairs.orderBy(drawn, "u", "v").limit(n)
 
 
 def _slots(graph: Graph) -> DataFrame:
@@ -83,9 +99,14 @@ def rejection_sample(graph: Graph, n: int, seed: int = 0) -> DataFrame:
     An attempt draws a type pair, then an address for each end; an address without a
     node, a self-pair, an edge or a repeat is rejected. Attempts: 4 n + 1000, and up to
     20 n + 1000 where those don't suffice; the first ``n`` that succeed are the same.
+    A warning tells if fewer than ``n`` were found.
     """
-    first = settle(_draw(graph, n, seed, 4 * n + 1000), "drawn")
-    return first if first.count() >= n else _draw(graph, n, seed, 20 * n + 1000)
+    drawn = settle(_draw(graph, n, seed, 4 * n + 1000), "drawn")
+    if drawn.count() < n:
+        drawn = settle(_draw(graph, n, seed, 20 * n + 1000), "drawn")
+        if (found := drawn.count()) < n:
+            warnings.warn(f"{found} of {n} pairs drawn: the graph leaves too few, enumerate them instead", stacklevel=2)
+    return drawn
 
 
 def _draw(graph: Graph, n: int, seed: int, attempts: int) -> DataFrame:
@@ -108,8 +129,13 @@ def _draw(graph: Graph, n: int, seed: int, attempts: int) -> DataFrame:
     return drawn.groupBy("u", "v").agg(F.min("attempt").alias("attempt")).orderBy("attempt").limit(n).select("u", "v")
 
 
-def generate_candidates(graph: Graph, max_pool: int = MAX_POOL, seed: int = 0) -> DataFrame:
-    """The candidate pool: the complement if it is small, else a sample of ``max_pool``."""
+def generate_candidates(graph: Graph, max_pool: int | None = MAX_POOL, seed: int = 0) -> DataFrame:
+    """The candidate pool: the complement if it is small, else a sample of ``max_pool``.
+
+    With ``max_pool`` None the whole complement, whatever its size.
+    """
+    if max_pool is None:
+        return settle(non_edges(graph, enumerate_pairs(graph)), "pool")
     size = admissible_sizes(graph).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
     if size > max(ENUMERATE_MAX, 2 * max_pool):
         return settle(rejection_sample(graph, max_pool, seed), "pool")

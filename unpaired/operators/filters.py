@@ -7,7 +7,7 @@ A filter adds ``stream_<name>`` (null: it abstains) and may add ``conf_<name>``,
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import Enum
 from pathlib import Path
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unpaired.functions.numeric import rounded
-from unpaired.graph import Graph
+from unpaired.graph import Graph, excluding, same_pair
 from unpaired.operators import judge as judging
 from unpaired.operators import manifold, rules, topology
 
@@ -146,23 +146,40 @@ class RuleGradedFilter(_RuleFilter):
 
 @register
 class JudgeFilter(Filter):
-    """Reviews pairs by votes; verdicts already known (``context.verdicts``) aren't asked for again."""
+    """Reviews pairs by votes; verdicts already known (``context.verdicts``) aren't asked for again.
+
+    Known verdicts with a ``key`` hold for what the judge would see now: the pair, its
+    types and degrees, the model and the number of votes (:meth:`keyed`). Without one
+    they hold for the pair.
+    """
 
     name, stage = "literature", Stage.GATED
 
+    @staticmethod
+    def keyed(context: Context, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with ``key``, by which verdicts are remembered."""
+        config = getattr(context.judge, "config", judging.JudgeConfig())
+        own = topology.with_degrees(context.graph, pairs)
+        seen = F.sort_array(F.array(*[F.struct(F.col(end).alias("id"), F.col(f"t_{end}").alias("type"), F.col(f"k_{end}").alias("degree")) for end in ("u", "v")]))
+        key = judging.feature_key(seen.alias("ends"), F.lit(config.model).alias("model"), F.lit(config.votes).alias("votes"))
+        return own.select(*[F.col(c) for c in pairs.columns], key.alias("key"))
+
     def score(self, context: Context, pairs: DataFrame) -> DataFrame:
         cards = None
+        if context.verdicts is not None and "key" in context.verdicts.columns:
+            known = self.keyed(context, pairs.select("u", "v")).join(context.verdicts.drop("u", "v"), "key")
+            context = replace(context, verdicts=known)
         if context.verdicts is not None:
             cards = context.verdicts.select("u", "v", "verdict", "confidence", "agreement")
         if context.judge is not None:
-            open_ = pairs if cards is None else pairs.join(cards, ["u", "v"], "left_anti")
+            open_ = pairs if cards is None else excluding(pairs, cards)
             new = judging.majority(context.judge.judge(open_)).select("u", "v", "verdict", "confidence", "agreement")
             cards = new if cards is None else cards.unionByName(new)
         if cards is None:
             cards = pairs.sparkSession.createDataFrame([], "u string, v string, verdict string, confidence double, agreement double")
         flag = F.when(F.col("verdict") == judging.VERDICTS[1], F.array(F.lit("suspected_false_negative"))).otherwise(F.array().cast("array<string>"))
-        own = cards.select("u", "v", rounded(judging.card_value(F.col("verdict"), F.col("confidence"))).alias("stream_literature"), F.col("agreement").alias("conf_literature"), flag.alias("flags_literature"), "verdict")
-        return pairs.join(own, ["u", "v"], "left")
+        own = cards.select(F.least("u", "v").alias("_lo"), F.greatest("u", "v").alias("_hi"), rounded(judging.card_value(F.col("verdict"), F.col("confidence"))).alias("stream_literature"), F.col("agreement").alias("conf_literature"), flag.alias("flags_literature"), "verdict")
+        return pairs.join(own, same_pair(), "left").drop("_lo", "_hi")
 
 
 class _Manifold(Filter):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from unpaired.functions.numeric import ratio, rounded
-from unpaired.graph import Graph
-from unpaired.operators.ranking import average_rank, running_sums
+from unpaired.graph import Graph, same_pair, unordered
+from unpaired.operators.ranking import average_rank, percent_rank, running_sums
 
 
 def _by_score(predictions: DataFrame) -> DataFrame:
@@ -105,6 +105,26 @@ def partial_spearman(df: DataFrame, a: str, b: str, given: str) -> DataFrame:
     return r.select(rounded(ratio(F.col("ab") - F.col("ag") * F.col("bg"), F.sqrt((1 - F.col("ag") ** 2) * (1 - F.col("bg") ** 2)))).alias("partial_spearman"))
 
 
+def quantile_strata(df: DataFrame, by: str, value: str, strata: int = 4) -> DataFrame:
+    """(stratum, n, mean): mean of ``value`` in equal parts of the rank of ``by``; ties stay together."""
+    own = percent_rank(df.where(F.col(by).isNotNull() & F.col(value).isNotNull()), by, "_p")
+    stratum = F.least(F.floor(F.col("_p") * strata), F.lit(strata - 1)).cast("int")
+    return own.groupBy(stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(value)).alias("mean"))
+
+
+def hidden_positives(chosen: DataFrame, positives: DataFrame) -> DataFrame:
+    """(n, hidden, share): chosen negatives that are positives after all, whichever way round."""
+    known = unordered(positives).distinct().withColumn("_hit", F.lit(1))
+    own = chosen.select("u", "v").join(known, same_pair(), "left")
+    return own.agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hidden"), rounded(ratio(F.count("_hit"), F.count(F.lit(1)))).alias("share"))
+
+
+def non_isolated(graph: Graph, pairs: DataFrame) -> DataFrame:
+    """The pairs both of whose ends have a neighbour: the stratum that topology can say something about."""
+    busy = graph.degrees.where("k > 0").select("id")
+    return pairs.join(busy.withColumnRenamed("id", "u"), "u", "left_semi").join(busy.withColumnRenamed("id", "v"), "v", "left_semi").select(*pairs.columns)
+
+
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(rounded(F.corr(a, b)).alias("pearson"))
 

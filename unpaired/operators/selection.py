@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from unpaired.functions.hashing import hash52, sha1_order, uniform
+from unpaired.graph import excluding
 from unpaired.operators.ranking import top
 from unpaired.tables import settle
 
@@ -18,10 +19,7 @@ PSM_CAP = 0.7
 OVERSAMPLE = 4
 
 
-def without(pool: DataFrame, *others: DataFrame) -> DataFrame:
-    for other in others:
-        pool = pool.join(other.select("u", "v"), ["u", "v"], "left_anti")
-    return pool
+without = excluding
 
 
 def degree_matched(pool: DataFrame, n: int, weight: str = "degsum", seed: int = 0) -> DataFrame:
@@ -62,12 +60,13 @@ def quotas(supply: dict[int, int], wanted: list[tuple[int, int]], n: int, seed:
     ``supply`` counts pairs for each bucket and ``wanted`` (target, count) positives;
     targets come in order of a hash. Buckets are distinct degree sums, so both are
     small whatever the number of pairs; a target takes from the nearest bucket that
-    has any left, the lower one on ties.
+    has any left, the lower one on ties. Only the first ``n`` targets are held.
     """
     import hashlib
     from bisect import bisect_left
+    from heapq import nsmallest
 
-    order = sorted(((hashlib.md5(f"{seed}:{d}:{i}".encode()).hexdigest(), d) for d, count in wanted for i in range(min(count, n))))
+    order = nsmallest(n, ((hashlib.md5(f"{seed}:{d}:{i}".encode()).hexdigest(), d) for d, count in wanted for i in range(min(count, n))))
     left = {k: v for k, v in supply.items() if v > 0}
     keys, out = sorted(left), {}
     for _, d in order[:n]:
@@ -105,6 +104,17 @@ def psm(pool: DataFrame, positives: DataFrame | None, n: int, cap: float = PSM_C
     return ranked.where(F.col("_r") <= F.col("_quota")).select(*pool.columns)
 
 
+def length_matched(pool: DataFrame, picks: DataFrame, lengths: DataFrame, seed: int = 0) -> DataFrame:
+    """As many other pairs of ``pool`` as there are ``picks``, with like sums of their ends' lengths (id, length)."""
+
+    def summed(pairs: DataFrame) -> DataFrame:
+        a, b = (lengths.select(F.col("id").alias(end), F.col("length").alias(f"_{end}")) for end in ("u", "v"))
+        return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", (F.col("_u") + F.col("_v")).alias("degsum"), F.lit(0.0).alias("hardness"))
+
+    wanted = summed(picks)
+    return psm(summed(without(pool, picks)), wanted, wanted.count(), seed=seed).select("u", "v", F.col("degsum").alias("length"))
+
+
 def select_train(pool: DataFrame, n: int, exclude: DataFrame | None = None, mode: str = "stacked", proportions: tuple[float, float, float] = PROPORTIONS, seed: int = 0, positives: DataFrame | None = None, cap: float = PSM_CAP) -> DataFrame:
     pool = pool if exclude is None else without(pool, exclude)
     if mode == "hard":
@@ -129,9 +139,9 @@ def per_entity_cap(pool: DataFrame, n: int, cap: int, by: str = "confidence") ->
     """Greedy top ``n`` in which no entity occurs more than ``cap`` times.
 
     A pair is safe to take if it is among the first ``cap`` of all candidates of both
-    its ends. Rounds take those, drop pairs whose ends are full, and go on until the
-    greedy prefix is settled; a round settles at least the first pair left. Counts are
-    carried per entity, so nothing is collected.
+    its ends. Rounds take those, drop pairs whose ends are full, and go on until ``n``
+    pairs are taken that come before all that are left; a round settles at least the
+    first pair left. Counts are carried per entity, so nothing is collected.
     """
     left = pool.withColumn("_order", F.struct((-F.col(by)).alias("o"), F.col("u").alias("a"), F.col("v").alias("b")))
     taken = None
@@ -149,6 +159,9 @@ def per_entity_cap(pool: DataFrame, n: int, cap: int, by: str = "confidence") ->
         taken = now if taken is None else taken.unionByName(now)
         left = settle(own.where((F.col("_r") > cap) & (F.col("_c") < cap)).drop("_r", "_c"), "left")
         taken = settle(taken, "taken")
+        first = left.agg(F.min("_order").alias("_first"))
+        if taken.join(F.broadcast(first)).where(F.col("_order") < F.col("_first")).limit(n).count() >= n:
+            break
     return taken.orderBy("_order").limit(n).drop("_order")
 
 

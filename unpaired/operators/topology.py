@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from unpaired.functions.hashing import hash52
 from unpaired.functions.numeric import rounded
 from unpaired.graph import Graph
+from unpaired.tables import settle
 
 # Fixed values of the risk model.
 L3_WEIGHT, RA_WEIGHT = 0.7, 0.3
@@ -152,14 +153,23 @@ def pair_features(graph: Graph, pairs: DataFrame) -> DataFrame:
 def shortest_paths(graph: Graph, pairs: DataFrame, cutoff: int = 6) -> DataFrame:
     """Pairs with ``dist``: hops between their ends, ``cutoff`` + 1 if more.
 
-    One frontier join a hop from the pairs' left ends; a pair drops out once found.
+    One frontier join a hop from the pairs' left ends. Each hop is settled; a pair drops
+    out once found, and a left end once all of its pairs are, so hops shrink. A hop only
+    needs the two before it, as no node of an earlier one is next to its frontier.
     """
-    reached = pairs.select("u").distinct().select(F.col("u").alias("s"), F.col("u").alias("n"), F.lit(0).alias("dist"))
-    frontier = reached
+    open_ = settle(pairs.select("u", "v").distinct(), "open-pairs")
+    frontier = open_.select("u").distinct().select(F.col("u").alias("s"), F.col("u").alias("n"))
+    found = settle(open_.where("u = v").withColumn("dist", F.lit(0)), "found")
+    before = frontier.limit(0)
     step = graph.adjacency.select(F.col("u").alias("n"), F.col("v").alias("next"))
     for hop in range(1, cutoff + 1):
-        seen = reached.select("s", "n")
-        frontier = frontier.select("s", "n").join(step, "n").select("s", F.col("next").alias("n")).distinct().join(seen, ["s", "n"], "left_anti").withColumn("dist", F.lit(hop))
-        reached = reached.unionByName(frontier)
-    found = reached.select(F.col("s").alias("u"), F.col("n").alias("v"), "dist")
+        left = open_.join(found, ["u", "v"], "left_anti").select("u", "v")
+        sources = left.select(F.col("u").alias("s")).distinct()
+        nexts = frontier.join(sources, "s", "left_semi").join(step, "n").select("s", F.col("next").alias("n")).distinct()
+        new = settle(nexts.join(frontier.unionByName(before), ["s", "n"], "left_anti"), "frontier")
+        hit = left.join(new.select(F.col("s").alias("u"), F.col("n").alias("v")), ["u", "v"], "left_semi").withColumn("dist", F.lit(hop))
+        found = settle(found.unionByName(hit), "found")
+        if new.isEmpty():
+            break
+        before, frontier = frontier, new
     return pairs.join(found, ["u", "v"], "left").withColumn("dist", F.coalesce("dist", F.lit(cutoff + 1)))

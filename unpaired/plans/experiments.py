@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from unpaired.functions.hashing import fold, hash52, parity
 from unpaired.functions.numeric import ratio, rounded
-from unpaired.graph import Graph
+from unpaired.graph import Graph, excluding
 from unpaired.operators import candidates, fusion, manifold, metrics, ranking, selection, topology
 from unpaired.operators.filters import Context
 from unpaired.tables import settle
@@ -15,7 +15,7 @@ from unpaired.tables import settle
 FEATURES = ("deg_u", "deg_v", "cn", "jaccard", "aa", "ra", "pref")
 
 
-def frozen_pool(graph: Graph, max_pool: int, seed: int = 0, pairs: DataFrame | None = None) -> DataFrame:
+def frozen_pool(graph: Graph, max_pool: int | None, seed: int = 0, pairs: DataFrame | None = None) -> DataFrame:
     """Candidates (or given pairs) with structured, topology, confidence, hardness, degsum."""
     pairs = candidates.generate_candidates(graph, max_pool, seed) if pairs is None else pairs
     own = topology.structured_score(graph, pairs.select("u", "v")).select("u", "v", F.col("value").alias("stream_structured"), (F.col("k_u") + F.col("k_v")).alias("degsum"))
@@ -25,25 +25,39 @@ def frozen_pool(graph: Graph, max_pool: int, seed: int = 0, pairs: DataFrame | N
     return scored.withColumn("confidence", fusion.fuse({"structured": F.col("stream_structured"), "topology": F.col("stream_topology")}))
 
 
-def arms(pool: DataFrame, known: DataFrame, n: int, seed: int = 0) -> dict[str, DataFrame]:
-    """The arms of the benchmark on one pool; ``known`` (u, v) are vetoed pairs."""
-    vetoed = pool.join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti")
+def arms(pool: DataFrame, known: DataFrame, n: int, seed: int = 0, positives: DataFrame | None = None, cap: float = selection.PSM_CAP) -> dict[str, DataFrame]:
+    """The arms of the benchmark on one pool; ``known`` (u, v, either way round) are vetoed pairs.
+
+    With ``positives`` (degsum) also the matched ones: ``counterfactual`` follows their
+    degree sums over the whole vetoed pool, ``psm`` only up to the hardness ``cap``;
+    ``eval_matched`` draws by degree, ``eval_matched_clean`` the same up to the cap.
+    """
+    vetoed = excluding(pool, known)
     draw = lambda df: candidates.hash_sample(df, n, seed)
-    return {
+    matched = {}
+    if positives is not None:
+        clean = vetoed.where(F.col("hardness") <= cap)
+        matched = {
+            "counterfactual": selection.psm(vetoed, positives, n, float("inf"), seed), "psm": selection.psm(vetoed, positives, n, cap, seed),
+            "eval_matched": selection.degree_matched(vetoed, n, seed=seed), "eval_matched_clean": selection.degree_matched(clean, n, seed=seed),
+        }
+    return matched | {
         "random_raw": draw(pool), "random_veto": draw(vetoed), "topology_hard": selection.hard(vetoed, n), "topology_safe": ranking.top(vetoed, n, F.desc("stream_topology")),
         "stacked": selection.stacked(vetoed, n), "mixture": selection.mixture(vetoed, n, seed=seed),
     }
 
 
-def injection(graph: Graph, hidden: DataFrame, max_pool: int, n: int, seed: int = 0) -> DataFrame:
+def injection(graph: Graph, hidden: DataFrame, max_pool: int | None, n: int, seed: int = 0) -> DataFrame:
     """(arm, injected, selected, share): what each arm selects of hidden positives put into the pool.
 
-    The hidden edges are taken out of the graph first and bypass the veto.
+    The hidden edges are taken out of the graph first and bypass the veto. They enter the
+    pool once, the way round that candidates have.
     """
-    seen = Graph(graph.nodes, graph.edges.join(hidden.select("u", "v"), ["u", "v"], "left_anti"), graph.admissible, graph.name)
-    pairs = candidates.generate_candidates(seen, max_pool, seed).join(hidden.select("u", "v"), ["u", "v"], "left_anti").unionByName(hidden.select("u", "v"))
+    hidden = settle(graph.oriented(hidden).distinct(), "hidden")
+    seen = Graph(graph.nodes, excluding(graph.edges, hidden), graph.admissible, graph.name)
+    pairs = excluding(candidates.generate_candidates(seen, max_pool, seed), hidden).unionByName(hidden)
     pool = frozen_pool(seen, max_pool, seed, pairs)
-    marked = hidden.select("u", "v").withColumn("injected", F.lit(1))
+    marked = hidden.withColumn("injected", F.lit(1))
     total = hidden.agg(F.count(F.lit(1)).alias("injected"))
     out = None
     for name, chosen in arms(pool, seen.edges, n, seed).items():
@@ -83,6 +97,32 @@ def rule_ablation(scored: DataFrame, streams: list[str], label: str) -> DataFram
     return out
 
 
+def signal_table(scored: DataFrame, signals: dict[str, str], label: str, random: str, hard: str) -> DataFrame:
+    """(signal, coverage, auroc_random, auroc_hard, without): how well each signal tells ``label``.
+
+    ``signals`` names score columns; ``random`` and ``hard`` are boolean columns that mark
+    the negatives compared with. ``without`` is the change of the fused AUROC when the
+    signal is left out. A signal that abstains counts as 0.5.
+    """
+    fused = lambda names: fusion.fuse({s: F.col(signals[s]) for s in names})
+    area = lambda rows, score: metrics.auroc(rows.select(F.col(label).alias("y"), F.coalesce(score, F.lit(0.5)).alias("score")))
+    whole, out = area(scored, fused(list(signals))).withColumnRenamed("auroc", "_all"), None
+    for name, column in signals.items():
+        is_positive = F.col(label) == 1
+        parts = [
+            metrics.coverage(scored, [column]).select("coverage"),
+            area(scored.where(is_positive | F.col(random)), F.col(column)).withColumnRenamed("auroc", "auroc_random"),
+            area(scored.where(is_positive | F.col(hard)), F.col(column)).withColumnRenamed("auroc", "auroc_hard"),
+            area(scored, fused([s for s in signals if s != name])).withColumnRenamed("auroc", "_less"), whole,
+        ]
+        row = parts[0]
+        for p in parts[1:]:
+            row = row.join(F.broadcast(p))  # one row each
+        row = row.select(F.lit(name).alias("signal"), "coverage", "auroc_random", "auroc_hard", rounded(F.col("_less") - F.col("_all")).alias("without"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def seed_summary(results: DataFrame, baseline: str = "random_veto") -> DataFrame:
     """(arm, model, auroc, delta): means over seeds, and the difference to a baseline arm."""
     mean = results.groupBy("arm", "model").agg(rounded(F.avg("auroc")).alias("auroc"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unpaired.graph import Graph
@@ -163,11 +163,22 @@ def records_of(graph: Graph, scored: DataFrame, names: list[str], gated: list[st
     provenance = F.struct(
         F.lit(graph.name).alias("source_graph"), F.lit(config.sources_version).alias("sources_version"),
         F.array(F.lit("candidate_nonedge"), F.lit("known_positive_veto")).alias("filters_fired"),
-        F.array("_tu", "_tv").alias("node_types"), fusion.sub_scores(streams).alias("sub_scores"),
+        F.array("_tu", "_tv").alias("node_types"), fusion.sub_scores(streams).alias("sub_scores"), _reviewed(scored, gated).alias("gated"),
     )
     return own.select("u", "v", "mode", "confidence", "hardness", *[c.alias(f"stream_{n}") for n, c in streams.items()], flags.alias("flags"), provenance.alias("provenance"))
 
 
+def _reviewed(scored: DataFrame, gated: list[str]) -> Column:
+    """What reviews said of a record: (value, agreement, verdict) by stream; null if none did."""
+    kind = "struct<value:double,agreement:double,verdict:string>"
+    of = lambda n: F.struct(F.col(f"stream_{n}").alias("value"), *[(F.col(c) if c in scored.columns else F.lit(None)).cast(t).alias(a) for c, t, a in ((f"conf_{n}", "double", "agreement"), ("verdict", "string", "verdict"))])
+    said = [x for n in gated for x in (F.lit(n), of(n))]
+    if not said:
+        return F.lit(None).cast(f"map<string,{kind}>")
+    found = F.map_filter(F.create_map(*said).cast(f"map<string,{kind}>"), lambda k, v: v["value"].isNotNull() | v["verdict"].isNotNull())
+    return F.when(F.size(found) > 0, found)
+
+
 def validation(graph: Graph, result: PipelineResult, gold: DataFrame | None = None) -> dict[str, DataFrame]:
     """Leakage, hardness of the two sets, and recall of gold negatives."""
     out = {"leakage": metrics.leakage(graph, result.records), "hardness": metrics.hardness_split(result.records)}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unpaired.functions import numeric, sets
+from unpaired.functions.hashing import hash52
 from unpaired.functions.numeric import rounded
 from unpaired.graph import Graph
 from unpaired.operators import candidates, diversity, filters, fusion, judge, manifold, metrics, ranking, routing, rules, selection, topology
@@ -20,7 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-POOL = 5_000
 CHOSEN = 300
 
 
@@ -64,19 +64,17 @@ SUPPLY_POOL = SUPPLY + """,
 pool AS (SELECT a.id AS u, b.id AS v FROM nodes a, nodes b WHERE a.type = 'part' AND b.type = 'supplier' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = a.id AND e.v = b.id))"""
 
 
-def rejection_sql(n: int) -> str:
-    return f"""
+#: The pool of ``coorder``: as many non-edges, drawn by rejection, as the graph has edges.
+REJECTION = f"""
 ss AS (SELECT id, greatest(1, (SELECT count(*) FROM nodes) // 64) AS b FROM nodes),
 sl AS (SELECT id, b, {h("'slot:' || id")} % b AS bucket FROM ss),
 slots AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) - 1 AS slot FROM sl),
 size AS (SELECT max(b) AS b, max(slot) + 1 AS d FROM slots),
-tries AS (SELECT i AS attempt, {h("'0:ub:' || i")} % b AS ub, {h("'0:us:' || i")} % d AS us, {h("'0:vb:' || i")} % b AS vb, {h("'0:vs:' || i")} % d AS vs FROM range({20 * n + 1000}) t(i), size),
+tries AS (SELECT i AS attempt, {h("'0:ub:' || i")} % b AS ub, {h("'0:us:' || i")} % d AS us, {h("'0:vb:' || i")} % b AS vb, {h("'0:vs:' || i")} % d AS vs FROM (SELECT unnest(range((SELECT 20 * count(*) + 1000 FROM edges))) AS i), size),
 drawn AS (SELECT attempt, least(x.id, y.id) AS u, greatest(x.id, y.id) AS v FROM tries JOIN slots x ON x.bucket = ub AND x.slot = us JOIN slots y ON y.bucket = vb AND y.slot = vs WHERE x.id <> y.id),
 fresh AS (SELECT u, v, min(attempt) AS attempt FROM drawn WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = drawn.u AND e.v = drawn.v) GROUP BY u, v),
-pool AS (SELECT u, v FROM fresh ORDER BY attempt LIMIT {n})"""
-
-
-COORDER_POOL = COORDER + "," + rejection_sql(POOL)
+pool AS (SELECT u, v FROM fresh ORDER BY attempt LIMIT (SELECT count(*) FROM edges))"""
+COORDER_POOL = COORDER + "," + REJECTION
 #: Scores of the pairs in ``pool``.
 SCORES = f"""
 cns AS (SELECT p.u, p.v, count(*) AS cn, sum(1.0::DOUBLE / d.k) AS ra, sum(CASE WHEN d.k > 1 THEN 1.0::DOUBLE / ln(d.k) END) AS aa FROM pool p JOIN adj a ON a.u = p.u JOIN adj b ON b.u = p.v AND b.v = a.v JOIN deg d ON d.id = a.v GROUP BY p.u, p.v),
@@ -107,22 +105,22 @@ COORDER_SCORED = "WITH" + COORDER_POOL + "," + FROZEN
 
 def supply_pool(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     g = B.supply(spark, sf_dir)
-    return g, candidates.generate_candidates(g)
+    return g, candidates.generate_candidates(g, max_pool=None)
 
 
 def coorder_pool(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     g = B.coorder(spark, sf_dir)
-    return g, candidates.generate_candidates(g, POOL)
+    return g, candidates.rejection_sample(g, g.edges.count())
 
 
 def supply_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, pool = supply_pool(spark, sf_dir)
-    return experiments.frozen_pool(g, POOL, pairs=pool)
+    return experiments.frozen_pool(g, None, pairs=pool)
 
 
 def coorder_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, pool = coorder_pool(spark, sf_dir)
-    return experiments.frozen_pool(g, POOL, pairs=pool)
+    return experiments.frozen_pool(g, None, pairs=pool)
 
 
 # Graphs and candidates
@@ -162,7 +160,7 @@ def candidate_hash_sample(spark, sf_dir):
 
 @query("WITH" + COORDER_POOL + " SELECT u, v FROM pool")
 def candidate_rejection_sample(spark, sf_dir):
-    return candidates.rejection_sample(B.coorder(spark, sf_dir), POOL)
+    return coorder_pool(spark, sf_dir)[1]
 
 
 @query(COORDER_SCORED + " SELECT u, v, cn FROM topo WHERE cn > 0 ORDER BY cn DESC, u, v LIMIT 100")
@@ -478,7 +476,7 @@ def select_psm_quota(spark, sf_dir):
     g, pool = coorder_pool(spark, sf_dir)
     d = g.degrees
     positives = g.edges.join(d.select(F.col("id").alias("u"), F.col("k").alias("a")), "u").join(d.select(F.col("id").alias("v"), F.col("k").alias("b")), "v").select((F.col("a") + F.col("b")).alias("degsum"))
-    return selection.psm(experiments.frozen_pool(g, POOL, pairs=pool), positives, CHOSEN).select("u", "v", "degsum", "hardness")
+    return selection.psm(experiments.frozen_pool(g, None, pairs=pool), positives, CHOSEN).select("u", "v", "degsum", "hardness")
 
 
 DRAW = f"(({h(chr(39) + '0:' + chr(39) + ' || u || ' + chr(39) + ':' + chr(39) + ' || v')} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
@@ -521,7 +519,7 @@ def suspected_false_negative(spark, sf_dir):
 
 def _run(spark: SparkSession, sf_dir: str):
     g = B.coorder(spark, sf_dir)
-    config = PipelineConfig(n_eval=CHOSEN, n_train=CHOSEN, max_pool=POOL, filters=("known_positive_veto", "structured", "topology"))
+    config = PipelineConfig(n_eval=CHOSEN, n_train=CHOSEN, max_pool=g.edges.count(), filters=("known_positive_veto", "structured", "topology"))
     return g, run_pipeline(g, config)
 
 
@@ -560,10 +558,9 @@ def leakage(spark, sf_dir):
     return metrics.leakage(g, result.records)
 
 
-VOTED = COORDER_SCORED + f""",
-top AS (SELECT u, v, confidence AS conf FROM scored ORDER BY confidence, u, v LIMIT 200),
-vt AS (SELECT u, v, conf, i AS vote_no, {h("'0:' || u || ':' || v || ':' || i")} % 1000 / 1000.0::DOUBLE AS draw FROM top, range(5) t(i)),
-vo AS (SELECT u, v, vote_no, CASE WHEN draw < conf * 0.8::DOUBLE THEN 'safe_negative' WHEN draw < conf * 0.8::DOUBLE + 0.1::DOUBLE THEN 'uncertain' ELSE 'suspected_false_negative' END AS verdict, {r4("0.5 + draw / 2")} AS confidence FROM vt),
+VOTED = f"""WITH
+vo AS (SELECT p_brand AS u, 'S' || l_suppkey AS v, CASE l_returnflag WHEN 'N' THEN 'safe_negative' WHEN 'R' THEN 'suspected_false_negative' ELSE 'uncertain' END AS verdict, 0.5::DOUBLE + l_linenumber / 16.0::DOUBLE AS confidence
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
 by_ AS (SELECT u, v, verdict, count(*) AS n, avg(confidence) AS mean FROM vo GROUP BY u, v, verdict),
 mx AS (SELECT u, v, max(n) AS top, sum(n) AS n_votes FROM by_ GROUP BY u, v),
 wn AS (SELECT b.u, b.v, count(*) AS winners, max(verdict) AS verdict FROM by_ b JOIN mx ON mx.u = b.u AND mx.v = b.v AND b.n = mx.top GROUP BY b.u, b.v),
@@ -572,8 +569,14 @@ card AS (SELECT f.u, f.v, f.verdict, {r4("coalesce(b.mean, 0.5)")} AS confidence
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = coorder_scored(spark, sf_dir).orderBy("confidence", "u", "v").limit(200)
-    return judge.majority(judge.OfflineJudge().judge(low))
+    """Cards of brands and suppliers: every line item is a vote, by its return flag."""
+    lines = B.table(spark, sf_dir, "lineitem").join(B.table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    verdict = F.when(F.col("l_returnflag") == "N", judge.VERDICTS[0]).when(F.col("l_returnflag") == "R", judge.VERDICTS[1]).otherwise(judge.VERDICTS[2])
+    votes = lines.select(
+        F.col("p_brand").alias("u"), B.key("S", "l_suppkey").alias("v"), F.col("l_orderkey").alias("vote_no"), verdict.alias("verdict"), (0.5 + F.col("l_linenumber") / 16.0).alias("confidence"),
+        F.col("l_returnflag").alias("rationale"), F.array(F.col("l_linestatus")).alias("evidence"),
+    )
+    return judge.majority(votes)
 
 
 @query(VOTED + " SELECT * FROM card")
@@ -654,6 +657,31 @@ def spearman(spark, sf_dir):
     return metrics.spearman(coorder_scored(spark, sf_dir), "stream_structured", "hardness_raw")
 
 
+THREE_RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS r{c}" for c in "abc")
+
+
+@query(COORDER_SCORED + f", abc AS (SELECT stream_structured AS a, hardness_raw AS b, degsum AS c FROM scored), rk AS (SELECT {THREE_RANKS} FROM abc), r AS (SELECT corr(ra, rb) AS ab, corr(ra, rc) AS ac, corr(rb, rc) AS bc FROM rk) SELECT {r4('(ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc))')} AS partial_spearman FROM r")
+def partial_spearman(spark, sf_dir):
+    return metrics.partial_spearman(coorder_scored(spark, sf_dir), "stream_structured", "hardness_raw", "degsum")
+
+
+@query(COORDER_SCORED + ", p AS (SELECT least(floor(percent_rank() OVER (ORDER BY degsum) * 4), 3)::INTEGER AS stratum, cn FROM scored) SELECT stratum, count(*) AS n, " + r4("avg(cn)") + " AS mean FROM p GROUP BY stratum")
+def quantile_strata(spark, sf_dir):
+    return metrics.quantile_strata(coorder_scored(spark, sf_dir), "degsum", "cn")
+
+
+@query("WITH" + SUPPLY_POOL + f", c AS (SELECT * FROM pool ORDER BY {h(chr(39) + '0:' + chr(39) + ' || u || ' + chr(39) + ':' + chr(39) + ' || v')}, u, v LIMIT 2000) SELECT count(*) AS n, count(k.u) AS hidden, {r4('count(k.u) / count(*)::DOUBLE')} AS share FROM c LEFT JOIN {KNOWN} k ON k.u = c.u AND k.v = c.v")
+def hidden_positives(spark, sf_dir):
+    chosen = candidates.hash_sample(supply_pool(spark, sf_dir)[1], 2000)
+    return metrics.hidden_positives(chosen, B.supply_pairs(spark, sf_dir, "A").select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+@query(COORDER_SCORED + " SELECT s.u, s.v, cn FROM scored s JOIN deg a ON a.id = s.u JOIN deg b ON b.id = s.v WHERE a.k > 0 AND b.k > 0")
+def non_isolated_pairs(spark, sf_dir):
+    g, pool = coorder_pool(spark, sf_dir)
+    return metrics.non_isolated(g, experiments.frozen_pool(g, None, pairs=pool).select("u", "v", "cn"))
+
+
 @query(COORDER_SCORED + f" SELECT {r4('corr(stream_structured, hardness_raw)')} AS pearson FROM scored")
 def pearson(spark, sf_dir):
     return metrics.pearson(coorder_scored(spark, sf_dir), "stream_structured", "hardness_raw")
@@ -686,10 +714,15 @@ def inductive_split(spark, sf_dir):
     return experiments.inductive_split(B.coorder(spark, sf_dir)).groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(EMITTED + f", g AS (SELECT *, CASE WHEN confidence <= c + 1e-9 THEN 'suspect' WHEN hardness >= 0.9 THEN 'boundary' ELSE 'plain' END AS grp FROM em, ecut) SELECT mode, grp AS \"group\", count(*) AS n, {r4('avg(confidence)')} AS mean_confidence, {r4('avg(hardness)')} AS mean_hardness FROM g GROUP BY mode, grp")
+def confidence_groups(spark, sf_dir):
+    return panels.confidence_groups(_run(spark, sf_dir)[1].records)
+
+
 @query()
 def injection_backtest(spark, sf_dir):
     g = B.coorder(spark, sf_dir)
-    return experiments.injection(g, experiments.hidden_edges(g, 200), POOL, CHOSEN)
+    return experiments.injection(g, experiments.hidden_edges(g, 200), g.edges.count(), CHOSEN)
 
 
 ABLATED = COORDER_SCORED + ", lab AS (SELECT *, CAST(cn > 0 AS INTEGER) AS y FROM scored)"
@@ -705,19 +738,37 @@ def rule_ablation(spark, sf_dir):
     return experiments.rule_ablation(scored, ["structured", "topology"], "y")
 
 
+def _area(where: str, score: str) -> str:
+    return f"(SELECT {r4('sum(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) / count(*)')} FROM (SELECT {score} AS s FROM lab WHERE y = 1) a, (SELECT {score} AS s FROM lab WHERE y = 0 AND {where}) b)"
+
+
+def _signal_sql(name: str, column: str, less: str) -> str:
+    score = f"coalesce({column}, 0.5::DOUBLE)"
+    return f"SELECT '{name}' AS signal, (SELECT {r4(f'avg(({column} IS NOT NULL)::INTEGER)')} FROM lab) AS coverage, {_area('odd', score)} AS auroc_random, {_area('hardness >= 0.5', score)} AS auroc_hard, {r4(_area('TRUE', less) + ' - ' + _area('TRUE', 'confidence'))} AS without"
+
+
+TOLD = COORDER_SCORED + f", lab AS (SELECT *, CAST(cn > 0 AS INTEGER) AS y, {h(chr(39) + '3:' + chr(39) + ' || u || ' + chr(39) + ':' + chr(39) + ' || v')} % 2 = 1 AS odd FROM scored) "
+
+
+@query(TOLD + " UNION ALL ".join([_signal_sql("structured", "stream_structured", "coalesce(stream_topology, 0.5::DOUBLE)"), _signal_sql("topology", "stream_topology", "stream_structured")]))
+def signal_table(spark, sf_dir):
+    own = coorder_scored(spark, sf_dir).withColumns({"y": (F.col("cn") > 0).cast("int"), "odd": hash52(3, F.col("u"), F.col("v")) % 2 == 1, "tough": F.col("hardness") >= 0.5})
+    return experiments.signal_table(own, {"structured": "stream_structured", "topology": "stream_topology"}, "y", "odd", "tough")
+
+
 @query(COORDER_SCORED + f" SELECT 'stream_structured' AS signal, {r4('avg((stream_structured IS NOT NULL)::INTEGER)')} AS coverage FROM scored UNION ALL SELECT 'stream_topology', {r4('avg((stream_topology IS NOT NULL)::INTEGER)')} FROM scored")
 def signal_coverage(spark, sf_dir):
     return metrics.coverage(coorder_scored(spark, sf_dir), ["stream_structured", "stream_topology"])
 
 
 @query("WITH RECURSIVE" + COORDER_POOL + f""",
-few AS (SELECT u, v FROM pool ORDER BY {h("'1:' || u || ':' || v")}, u, v LIMIT 200),
-bfs AS (SELECT DISTINCT u AS s, u AS n, 0 AS d FROM few UNION SELECT s, a.v, d + 1 FROM bfs JOIN adj a ON a.u = n WHERE d < 3),
+few AS (SELECT u, v FROM pool),
+bfs AS (SELECT DISTINCT u AS s, u AS n, 0 AS d FROM few UNION SELECT s, a.v, d + 1 FROM bfs JOIN adj a ON a.u = n WHERE d < 6),
 near AS (SELECT s, n, min(d) AS d FROM bfs GROUP BY s, n)
-SELECT CAST(coalesce(d, 4) AS INTEGER) AS dist, count(*) AS n FROM few LEFT JOIN near ON s = u AND near.n = v GROUP BY 1""")
+SELECT CAST(coalesce(d, 7) AS INTEGER) AS dist, count(*) AS n FROM few LEFT JOIN near ON s = u AND near.n = v GROUP BY 1""")
 def shortest_path_hist(spark, sf_dir):
     g, pool = coorder_pool(spark, sf_dir)
-    return panels.path_histogram(g, candidates.hash_sample(pool, 200, seed=1), cutoff=3)
+    return panels.path_histogram(g, pool)
 
 
 @query(COORDER_SCORED + " SELECT least(cn, 12) AS cn, count(*) AS n FROM topo GROUP BY 1")
@@ -754,7 +805,8 @@ def spectral_manifold(spark, sf_dir):
 
 @query()
 def downstream_benchmark(spark, sf_dir):
-    return experiments.run_benchmark(B.coorder(spark, sf_dir), n=1000, max_pool=POOL, models=("lr",))
+    g = B.coorder(spark, sf_dir)
+    return experiments.run_benchmark(g, n=1000, max_pool=g.edges.count(), models=("lr",))
 
 
 @query()

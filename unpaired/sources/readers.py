@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from unpaired.graph import Graph, canonical
+from unpaired.tables import settle
 
 # Structural proteins that a bait table writes with one letter.
 STRUCTURAL = ("E", "M", "N", "S")
@@ -181,7 +182,7 @@ def alias_map(aliases: DataFrame, ids: DataFrame, accession_source: str = "UniPr
 def channel_scores(spark: SparkSession, path: str, channel: str, pairs: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(lo, hi, value) of one channel of a links file (blank-separated, header, thousandths).
 
-    Only pairs asked for, or within ``nodes`` (id); the first row of a pair wins.
+    Only pairs asked for, or within ``nodes`` (id); of several rows of a pair the largest value counts.
     """
     table = spark.read.csv(path, sep=" ", header=True)
     own = table.select(F.least("protein1", "protein2").alias("lo"), F.greatest("protein1", "protein2").alias("hi"), (F.col(channel).try_cast("double") / 1000).alias("value"))
@@ -192,6 +193,35 @@ def channel_scores(spark: SparkSession, path: str, channel: str, pairs: DataFram
     return own.where("value is not null").groupBy("lo", "hi").agg(F.max("value").alias("value"))
 
 
+def mapped_channel_scores(spark: SparkSession, path: str, channel: str, aliases: DataFrame, pairs: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(lo, hi, value) of one channel, asked and answered in the caller's ids.
+
+    Ids are mapped to those of the links file (:func:`alias_map`), the file is scanned for
+    the mapped pairs or nodes, and scores are mapped back to every pair asked for. A pair
+    without a mapping or a row is left out.
+    """
+    asked = nodes if nodes is not None else pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    to = settle(alias_map(aliases, asked.select("id").distinct()), "alias-map")
+    a, b = (to.select(F.col("id").alias(end), F.col("target").alias(f"_{end}")) for end in ("u", "v"))
+    if nodes is not None:
+        found = channel_scores(spark, path, channel, nodes=to.select(F.col("target").alias("id")).distinct())
+        own = found.join(a, F.col("lo") == F.col("_u")).join(b, F.col("hi") == F.col("_v"))
+    else:
+        own = pairs.select("u", "v").distinct().join(a, "u").join(b, "v")
+        found = channel_scores(spark, path, channel, pairs=own.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+        own = own.join(found, (F.least("_u", "_v") == F.col("lo")) & (F.greatest("_u", "_v") == F.col("hi")))
+    ends = own.where("u <> v").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "value")
+    return ends.groupBy("lo", "hi").agg(F.max("value").alias("value"))
+
+
+def known_links(spark: SparkSession, path: str, aliases: DataFrame, channel: str = "experimental", above: float = 0.9, source: str = "UniProt_AC") -> DataFrame:
+    """(u, v): pairs whose channel is above a bound, in the ids of one alias source; the first alias of an id wins."""
+    strong = channel_scores(spark, path, channel).where(F.col("value") > above)
+    named = aliases.where(F.col("source") == source).groupBy("target").agg(F.min_by("alias", "at").alias("alias"))
+    a, b = (named.select(F.col("target").alias(end), F.col("alias").alias(new)) for end, new in (("lo", "u"), ("hi", "v")))
+    return canonical(strong.join(a, "lo").join(b, "hi").select("u", "v"))
+
+
 def biogrid(spark: SparkSession, path: str, taxon: str = "9606") -> DataFrame:
     """Physical interactions within one taxon, from a tab file with named columns: (u, v)."""
     t = spark.read.csv(path, sep="\t", header=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from unpaired.graph import excluding
 from unpaired.operators import fusion, judge
 from unpaired.sources.writers import latest_verdicts
 
@@ -40,13 +41,13 @@ def current(spark: SparkSession, table: str, before: int | None = None) -> DataF
 
 
 def judge_remaining(records: DataFrame, verdicts: DataFrame, who: judge.Judge, k: int, weights: dict[str, float] | None = None) -> DataFrame:
-    """The records of a run after the next ``k`` unjudged risky pairs have been judged.
+    """The records of a run after the next ``k`` unjudged suspected false negatives have been judged.
 
     Their confidence is fused anew from all streams of the record and the verdict, and
     they get the flag ``llm_<verdict>``; the other records stay.
     """
-    risky = records.where(F.array_contains("flags", "suspected_false_negative") | F.array_contains("flags", "near_boundary"))
-    open_ = risky.join(verdicts.select("u", "v").distinct(), ["u", "v"], "left_anti").select("u", "v", "confidence").distinct()
+    risky = records.where(F.array_contains("flags", "suspected_false_negative"))
+    open_ = excluding(risky, verdicts).select("u", "v", "confidence").distinct()
     batch = open_.orderBy("confidence", "u", "v").limit(k)
     seen = judge.majority(who.judge(batch)).select("u", "v", F.col("verdict").alias("_verdict"), judge.card_value(F.col("verdict"), F.col("confidence")).alias("_value"))
     streams = {c.removeprefix("stream_"): F.col(c) for c in records.columns if c.startswith("stream_") and c != "stream_literature"} | {"literature": F.col("_value")}
