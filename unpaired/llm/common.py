@@ -35,7 +35,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     if (made := _MADE.get()) is not None:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
