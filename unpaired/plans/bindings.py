@@ -1,8 +1,9 @@
 """Graphs and fixtures over the driver's tables.
 
 ``supply`` joins parts to suppliers (two types), ``coorder`` joins parts of one order
-(one type, so pairs have common neighbours). Both come from filtered line items; an
-order has a bounded number of lines, so pairs of one order stay few.
+(one type, so pairs have common neighbours). ``supply`` takes every returned line item;
+the other return flags are its known positives. ``coorder`` takes large line items only;
+an order has a bounded number of lines, so pairs of one order stay few.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(key("P", "p_partkey").alias("id"), F.lit("part").alias("type"))
 
 
-def supply_pairs(spark: SparkSession, sf_dir: str, returned: str = "R", least: int = 45) -> DataFrame:
-    """Distinct part-supplier pairs (u, v) of line items with a return flag and quantity."""
-    lines = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == returned) & (F.col("l_quantity") >= least))
+def supply_pairs(spark: SparkSession, sf_dir: str, returned: str | None = "R") -> DataFrame:
+    """Distinct part-supplier pairs (u, v) of all line items with a return flag (None: of any)."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines if returned is None else lines.where(F.col("l_returnflag") == returned)
     return lines.select(key("P", "l_partkey").alias("u"), key("S", "l_suppkey").alias("v")).distinct()
 
 

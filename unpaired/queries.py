@@ -49,7 +49,7 @@ twom AS (SELECT 2 * count(*) AS two_m FROM edges)"""
 SUPPLY = (
     """
 nodes AS (SELECT 'S' || s_suppkey AS id, 'supplier' AS type FROM supplier UNION ALL SELECT 'P' || p_partkey, 'part' FROM part),
-edges AS (SELECT DISTINCT 'P' || l_partkey AS u, 'S' || l_suppkey AS v FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45),"""
+edges AS (SELECT DISTINCT 'P' || l_partkey AS u, 'S' || l_suppkey AS v FROM lineitem WHERE l_returnflag = 'R'),"""
     + DEGREES
 )
 COORDER = (
@@ -140,7 +140,7 @@ def graph_build(spark, sf_dir):
 def graph_positives(spark, sf_dir):
     g = B.supply(spark, sf_dir)
     busy = g.degrees.where("k >= 2").select(F.col("id").alias("u"))
-    return g.positives(B.supply_pairs(spark, sf_dir, least=40)).join(busy, "u", "left_semi").select("u", "v")
+    return g.positives(B.supply_pairs(spark, sf_dir, None)).join(busy, "u", "left_semi").select("u", "v")
 
 
 @query("WITH" + SUPPLY + " SELECT 'part' AS t1, 'supplier' AS t2, CAST((SELECT count(*) FROM part) * (SELECT count(*) FROM supplier) AS BIGINT) AS pairs")
@@ -171,7 +171,7 @@ def topology_hard_nonedges(spark, sf_dir):
 
 # Sources, mapping and annotations
 
-KNOWN = "(SELECT DISTINCT 'P' || l_partkey AS u, 'S' || l_suppkey AS v FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 45)"
+KNOWN = "(SELECT DISTINCT 'P' || l_partkey AS u, 'S' || l_suppkey AS v FROM lineitem WHERE l_returnflag = 'A')"
 
 
 @query("WITH" + SUPPLY_POOL + f" SELECT u, v FROM pool WHERE (u, v) NOT IN {KNOWN}")
@@ -180,7 +180,7 @@ def known_positive_veto(spark, sf_dir):
     return filters.KnownPositiveVeto().score(filters.Context(g, known_positives=B.supply_pairs(spark, sf_dir, "A")), pool)
 
 
-UNION = " UNION ALL ".join(f"SELECT DISTINCT 'P' || l_partkey AS u, 'S' || l_suppkey AS v, '{r}' AS source FROM lineitem WHERE l_returnflag = '{r}' AND l_quantity >= 45" for r in "ANR")
+UNION = " UNION ALL ".join(f"SELECT DISTINCT 'P' || l_partkey AS u, 'S' || l_suppkey AS v, '{r}' AS source FROM lineitem WHERE l_returnflag = '{r}'" for r in "ANR")
 
 
 def _three_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,14 +228,14 @@ def annotation_merge(spark, sf_dir):
 
 
 @query("""
-SELECT 'P' || l_partkey AS lo, 'S' || l_suppkey AS hi, 'discount' AS field, max(l_discount) AS value FROM lineitem WHERE l_quantity >= 45 GROUP BY l_partkey, l_suppkey
-UNION ALL SELECT 'P' || l_partkey, 'S' || l_suppkey, 'tax', max(l_tax) FROM lineitem WHERE l_quantity >= 45 GROUP BY l_partkey, l_suppkey""")
+SELECT 'P' || l_partkey AS lo, 'S' || l_suppkey AS hi, 'discount' AS field, max(l_discount) AS value FROM lineitem GROUP BY l_partkey, l_suppkey
+UNION ALL SELECT 'P' || l_partkey, 'S' || l_suppkey, 'tax', max(l_tax) FROM lineitem GROUP BY l_partkey, l_suppkey""")
 def pair_annotation(spark, sf_dir):
     return _pair_fields(spark, sf_dir)
 
 
 def _pair_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = B.table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
+    lines = B.table(spark, sf_dir, "lineitem")
     one = lambda column, field: lines.groupBy(B.key("P", "l_partkey").alias("lo"), B.key("S", "l_suppkey").alias("hi")).agg(F.max(column).alias("value")).select("lo", "hi", F.lit(field).alias("field"), "value")
     return readers.pair_table([one("l_discount", "discount"), one("l_tax", "tax")])
 
