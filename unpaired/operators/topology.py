@@ -8,7 +8,7 @@ asks for it; by default every path counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unpaired.functions.hashing import hash52
@@ -20,6 +20,8 @@ from unpaired.tables import settle
 L3_WEIGHT, RA_WEIGHT = 0.7, 0.3
 NO_OVERLAP_VALUE, NO_OVERLAP_CONFIDENCE = 0.98, 0.9
 CALIBRATION_EDGES = 2000
+# Starts of walks that share a row.
+LANES = 16
 
 
 def _middle(graph: Graph, max_degree: int | None) -> DataFrame:
@@ -53,10 +55,18 @@ def _walks(graph: Graph, starts: DataFrame, max_degree: int | None) -> DataFrame
 
 
 def l3(graph: Graph, pairs: DataFrame, max_degree: int | None = None) -> DataFrame:
-    """(u, v, l3) of non-edges: sum of 1/sqrt(k_x k_y) over paths u-x-y-v; absent if none."""
-    own = pairs.select("u", "v")
-    ends = graph.adjacency.select(F.col("u").alias("v"), F.col("v").alias("y"))
-    return own.join(ends, "v").join(_walks(graph, own, max_degree), ["u", "y"]).groupBy("u", "v").agg(F.sum("w").alias("l3"))
+    """(u, v, l3) of non-edges: sum of 1/sqrt(k_x k_y) over paths u-x-y-v; absent if none.
+
+    The sum is the same from either end. Walks start at the end of larger degree, so a
+    pair meets only the neighbours of its smaller end.
+    """
+    deg = graph.degrees.select("id", "k")
+    own = pairs.select("u", "v").join(deg.select(F.col("id").alias("u"), F.col("k").alias("k_u")), "u").join(deg.select(F.col("id").alias("v"), F.col("k").alias("k_v")), "v")
+    larger = F.col("k_u") >= F.col("k_v")
+    own = own.select("u", "v", F.when(larger, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(larger, F.col("v")).otherwise(F.col("u")).alias("b"))
+    ends = graph.adjacency.select(F.col("u").alias("b"), F.col("v").alias("y"))
+    walks = _walks(graph, own.select(F.col("a").alias("u")), max_degree).withColumnRenamed("u", "a")
+    return own.join(ends, "b").join(walks, ["a", "y"]).groupBy("u", "v").agg(F.sum("w").alias("l3"))
 
 
 def l3_of_edges(graph: Graph, edges: DataFrame) -> DataFrame:
@@ -69,12 +79,40 @@ def l3_of_edges(graph: Graph, edges: DataFrame) -> DataFrame:
     return walks.groupBy("u", "v").agg(F.sum(1.0 / F.sqrt(F.col("kx").cast("double") * F.col("ky"))).alias("l3"))
 
 
+def _lanes(starts: DataFrame) -> DataFrame:
+    """Adds ``block`` and ``lane``: starts in groups of ``LANES``, so that a row can carry a sum for each of them."""
+    buckets = max(1, starts.count() // (16 * LANES))
+    own = starts.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("k_a", "a")) - 1
+    return own.select("a", "k_a", (F.col("bucket") * 2**31 + F.floor(place / LANES)).alias("block"), (place % LANES).alias("lane"))
+
+
 def all_l3(graph: Graph) -> DataFrame:
-    """(u, v, l3) of every non-edge u < v that has a path of length 3."""
-    walks = _walks(graph, graph.adjacency, None)
-    ends = graph.adjacency.select(F.col("u").alias("y"), "v")
-    sums = walks.join(ends, "y").where("u < v").groupBy("u", "v").agg(F.sum("w").alias("l3"))
-    return sums.join(graph.edges, ["u", "v"], "left_anti")
+    """(u, v, l3) of every non-edge u < v that has a path of length 3.
+
+    Nodes are ranked by (degree, id). A pair is summed once, from its end of higher rank;
+    walks that lead to no end of lower rank go before they are grouped (``low`` is the
+    lowest rank next to a node, ``low2`` the lowest two steps away). Starts lie in lanes of
+    wide rows, which divides the rows of the last join and of its grouping.
+    """
+    nodes = graph.degrees.select("id", "k", F.struct("k", "id").alias("r"))
+    edges = graph.adjacency.select(F.col("u").alias("id"), F.col("v").alias("to"))
+    steps = edges.join(nodes.select(F.col("id").alias("to"), F.col("k").alias("k_to"), F.col("r").alias("r_to")), "to")
+    low = steps.groupBy("id").agg(F.min("r_to").alias("low"))
+    low2 = edges.join(low.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("low").alias("low2"))
+    first = edges.join(nodes, "id").join(low2.withColumnRenamed("id", "to"), "to").where("low2 < r")
+    first = settle(first.select(F.col("id").alias("a"), F.col("k").alias("k_a"), F.col("to").alias("x")), "first-steps")
+    starts = settle(_lanes(first.select("a", "k_a").distinct()), "starts")
+    second = steps.join(low.withColumnRenamed("id", "to"), "to").join(nodes.select("id", "k"), "id")
+    second = second.select(F.col("id").alias("x"), F.col("to").alias("y"), "low", (1.0 / F.sqrt(F.col("k").cast("double") * F.col("k_to"))).alias("w"))
+    r_a, r_b = F.struct(F.col("k_a").alias("k"), F.col("a").alias("id")), F.struct(F.col("k_b").alias("k"), F.col("b").alias("id"))
+    lanes = [f"w{i}" for i in range(LANES)]
+    walks = first.join(starts.drop("k_a"), "a").join(second, "x").where(F.col("low") < r_a).groupBy("block", "y")
+    walks = walks.agg(*[F.sum(F.when(F.col("lane") == i, F.col("w"))).alias(c) for i, c in enumerate(lanes)], F.max(r_a).alias("top"))
+    ends = steps.select(F.col("id").alias("y"), F.col("to").alias("b"), F.col("k_to").alias("k_b"))
+    sums = walks.join(ends, "y").where(r_b < F.col("top")).groupBy("block", "b", "k_b").agg(*[F.sum(c).alias(c) for c in lanes])
+    flat = sums.select("block", "b", "k_b", F.posexplode(F.array(*lanes)).alias("lane", "l3")).where("l3 is not null").join(starts, ["block", "lane"]).where(r_b < r_a)
+    return flat.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "l3").join(graph.edges, ["u", "v"], "left_anti")
 
 
 def config_expectation(graph: Graph) -> Column:
