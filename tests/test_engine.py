@@ -65,6 +65,28 @@ def test_topology_matches_brute_force(clustered):
     assert {p: round(x, 9) for p, x in every.items()} == {p: round(brute_l3(n, *p), 9) for p in got if brute_l3(n, *p) > 0}
 
 
+def test_all_paths_with_starts_in_many_blocks(spark):
+    """A hub, ties of degree and more starts than one bucket of lanes holds; a graph without edges has no paths."""
+    rng, n = random.Random(2), 700
+    names = [f"n{i}" for i in range(n)]
+    edges = {tuple(sorted(rng.sample(names, 2))) for _ in range(1100)} | {tuple(sorted((names[0], x))) for x in names[1::3]}
+    at = {x: i for i, x in enumerate(names)}
+    a = np.zeros((n, n))
+    for u, v in edges:
+        a[at[u], at[v]] = a[at[v], at[u]] = 1
+    half = np.diag(1 / np.sqrt(np.maximum(a.sum(1), 1)))
+    sums = a @ half @ a @ half @ a
+    want = {(u, v): round(sums[at[u], at[v]], 9) for u, v in itertools.combinations(sorted(names), 2) if sums[at[u], at[v]] > 0 and (u, v) not in edges}
+    graph = make(spark, edges, names).settled()
+    rows = topology.all_l3(graph).collect()
+    assert len(rows) == len(want) and {(r["u"], r["v"]): round(r["l3"], 9) for r in rows} == want
+    pairs = spark.createDataFrame(rng.sample(sorted(want), 300), "u string, v string")
+    turned = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    for some in (pairs, turned):
+        assert {tuple(sorted((r["u"], r["v"]))): round(r["l3"], 9) for r in topology.l3(graph, some).collect()} == {tuple(r): want[tuple(r)] for r in pairs.collect()}
+    assert topology.all_l3(make(spark, [], names[:3]).settled()).isEmpty()
+
+
 def test_shortest_paths(spark):
     graph = make(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")], "abcdef")
     pairs = spark.createDataFrame([("a", "c"), ("a", "e"), ("a", "f")], "u string, v string")
