@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unpaired.llm import chat_format, decontaminate, langid, media, mixing, quality, sharding, simhash, token_counts, url_filter
+from unpaired.llm import chat_format, decontaminate, langid, line_dedup, media, mixing, quality, sharding, simhash, token_counts, url_filter
 from unpaired.llm.common import read
 
 
@@ -48,11 +48,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_token_counts, op4_chat_formatting, op5_simhash_near_dedup, op6_url_filters, op7_sharding, op8_language_id, op9_mixing, op10_quality_classifier)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.document_lines(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_token_counts, op4_chat_formatting, op5_simhash_near_dedup, op6_url_filters, op7_sharding, op8_language_id, op9_mixing, op10_quality_classifier, op12_line_dedup)}
 
 ORACLES = {
     "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op4_chat_formatting": chat_format.ORACLE,
     "op6_url_filters": url_filter.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
 }
