@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unpaired.llm import chat_format, decontaminate, langid, line_dedup, media, mixing, quality, sharding, simhash, token_counts, url_filter
+from unpaired.llm import chat_format, collocations, decontaminate, langid, line_dedup, media, mixing, quality, ranked_search, sharding, simhash, token_counts, url_filter
 from unpaired.llm.common import read
 
 
@@ -48,16 +48,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.document_collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.document_lines(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_token_counts, op4_chat_formatting, op5_simhash_near_dedup, op6_url_filters, op7_sharding, op8_language_id, op9_mixing, op10_quality_classifier, op12_line_dedup)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.benchmark_ranking(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_token_counts, op4_chat_formatting, op5_simhash_near_dedup, op6_url_filters, op7_sharding, op8_language_id, op9_mixing, op10_quality_classifier, op11_phrase_collocations, op12_line_dedup, op13_ranked_search)}
 
 ORACLES = {
     "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op4_chat_formatting": chat_format.ORACLE,
     "op6_url_filters": url_filter.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_phrase_collocations": collocations.ORACLE,
     "op12_line_dedup": line_dedup.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
