@@ -2,15 +2,19 @@
 
 Each task encodes the words of its documents in the test set's vocabulary (other
 words become 0, which no test suffix contains), sorts the suffixes of every shard
-of about ``SHARD_WORDS`` words, and binary-searches every test suffix in it: first
-its leading window, then one more word at a time as long as suffixes of the shard
-agree. This tells how long each place matches each test suffix. A document lies in
-one shard whole, so nothing is shuffled.
+of about ``SHARD_WORDS`` words, and binary-searches every test suffix in it by its
+leading window. The longest match at a place found so is the common prefix with its
+neighbours among the sorted test suffixes, found by bisection again; common prefixes
+are measured by bisection on sums of two modular polynomials, and the longest match of a document
+is compared word by word. No pair of places is ever listed, so memory and time grow with
+the words of a shard, repetitive texts included. A document lies in one shard whole, so
+nothing is shuffled.
 
 Defined results: null or wordless texts have no words and are never contaminated;
 items without words or without an id are skipped; repeated items count once by id;
 an empty test set or an empty table gives no hits. Repeated documents are judged
-row by row. All columns of ``documents`` are carried.
+row by row. Equally long matches go by their place, then by the item that sorts first.
+All columns of ``documents`` are carried. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -41,6 +45,106 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if text else []
 
 
+# Two primes under 2^31, and a base for each.
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1000000007, 999999937)
+
+
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.int64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * pow(base, done, prime) % prime
+        done += more
+    return out
+
+
+class Text:
+    """Words as numbers, 0 between texts, with what it takes to compare stretches of them."""
+
+    def __init__(self, tokens: np.ndarray) -> None:
+        self.tokens = np.append(tokens, 0)
+        ends = np.where(self.tokens == 0, np.arange(len(self.tokens)), len(self.tokens))
+        self.reach = np.minimum.accumulate(ends[::-1])[::-1] - np.arange(len(self.tokens))
+        self.sums = [np.append(0, np.cumsum(self.tokens * _powers(b, p, len(self.tokens)) % p) % p) for b, p in zip(_BASES, _PRIMES, strict=True)]
+
+
+class Prefixes:
+    """Common prefixes of suffixes of two texts."""
+
+    def __init__(self, a: Text, b: Text) -> None:
+        self.a, self.b = a, b
+        self.powers = [_powers(base, p, max(len(a.tokens), len(b.tokens)) + 1) for base, p in zip(_BASES, _PRIMES, strict=True)]
+
+    def same(self, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), bool)
+        for prime, power, s, t in zip(_PRIMES, self.powers, self.a.sums, self.b.sums, strict=True):
+            left = (s[x + size] - s[x]) % prime * power[y] % prime
+            out &= left == (t[y + size] - t[y]) % prime * power[x] % prime
+        return out
+
+    def length(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many words the suffixes at ``x`` and ``y`` have in common."""
+        low, high = np.zeros(len(x), np.int64), np.minimum(self.a.reach[x], self.b.reach[y])
+        while (open_ := np.flatnonzero(low < high)).size:
+            middle = (low[open_] + high[open_] + 1) >> 1
+            good = self.same(x[open_], y[open_], middle)
+            low[open_] = np.where(good, middle, low[open_])
+            high[open_] = np.where(good, high[open_], middle - 1)
+        return low
+
+    def locate(self, x: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``order`` (suffixes of the second text, sorted), from low to high, each ``x`` belongs, and its longest common prefix there."""
+        begin, end, low, high = low, high, low.copy(), high.copy()
+        while (open_ := np.flatnonzero(low < high)).size:
+            middle = (low[open_] + high[open_]) >> 1
+            y = order[middle]
+            size = self.length(x[open_], y)
+            after = self.b.tokens[y + size] < self.a.tokens[x[open_] + size]
+            low[open_] = np.where(after, middle + 1, low[open_])
+            high[open_] = np.where(after, high[open_], middle)
+        best = np.zeros(len(x), np.int64)
+        for at in (low - 1, low):
+            has = np.flatnonzero((at >= begin) & (at < end))
+            best[has] = np.maximum(best[has], self.length(x[has], order[at[has]]))
+        return low, best
+
+    def sharing(self, x: np.ndarray, size: np.ndarray, at: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From where to where in ``order``, around ``at``, suffixes share ``size`` words with ``x``."""
+
+        def edge(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+            # ``inner`` is the last place known to share, or beside ``at``; ``outer`` doesn't share
+            inner, outer = inner.copy(), outer.copy()
+            while (open_ := np.flatnonzero(np.abs(outer - inner) > 1)).size:
+                middle = (inner[open_] + outer[open_]) >> 1
+                good = self.same_at_least(x[open_], order[middle], size[open_])
+                inner[open_] = np.where(good, middle, inner[open_])
+                outer[open_] = np.where(good, outer[open_], middle)
+            return inner
+
+        return edge(at, low - 1), edge(at - 1, high) + 1
+
+    def same_at_least(self, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+        fits = np.minimum(self.a.reach[x], self.b.reach[y]) >= size
+        return fits & self.same(x, y, np.where(fits, size, 0))
+
+
+def _least(ranks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of ``ranks`` in each non-empty range, by minima of stretches of powers of two."""
+    size = np.frexp((high - low).astype(np.float64))[1] - 1  # 2^size words at most
+    out = np.empty(len(low), ranks.dtype)
+    table, level = ranks, 0
+    for k in range(int(size.max(initial=0)) + 1):
+        while level < k:
+            step = 1 << level
+            table = np.minimum(table[:-step], table[step:]) if len(table) > step else table
+            level += 1
+        own = np.flatnonzero(size == k)
+        out[own] = np.minimum(table[low[own]], table[high[own] - (1 << k)])
+    return out
+
+
 class TestSet:
     """A block of the test set: its vocabulary, suffixes and distinct windows."""
 
@@ -79,7 +183,28 @@ class TestSet:
         self.flat = np.concatenate([np.empty(0, np.int64), *(np.array(x, np.int64) for x in self.tokens)])
         self.at = (np.cumsum(lengths) - lengths)[self.item] + self.pos
         self.left = lengths[self.item] - self.pos
-        self.name_rank = np.unique(self.ids, return_inverse=True)[1] if self.ids else np.empty(0, np.int64)
+        self.names, self.name_rank = np.unique(np.array(self.ids, object), return_inverse=True)
+        self._sort_suffixes(lengths, window)
+
+    def _sort_suffixes(self, lengths: np.ndarray, window: int) -> None:
+        """Orders the suffixes of ``window`` words or more, among which places of documents are located."""
+        begins = np.cumsum(lengths + 1) - lengths - 1 if len(lengths) else lengths
+        text = np.zeros(int(lengths.sum()) + len(lengths) + 1, np.int64)
+        text[np.delete(np.arange(len(text)), np.append(begins + lengths, len(text) - 1))] = self.flat
+        self.text = Text(text)
+        order = SuffixArray(text, self.bits, self.packed, self.longest).order
+        number = np.full(len(text), -1, np.int64)  # which test suffix begins at a place
+        number[begins[self.item] + self.pos] = np.arange(len(self.item))
+        number[begins[self.item[self.left < window]] + self.pos[self.left < window]] = -1
+        order = order[number[order] >= 0]
+        self.sorted = order
+        self.sorted_suffix = number[order]
+        self.sorted_name = self.name_rank[self.item[self.sorted_suffix]]
+        # suffixes of one leading window lie together
+        own = self.window[self.sorted_suffix]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        self.window_low, self.window_high = np.zeros((2, len(self.sizes)), np.int64)
+        self.window_low[own[first]], self.window_high[own[first]] = first, np.append(first[1:], len(own))
 
 
 class SuffixArray:
@@ -145,46 +270,6 @@ class SuffixArray:
         return low
 
 
-    def longest(self, test: TestSet, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """How far test suffixes match, from the ranges of their windows: (suffix, words, low, high).
-
-        The suffixes of the shard in low to high match so many words of that test suffix
-        and no more. The last entry of a test suffix has its longest matches.
-        """
-        now = np.flatnonzero(right[test.window] > left[test.window])
-        low, high, size = left[test.window[now]], right[test.window[now]], test.sizes[test.window[now]]
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
-
-        def give(which: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-            which = np.flatnonzero(which & (a < b))
-            for column, x in zip(out, (now, size, a, b), strict=True):
-                column.append(x[which])
-
-        while len(now):
-            open_ = test.left[now] > size
-            give(~open_, low, high)
-            now, low, high, size = (x[open_] for x in (now, low, high, size))
-            wanted = test.flat[test.at[now] + size]
-            a, b = (self._next(size, wanted, low, high, past) for past in (False, True))
-            every = np.ones(len(now), bool)
-            give(every, low, a)
-            give(every, b, high)
-            # none goes on: those were given above
-            now, low, high, size = (x[a < b] for x in (now, a, b, size + 1))
-        return tuple(np.concatenate(x) for x in out)
-
-    def _next(self, size: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray, past: bool) -> np.ndarray:
-        """Where in low to high the word behind ``size`` words is no longer below (``past``: above) the one wanted."""
-        low, high = low.copy(), high.copy()
-        last = len(self.order) - 1
-        while (open_ := low < high).any():
-            middle = (low + high) >> 1
-            word = self.tokens[self.order[np.minimum(middle, last)] + size]
-            after = word <= wanted if past else word < wanted
-            low, high = np.where(open_ & after, middle + 1, low), np.where(open_ & ~after, middle, high)
-        return low
-
-
 def shard_tokens(texts: list[list[bytes]], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """The words of a shard as ids with a 0 before each document, and where documents begin."""
     sizes = np.array([len(x) for x in texts], np.int64)
@@ -238,16 +323,37 @@ def search_shard(texts: list[list[bytes]], test: TestSet) -> list[tuple[list[tup
         if names is None:
             names = listed[own.tobytes()] = sorted({x for w in own.tolist() for x in test.items[w]})
         found[d][1].extend(names)
-    suffix, size, low, high = suffixes.longest(test, left, right)
-    place, whose = _expanded(low, high)
-    start, size, item = suffixes.order[place], size[whose], test.item[suffix[whose]]
-    doc = np.searchsorted(begins, start, "right") - 1
-    order = np.lexsort((test.name_rank[item], start, -size, doc))
-    for i in order[np.flatnonzero(np.diff(doc[order], prepend=-1))].tolist():
-        found[doc[i]] = (*found[doc[i]][:2], (int(size[i]), int(start[i] - begins[doc[i]] - 1), test.ids[item[i]]))
+    for d, match in _longest_of_documents(tokens, begins, test, start, window):
+        found[d] = (*found[d][:2], match)
     return found
 
 
+def _longest_of_documents(tokens: np.ndarray, begins: np.ndarray, test: TestSet, start: np.ndarray, window: np.ndarray) -> Iterator[tuple[int, tuple[int, int, str]]]:
+    """The longest match of each document, from the places where test windows ``start``."""
+    size = test.sizes[window]  # of a short item; a full window may go on
+    full = np.flatnonzero(test.window_high[window] > test.window_low[window])
+    prefixes = Prefixes(Text(tokens), test.text)
+    low, high = test.window_low[window[full]], test.window_high[window[full]]
+    at = np.zeros(len(start), np.int64)
+    at[full], size[full] = prefixes.locate(start[full], test.sorted, low, high)
+    doc = np.searchsorted(begins, start, "right") - 1
+    order = np.lexsort((start, -size, doc))
+    best = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
+    long = np.isin(best, full)
+    own = best[long]
+    name = np.zeros(len(best), np.int64)
+    low, high = prefixes.sharing(start[own], size[own], at[own], test.sorted, test.window_low[window[own]], test.window_high[window[own]])
+    name[long] = _least(test.sorted_name, low, high)
+    like = iter(test.sorted[low].tolist())
+    for i, is_long, rank in zip(best.tolist(), long.tolist(), name.tolist(), strict=True):
+        n, place = int(size[i]), int(start[i])
+        if is_long:
+            other = next(like)
+            if not np.array_equal(tokens[place : place + n], test.text.tokens[other : other + n]):
+                raise RuntimeError("two stretches of words have equal sums but differ")
+        yield int(doc[i]), (n, int(place - begins[doc[i]] - 1), test.names[rank] if is_long else test.items[window[i]][0])
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list]:
     """The test set in blocks of bounded size; one block as a rule."""
     own = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
@@ -273,8 +379,8 @@ def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: s
 
     A column named ``out`` stays under another name (:func:`unpaired.llm.common.renamed`).
     """
-    documents = renamed(documents, out)
     at = documents.columns.index(text)
+    documents = renamed(documents, out)
     done = documents.withColumn(out, F.lit(None).cast(FOUND))
     for block in _blocks(benchmark, item, item_text, block_bytes):
         test = documents.sparkSession.sparkContext.broadcast(TestSet(block, window))
@@ -367,16 +473,25 @@ def _longest(texts: list[list[bytes]], test: TestSet, rank: np.ndarray) -> tuple
         return empty
     tokens, begins = shard_tokens(texts, test.vocabulary)
     suffixes = SuffixArray(tokens, test.bits, test.packed, test.longest)
-    suffix, size, low, high = suffixes.longest(test, *suffixes.ranges(test.windows, test.sizes))
+    left, right = suffixes.ranges(test.windows, test.sizes)
+    suffix = np.flatnonzero(right[test.window] > left[test.window])
     if not len(suffix):
         return empty
-    place, whose = _expanded(low, high)
-    start, suffix, size = suffixes.order[place], suffix[whose], size[whose]
+    low, high, size = left[test.window[suffix]], right[test.window[suffix]], test.sizes[test.window[suffix]]
+    full = np.flatnonzero(test.window_high[test.window[suffix]] > test.window_low[test.window[suffix]])
+    place = np.zeros(len(test.item), np.int64)
+    place[test.sorted_suffix] = test.sorted
+    x = place[suffix[full]]
+    prefixes = Prefixes(test.text, Text(tokens))
+    at, size[full] = prefixes.locate(x, suffixes.order, low[full], high[full])
+    low[full], high[full] = prefixes.sharing(x, size[full], at, suffixes.order, low[full], high[full])
+    doc = np.searchsorted(begins, suffixes.order, "right") - 1
+    best = np.lexsort((suffixes.order, rank[doc]))
+    ranks = np.empty(len(best), np.int32)
+    ranks[best] = np.arange(len(best))
+    start = suffixes.order[best[_least(ranks, low, high)]]
     doc = np.searchsorted(begins, start, "right") - 1
-    order = np.lexsort((start, rank[doc], -size, suffix))
-    best = order[np.flatnonzero(np.diff(suffix[order], prepend=-1))]
-    doc = doc[best]
-    return test.item[suffix[best]], test.pos[suffix[best]], size[best], doc, start[best] - begins[doc] - 1
+    return test.item[suffix], test.pos[suffix], size, doc, start - begins[doc] - 1
 
 
 def document_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
