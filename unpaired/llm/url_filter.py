@@ -2,14 +2,16 @@
 
 Rules are kept as sorted 64-bit XXH64 keys beside their full strings in one file,
 which Spark broadcasts and each Python worker memory-maps. A url's candidates (its
-host and parent domains, each with the path prefixes whose lengths rules have) are
+host and parent domains with path prefixes, of the lengths that rules have) are
 hashed, probed by vectorised binary search, and confirmed against the stored string,
 so a collision of digests decides nothing.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no
 rule; of equal rules the blocking one counts; the longest rule wins, of equally long
 ones that with the longer host; without a rule the verdict is ``DEFAULT``. Repeated
-rows repeat their result.
+rows repeat their result. An empty table gives no rows. A url of any length costs no more than
+its own bytes and one probe for each pair of lengths. Other columns of ``pages`` aren't
+carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -110,7 +112,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     context = pages.sparkSession.sparkContext
     own = rules.select("host", "path", "verdict").where("host is not null and path is not null")
     parts = -(-own.count() // block_rules) or 1
-    lengths = sorted(r[0] for r in own.select(F.octet_length("path")).distinct().collect())
+    # the pairs of lengths that rules have: few, however many rules there are
+    sizes = sorted((r[0], r[1]) for r in own.select(F.octet_length("host"), F.octet_length("path")).distinct().collect())
     files = []
     for i in range(parts):
         part = own if parts == 1 else own.where(F.pmod(F.xxhash64("host", "path"), F.lit(parts)) == i)
@@ -122,13 +125,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
             urls = [split_url(x.as_py()) for x in batch.column(1)]
             candidates, owner = [], []
             for i, (host, path) in enumerate(urls):
-                suffix, raw = host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass")
-                while suffix:
-                    for n in lengths:
-                        if n <= len(raw):
-                            candidates.append((suffix + raw[:n], len(suffix)))
-                            owner.append(i)
-                    suffix = suffix.partition(b".")[2]
+                name, raw = host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass")
+                for size, n in sizes:  # only domains and path prefixes as long as some rule's
+                    if 0 < size <= len(name) and n <= len(raw) and (size == len(name) or name[-size - 1] == 46):
+                        candidates.append((name[-size:] + raw[:n], size))
+                        owner.append(i)
             best: dict[int, tuple[int, int, bytes, bool]] = {}
             for array in arrays:
                 for j in np.flatnonzero((at := array.find(candidates)) >= 0).tolist():
