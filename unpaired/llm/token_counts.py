@@ -12,11 +12,13 @@ characters count their UTF-8 bytes where the vocabulary has all byte pieces, els
 one for each unbroken run.
 
 Defined results: null and empty texts have no tokens and score zero. Rows are
-independent: repeated rows repeat their result. Extra columns aren't carried.
+independent: repeated rows repeat their result. Extra columns aren't carried. Texts and words
+of any length are counted whole.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +28,12 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
-#: Distinct words that a Python worker remembers before it starts afresh.
+#: Distinct words that a Python worker remembers before it starts afresh, and the longest
+#: of them (in characters): together they bound its memory.
 REMEMBERED = 400_000
+REMEMBERED_CHARS = 64
+#: Words from this length on keep their scores in packed arrays, 16 bytes a character.
+LONG_WORD = 4096
 #: A vocabulary is shipped to every executor; a larger one is refused.
 VOCABULARY_ROWS = 2_000_000
 VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -75,7 +81,7 @@ class Counter:
     def word(self, word: str) -> tuple[int, float]:
         """Pieces and score of one word by dynamic programming."""
         n = len(word)
-        best, count = [0.0] + [NEVER] * n, [0] * (n + 1)
+        best, count = ([0.0] + [NEVER] * n, [0] * (n + 1)) if n < LONG_WORD else (array("d", [0.0]) + array("d", [NEVER]) * n, array("q", [0]) * (n + 1))
         if not self.single.issuperset(word):
             return self._with_unknown(word, best, count)
         for last, (length, score) in self.automaton.iter(word):  # at one end, longest first
@@ -85,8 +91,8 @@ class Counter:
                 best[end], count[end] = score, count[start] + 1
         return count[n], best[n]
 
-    def _with_unknown(self, word: str, best: list[float], count: list[int]) -> tuple[int, float]:
-        unknown = [False] * len(best)
+    def _with_unknown(self, word: str, best: list[float] | array, count: list[int] | array) -> tuple[int, float]:
+        unknown = bytearray(len(best))
         closed = 0
 
         def close(end: int) -> None:  # the last candidate of an end is its single unknown character
@@ -120,9 +126,11 @@ class Counter:
         for word in words:
             found = seen.get(word)
             if found is None:
-                if len(seen) >= self.remembered:
-                    seen.clear()
-                found = seen[word] = self.word(SPACE + word)
+                found = self.word(SPACE + word)
+                if len(word) <= REMEMBERED_CHARS:
+                    if len(seen) >= self.remembered:
+                        seen.clear()
+                    seen[word] = found
             pieces += found[0]
             total += found[1]
         return len(words), pieces, total
