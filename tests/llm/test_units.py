@@ -46,7 +46,12 @@ def test_items_keep_order_positions_and_captions():
         ("<figure><figure><img src=in><figcaption>inner</figcaption></figure><img src=out><figcaption>outer</figcaption></figure>", [("in", "inner"), ("out", "outer")]),
         ("<figure><figure><img src=in></figure><figcaption>outer</figcaption></figure>", [("in", "outer")]),
         ("<figure><figcaption>alone</figcaption></figure><figcaption>stray</figcaption>", ["alone", "stray"]),
-        ("<picture><source srcset='s1 1x, s2 2x'><img src=i></picture><video poster=p src=v></video><object data=o></object>", [("s1", None), ("i", None), ("p", None), ("v", None), ("o", None)]),
+        ("<picture><source srcset='s1 1x, s2 2x'><img src=i></picture><video poster=p src=v></video><object data=o></object>", [("i", None), ("p", None), ("v", None), ("o", None)]),
+        ("<figure><picture><source srcset='s1 1x'><source src=s2></picture><figcaption>cap</figcaption></figure>", [("s1", "cap")]),
+        ("<picture><source src=s1>x<p>y", [("s1", None), "x", "y"]),
+        ("İ" * 60 + "<title>a</title><p>x <title>not lost <p>more", ["İ" * 60, "x not lost", "more"]),
+        ("<p>x <script>var a<p>kept", ["x var a", "kept"]),
+        ("a<SCRIPT>gone</Script>b<style>kept", ["abkept"]),
         ("<figcaption>one<p>two</figcaption>", ["one", "two"]),
         ("<figure><img src=a><figcaption>one<br>two</figcaption></figure></figure></p>", [("a", "one two")]),
     ],

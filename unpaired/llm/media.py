@@ -10,7 +10,8 @@ Captions: all ``figcaption``s of a figure, before or behind its media, are the c
 of the media that are in this figure and in no captioned inner one; a figure without
 media gives its caption as text, and ``alt`` is the caption where no other is. Scripts,
 styles, titles, templates and ``noscript`` are left out with their media; what is never
-closed is plain text, so no text is lost.
+closed, scripts and styles included, is read like any other element, so no text is lost. A ``picture`` is
+one reference: its image, or its first source if it has none.
 
 Defined results: null or empty HTML has no items; null bytes are stored as the
 empty payload; a reference without a stored digest stays, with null payload
@@ -41,7 +42,7 @@ BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure foot
 MEDIA = frozenset("img audio video source embed object".split())
 SKIPPED = frozenset("script style title template noscript".split())
 #: Elements whose content is only set apart if they are closed further on; else it is plain text.
-CLOSED = ("title", "template", "noscript", "figcaption", "figure")
+CLOSED = ("script", "style", "title", "template", "noscript", "figcaption", "figure", "picture")
 
 
 def _sources(tag: str, given: dict[str, str | None]) -> list[str]:
@@ -55,8 +56,8 @@ class _Items(HTMLParser):
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        low = html.lower()
-        self.last = {tag: low.rfind(f"</{tag}") for tag in CLOSED}
+        #: Where the last end tag of each of these is; A-Z may be written either way.
+        self.last = {tag: max((m.start() for m in re.finditer(f"</{tag}", html, re.IGNORECASE | re.ASCII)), default=-1) for tag in CLOSED}
         self.lines = [0, *(i + 1 for i, c in enumerate(html) if c == "\n")]
         self.items: list[dict] = []
         self.text: list[str] = []
@@ -64,6 +65,12 @@ class _Items(HTMLParser):
         #: Open figures: their media that have no caption yet, and their captions.
         self.figures: list[tuple[list[dict], list[str]]] = []
         self.caption: list[str] | None = None
+        #: Sources of an open picture, of which its image is the one that counts.
+        self.picture: list[tuple[str, str | None]] | None = None
+
+    def set_cdata_mode(self, elem: str, *more: object, **named: object) -> None:
+        if elem not in self.last or self.closes(elem):  # else its content is read as that of any element
+            super().set_cdata_mode(elem, *more, **named)
 
     def closes(self, *tags: str) -> bool:
         """Whether an end tag of one of these follows."""
@@ -92,11 +99,14 @@ class _Items(HTMLParser):
         self.end_caption()
         self.flush()
         media, captions = self.figures.pop()
-        for item in media:
-            if captions:
+        if captions:
+            for item in media:
                 item["caption"] = " ".join(captions)
-            elif self.figures:  # the outer figure may have one
-                self.figures[-1][0].append(item)
+        elif self.figures:  # the outer figure may have one; the smaller list joins the larger
+            outer, its_captions = self.figures[-1]
+            small, large = sorted((media, outer), key=len)
+            large.extend(small)
+            self.figures[-1] = (large, its_captions)
         if captions and not media:
             self.add("text", text=" ".join(captions))
 
@@ -106,9 +116,12 @@ class _Items(HTMLParser):
                 self.skipped.append(tag)
             return
         if tag in SKIPPED:
-            if tag in ("script", "style") or self.closes(tag):
+            if self.closes(tag):
                 self.skipped.append(tag)
             return
+        if tag == "picture" and self.closes(tag):
+            self.end_picture()
+            self.picture = []
         if tag == "figure":
             self.end_caption()
             self.flush()
@@ -125,20 +138,37 @@ class _Items(HTMLParser):
                 self.caption.append(" ")
         if tag in MEDIA:
             given = dict(attrs)
-            for src in _sources(tag, given):
-                if self.caption is None:
-                    self.flush()
-                found = re.search(r"sha256[-:]([0-9a-f]{64})$", src)
-                item = self.add("media", src=src, digest=found and found[1], caption=given.get("alt"))
-                if self.figures:
-                    self.figures[-1][0].append(item)
+            found = [(src, given.get("alt")) for src in _sources(tag, given)]
+            if tag == "source" and self.picture is not None:
+                self.picture.extend(found)
+                return
+            if tag == "img" and found:
+                self.picture = None
+            for src, alt in found:
+                self.add_media(src, alt)
+
+    def add_media(self, src: str, alt: str | None) -> None:
+        if self.caption is None:
+            self.flush()
+        digest = re.search(r"sha256[-:]([0-9a-f]{64})$", src)
+        item = self.add("media", src=src, digest=digest and digest[1], caption=alt)
+        if self.figures:
+            self.figures[-1][0].append(item)
+
+    def end_picture(self) -> None:
+        """A picture without an image is its first source."""
+        sources, self.picture = self.picture, None
+        if sources:
+            self.add_media(*sources[0])
 
     def handle_endtag(self, tag: str) -> None:
         if self.skipped:
             if tag == self.skipped[-1]:
                 self.skipped.pop()
             return
-        if tag == "figcaption":
+        if tag == "picture":
+            self.end_picture()
+        elif tag == "figcaption":
             self.end_caption()
         elif tag == "figure":
             if self.figures:
@@ -155,6 +185,7 @@ class _Items(HTMLParser):
 
     def finish(self) -> list[dict]:
         self.close()
+        self.end_picture()
         while self.figures:
             self.end_figure()
         self.end_caption()
