@@ -36,10 +36,10 @@ from unpaired.llm.common import keep
 
 FIRST = 2000
 LEAST = 30
-#: Bits of each set of phrases that is broadcast (8 MB).
-FILTER_BITS = 1 << 26
+#: Bits of each set of phrases that is broadcast (4 MB).
+FILTER_BITS = 1 << 25
 #: Words that a task counts together.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 SCALE = 2_000_000
 #: Groups for each language in the first stage of the ranking.
 SPREAD = 64
@@ -161,9 +161,8 @@ def count_phrases(texts: DataFrame, choose: Choice, sets: dict[str, np.ndarray],
         held: dict[str, list[bytes]] = {}
 
         def counted(language: str) -> Iterator[pa.RecordBatch]:
-            words = held.pop(language)
-            if len(words) > 4:
-                chunk = Chunk(language, words)
+            if len(held[language]) > 4:
+                chunk = Chunk(language, held.pop(language))
                 for size, at in choose(chunk, shipped.value):
                     phrases, n = chunk.counts(size, at)
                     if len(n):
