@@ -172,10 +172,8 @@ def count_phrases(texts: DataFrame, choose: Choice, sets: dict[str, np.ndarray],
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 content = text.as_py()
                 if content:
-                    words = held.setdefault(language, [_BREAK] * 4)
-                    words.extend(pieces(content))
-                    words.append(_BREAK)
-                    if len(words) >= chunk_words:
+                    held.setdefault(language, [_BREAK] * 4).extend([*pieces(content), _BREAK])
+                    if len(held[language]) >= chunk_words:
                         yield from counted(language)
             while sum(map(len, held.values())) >= chunk_words:
                 yield from counted(max(held, key=lambda x: len(held[x])))
