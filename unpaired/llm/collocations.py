@@ -39,7 +39,7 @@ LEAST = 30
 #: Bits of each set of phrases that is broadcast (4 MB).
 FILTER_BITS = 1 << 25
 #: Words that a task counts together.
-CHUNK_WORDS = 500_000
+CHUNK_WORDS = 250_000
 SCALE = 2_000_000
 #: Groups for each language in the first stage of the ranking.
 SPREAD = 64
