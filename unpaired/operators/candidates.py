@@ -10,15 +10,16 @@ from pyspark.sql import window as W
 
 from unpaired.functions.hashing import hash52
 from unpaired.graph import Graph, excluding
+from unpaired.operators.ranking import FEW, first, smallest
 from unpaired.tables import settle
 
 MAX_POOL = 200_000
 #: Above this many admissible pairs (or twice the pool), pairs are drawn, not listed.
 ENUMERATE_MAX = 1_000_000
 BUCKET = 64
-#: Pairs that one task lists, and the sample size from which a cut goes before the sort.
+#: Pairs that one task lists, and the sample size that one task still sorts.
 CELL_PAIRS = 2_000_000
-LARGE_SAMPLE = 20_000
+LARGE_SAMPLE = FEW
 
 
 def type_counts(graph: Graph) -> DataFrame:
@@ -67,18 +68,10 @@ def enumerate_pairs(graph: Graph) -> DataFrame:
 
 
 def hash_sample(pairs: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` pairs of the smallest hash: uniform, without replacement, repeatable.
-
-    For a large ``n`` of many more pairs, a cut on the hash goes first, so that a sort
-    gets little more than the sample.
-    """
-    drawn = hash52(seed, F.col("u"), F.col("v"))
+    """``n`` pairs of the smallest hash: uniform, without replacement, repeatable."""
     if n > LARGE_SAMPLE:
-        count = pairs.count()
-        near = pairs.where(drawn < int(min(1.0, (1.2 * n + 1000) / max(count, 1)) * (1 << 52)))
-        if count > 2 * n and near.count() >= n:
-            pairs = near
-    return pairs.orderBy(drawn, "u", "v").limit(n)
+        pairs = settle(pairs, "sampled")
+    return smallest(pairs, n, hash52(seed, F.col("u"), F.col("v")), 1 << 52, "u", "v", few=LARGE_SAMPLE)
 
 
 def _slots(graph: Graph) -> DataFrame:
@@ -101,15 +94,17 @@ def rejection_sample(graph: Graph, n: int, seed: int = 0) -> DataFrame:
     20 n + 1000 where those don't suffice; the first ``n`` that succeed are the same.
     A warning tells if fewer than ``n`` were found.
     """
-    drawn = settle(_draw(graph, n, seed, 4 * n + 1000), "drawn")
-    if drawn.count() < n:
-        drawn = settle(_draw(graph, n, seed, 20 * n + 1000), "drawn")
-        if (found := drawn.count()) < n:
-            warnings.warn(f"{found} of {n} pairs drawn: the graph leaves too few, enumerate them instead", stacklevel=2)
-    return drawn
+    for attempts in (4 * n + 1000, 20 * n + 1000):
+        drawn = settle(_draw(graph, seed, attempts), "drawn")
+        if (found := drawn.count()) >= n:
+            break
+    else:
+        warnings.warn(f"{found} of {n} pairs drawn: the graph leaves too few, enumerate them instead", stacklevel=2)
+    return settle(smallest(drawn, n, "attempt", attempts).select("u", "v"), "pool")
 
 
-def _draw(graph: Graph, n: int, seed: int, attempts: int) -> DataFrame:
+def _draw(graph: Graph, seed: int, attempts: int) -> DataFrame:
+    """(u, v, attempt): the non-edges that so many attempts give, each with its first attempt."""
     slots = _slots(graph)
     sizes = slots.groupBy("type").agg(F.max("buckets").alias("buckets"), (F.max("slot") + 1).alias("depth"))
     kinds = [p or ("*", "*") for p in graph.type_pairs()]
@@ -126,7 +121,7 @@ def _draw(graph: Graph, n: int, seed: int, attempts: int) -> DataFrame:
     u = F.when(same, F.least("u", "v")).otherwise(F.col("u"))
     v = F.when(same, F.greatest("u", "v")).otherwise(F.col("v"))
     drawn = non_edges(graph, tries.where("u <> v").select("attempt", u.alias("u"), v.alias("v")))
-    return drawn.groupBy("u", "v").agg(F.min("attempt").alias("attempt")).orderBy("attempt").limit(n).select("u", "v")
+    return drawn.groupBy("u", "v").agg(F.min("attempt").alias("attempt"))
 
 
 def generate_candidates(graph: Graph, max_pool: int | None = MAX_POOL, seed: int = 0) -> DataFrame:
@@ -138,11 +133,11 @@ def generate_candidates(graph: Graph, max_pool: int | None = MAX_POOL, seed: int
         return settle(non_edges(graph, enumerate_pairs(graph)), "pool")
     size = admissible_sizes(graph).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
     if size > max(ENUMERATE_MAX, 2 * max_pool):
-        return settle(rejection_sample(graph, max_pool, seed), "pool")
+        return rejection_sample(graph, max_pool, seed)
     pool = non_edges(graph, enumerate_pairs(graph))
     return settle(pool if size <= max_pool else hash_sample(pool, max_pool, seed), "pool")
 
 
 def topology_hard_nonedges(pairs: DataFrame, common: str, n: int) -> DataFrame:
     """The ``n`` pairs with the most common neighbours, of those with any."""
-    return pairs.where(F.col(common) > 0).orderBy(F.desc(common), "u", "v").limit(n)
+    return first(pairs.where(F.col(common) > 0), n, F.desc(common), "u", "v")

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unpaired.functions.numeric import ratio, rounded
-from unpaired.functions.sets import cosine
+from unpaired.tables import settle
 
 EPSILON = 1e-10
-#: A group is one task's work: larger groups are refused.
-MAX_GROUP = 20_000
+#: Rows that one task chooses from.
+CELL = 20_000
+#: Rows of a block of vectors that are compared with one another at once.
+BLOCK = 2_000
 
 
 def greedy_map(quality: np.ndarray, vectors: np.ndarray, k: int) -> list[int]:
@@ -34,16 +36,21 @@ def greedy_map(quality: np.ndarray, vectors: np.ndarray, k: int) -> list[int]:
     return chosen
 
 
-def diverse(pool: DataFrame, k: int, quality: str = "quality", vector: str = "rep", group: str | None = None) -> DataFrame:
+def log_determinant(quality: np.ndarray, vectors: np.ndarray) -> float:
+    """Of the kernel q S q of some rows: what :func:`greedy_map` makes large."""
+    own = np.asarray(quality, float)[:, None] * vectors
+    return float(np.linalg.slogdet(own @ own.T)[1])
+
+
+def diverse(pool: DataFrame, k: int, quality: str = "quality", vector: str = "rep", group: str | None = None, cell: int = CELL) -> DataFrame:
     """Up to ``k`` rows of each group with ``dpp_rank``; order in a group by (u, v).
 
-    A group is a bounded pool (``MAX_GROUP``), such as a shortlist.
+    Core-sets: a group of more than ``cell`` rows is dealt to cells by hash, each picks its
+    ``k``, and the picks compete again until one cell holds them all. The choice is that of
+    one group if it has ``cell`` rows at most.
     """
-    key = group or "_one"
-    own = pool if group else pool.withColumn("_one", F.lit(0))
-    largest = own.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if largest > MAX_GROUP:
-        raise ValueError(f"a group of {largest} rows; take a shortlist of at most {MAX_GROUP}")
+    keys = [group] if group else []
+    own = pool.withColumn("_cell", F.lit(0))
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["u", "v"], kind="stable").reset_index(drop=True)
@@ -52,18 +59,47 @@ def diverse(pool: DataFrame, k: int, quality: str = "quality", vector: str = "re
         out["dpp_rank"] = np.arange(len(at), dtype=np.int64)
         return out
 
-    schema = own.withColumn("dpp_rank", F.lit(0).cast("long")).schema
-    out = own.groupBy(key).applyInPandas(pick, schema)
-    return out if group else out.drop("_one")
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest, target = sizes.agg(F.max("_n")).first()[0] or 0, max(cell, 2 * k)
+    while largest > target:
+        cells = F.ceil(F.col("_n") / target)
+        counted = own.join(sizes, keys) if keys else own.join(F.broadcast(sizes))
+        dealt = counted.withColumn("_cell", F.pmod(F.xxhash64("u", "v"), cells).cast("int")).drop("_n")
+        own = settle(dealt.groupBy(*keys, "_cell").applyInPandas(pick, dealt.withColumn("dpp_rank", F.lit(0).cast("long")).schema).drop("dpp_rank"), "picks")
+        sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
+    own = own.withColumn("_cell", F.lit(0))
+    return own.groupBy(*keys, "_cell").applyInPandas(pick, own.withColumn("dpp_rank", F.lit(0).cast("long")).schema).drop("_cell")
+
+
+def diversity(chosen: DataFrame, vector: str = "rep", block: int = BLOCK) -> DataFrame:
+    """Mean and largest pairwise cosine, and distinct nodes.
+
+    The mean comes from the sum of the unit vectors: its squared norm counts every pair
+    twice and every row once. The largest is found block against block, each pair of blocks
+    in a task of its own.
+    """
+    unit = chosen.select("u", "v", F.col(vector).alias("_x"), F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)).alias("_n"))
+    unit = settle(unit.select("u", "v", F.transform("_x", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)).alias("_x")), "unit")
+    sums = unit.select(F.posexplode("_x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"))
+    total = sums.agg(F.sum(F.col("s") * F.col("s") - F.col("own")).alias("_twice"))
+    n = unit.count()
+    mean = total.select(rounded(ratio(F.col("_twice"), F.lit(float(n) * (n - 1)))).alias("mean_cosine"))
+    blocks = -(-n // block) or 1
+    dealt = unit.withColumn("_b", F.pmod(F.xxhash64("u", "v"), F.lit(blocks)).cast("int"))
+    # every row goes to each pair of blocks that its own is in
+    pairs = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_p", F.least("_b", "_o")).withColumn("_q", F.greatest("_b", "_o"))
 
+    def largest(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = rows["_p"].iloc[0], rows["_q"].iloc[0]
+        a = np.stack(rows["_x"][rows["_b"] == p].to_numpy()) if (rows["_b"] == p).any() else np.zeros((0, 1))
+        if p == q:
+            sims = (a @ a.T)[np.triu_indices(len(a), 1)]
+        else:
+            other = rows["_x"][rows["_b"] == q]
+            sims = (a @ np.stack(other.to_numpy()).T).ravel() if len(a) and len(other) else np.zeros(0)
+        return pd.DataFrame({"c": [float(sims.max())] if len(sims) else []}, dtype=float)
 
-def diversity(chosen: DataFrame, vector: str = "rep") -> DataFrame:
-    """Mean and largest pairwise cosine, and distinct nodes, of a bounded choice."""
-    n = chosen.count()
-    if n > MAX_GROUP // 10:
-        raise ValueError(f"{n} rows; pairwise cosines are for at most {MAX_GROUP // 10}")
-    a = chosen.select(F.struct("u", "v").alias("i"), F.col(vector).alias("_a"), F.lit(0).alias("_k"))
-    b = chosen.select(F.struct("u", "v").alias("j"), F.col(vector).alias("_b"), F.lit(0).alias("_k"))
-    pairs = a.join(b, "_k").where("i < j").select(cosine(F.col("_a"), F.col("_b")).alias("c"))
+    top = pairs.groupBy("_p", "_q").applyInPandas(largest, "c double").agg(rounded(F.max("c")).alias("max_cosine"))
     nodes = chosen.select(F.explode(F.array("u", "v")).alias("n")).agg(F.countDistinct("n").alias("nodes"))
-    return pairs.agg(rounded(F.avg("c")).alias("mean_cosine"), rounded(F.max("c")).alias("max_cosine")).join(F.broadcast(nodes))
+    return mean.join(F.broadcast(top)).join(F.broadcast(nodes))  # one row each

@@ -18,6 +18,7 @@ from unpaired.functions.numeric import rounded
 from unpaired.graph import Graph, excluding, same_pair
 from unpaired.operators import judge as judging
 from unpaired.operators import manifold, rules, topology
+from unpaired.sources.writers import latest_verdicts
 
 
 class Stage(Enum):
@@ -39,6 +40,7 @@ class Context:
     rules: list[rules.Rule] = field(default_factory=list)
     judge: judging.Judge | None = None
     verdicts: DataFrame | None = None
+    names: DataFrame | None = None
     seed: int = 0
     max_degree: int | None = None
 
@@ -149,31 +151,43 @@ class JudgeFilter(Filter):
     """Reviews pairs by votes; verdicts already known (``context.verdicts``) aren't asked for again.
 
     Known verdicts with a ``key`` hold for what the judge would see now: the pair, its
-    types and degrees, the model and the number of votes (:meth:`keyed`). Without one
-    they hold for the pair.
+    types, degrees and names (``context.names``: id, name), the model and the number of
+    votes (:meth:`keyed`), so a name that changes asks again. The last one of a key counts.
+    Without a key they hold for the pair.
     """
 
     name, stage = "literature", Stage.GATED
 
+    @staticmethod
+    def described(context: Context, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with types, degrees and names of both ends: what a judge is told of a pair."""
+        own = topology.with_degrees(context.graph, pairs)
+        names = context.names.dropDuplicates(["id"]) if context.names is not None else None
+        for end in ("u", "v"):
+            own = own.withColumn(f"name_{end}", F.lit(None).cast("string")) if names is None else own.join(names.select(F.col("id").alias(end), F.col("name").alias(f"name_{end}")), end, "left")
+        return own
+
     @staticmethod
     def keyed(context: Context, pairs: DataFrame) -> DataFrame:
         """``pairs`` with ``key``, by which verdicts are remembered."""
         config = getattr(context.judge, "config", judging.JudgeConfig())
-        own = topology.with_degrees(context.graph, pairs)
-        seen = F.sort_array(F.array(*[F.struct(F.col(end).alias("id"), F.col(f"t_{end}").alias("type"), F.col(f"k_{end}").alias("degree")) for end in ("u", "v")]))
+        own = JudgeFilter.described(context, pairs)
+        seen = F.sort_array(F.array(*[F.struct(F.col(end).alias("id"), F.col(f"t_{end}").alias("type"), F.col(f"k_{end}").alias("degree"), F.col(f"name_{end}").alias("name")) for end in ("u", "v")]))
         key = judging.feature_key(seen.alias("ends"), F.lit(config.model).alias("model"), F.lit(config.votes).alias("votes"))
         return own.select(*[F.col(c) for c in pairs.columns], key.alias("key"))
 
     def score(self, context: Context, pairs: DataFrame) -> DataFrame:
         cards = None
         if context.verdicts is not None and "key" in context.verdicts.columns:
-            known = self.keyed(context, pairs.select("u", "v")).join(context.verdicts.drop("u", "v"), "key")
+            stored = context.verdicts.drop("u", "v")
+            stored = latest_verdicts(stored) if "written_at" in stored.columns else stored.dropDuplicates(["key"])
+            known = self.keyed(context, pairs.select("u", "v")).join(stored, "key")
             context = replace(context, verdicts=known)
         if context.verdicts is not None:
             cards = context.verdicts.select("u", "v", "verdict", "confidence", "agreement")
         if context.judge is not None:
             open_ = pairs if cards is None else excluding(pairs, cards)
-            new = judging.majority(context.judge.judge(open_)).select("u", "v", "verdict", "confidence", "agreement")
+            new = judging.majority(context.judge.judge(self.described(context, open_))).select("u", "v", "verdict", "confidence", "agreement")
             cards = new if cards is None else cards.unionByName(new)
         if cards is None:
             cards = pairs.sparkSession.createDataFrame([], "u string, v string, verdict string, confidence double, agreement double")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +30,7 @@ class JudgeConfig:
     votes: int = VOTES
     timeout_s: float = 60.0
     retries: int = 3
+    at_once: int = 8
 
     def backoff(self, attempt: int) -> float:
         return min(2.0 * 2**attempt, 15.0)
@@ -51,31 +55,67 @@ class OfflineJudge:
         return votes.select("u", "v", "vote_no", verdict.alias("verdict"), said.alias("confidence"), F.lit("offline").alias("rationale"), F.array().cast("array<string>").alias("evidence"))
 
 
+def prompt(fields: dict[str, Column]) -> Column:
+    """The question put to a judge about a pair, from what is known of it; unknown fields are left out."""
+    known = F.filter(F.array(*[F.when(c.isNotNull(), F.concat(F.lit(f"- {name}: "), c.cast("string"))) for name, c in fields.items()]), lambda x: x.isNotNull())
+    context = F.when(F.size(known) > 0, F.concat(F.lit("What is known of them:\n"), F.array_join(known, "\n"), F.lit("\n"))).otherwise("")
+    verdicts = ", ".join(f'"{v}"' for v in VERDICTS)
+    return F.concat(
+        F.lit("Two entities are proposed as a pair that does not interact: "), F.col("u"), F.lit(" and "), F.col("v"), F.lit(".\n"), context,
+        F.lit(f"Say whether they can serve as a negative. Answer with one JSON object: verdict (one of {verdicts}), confidence (0 to 1), rationale, evidence (a list of strings)."),
+    )
+
+
+#: Columns of a described pair and what a prompt calls them.
+TOLD = {"name_u": "name of the first", "name_v": "name of the second", "t_u": "type of the first", "t_v": "type of the second", "k_u": "known partners of the first", "k_v": "known partners of the second", "confidence": "confidence so far"}
+
+
 class CallableJudge:
-    """A judge made of a Python function on a dict; a failing call leaves its vote out."""
+    """A judge made of a Python function that answers a dict with text.
 
-    def __init__(self, ask: Callable[[dict], str], votes: int = VOTES) -> None:
-        self.ask, self.votes = ask, votes
+    The dict has the pair's columns, ``vote_no`` and ``prompt`` (:func:`prompt`). A batch is asked
+    by ``at_once`` threads; a call that fails or takes longer than ``timeout_s`` is tried again
+    after a pause (``retries`` times), and then leaves its vote out.
+    """
+
+    def __init__(self, ask: Callable[[dict], str], votes: int = VOTES, config: JudgeConfig | None = None) -> None:
+        self.ask, self.config = ask, replace(config or JudgeConfig(provider="callable", model="callable"), votes=votes)
+        self.votes = votes
 
     def judge(self, pairs: DataFrame) -> DataFrame:
-        ask = self.ask
+        ask, config = self.ask, self.config
+
+        def patient(row: dict) -> str | None:
+            for attempt in range(config.retries + 1):
+                if attempt:
+                    time.sleep(config.backoff(attempt - 1))
+                answer: list[str] = []
+                call = threading.Thread(target=lambda a=answer: a.append(_quiet(ask, row)), daemon=True)
+                call.start()
+                call.join(config.timeout_s)
+                if answer and answer[0] is not None:
+                    return answer[0]
+            return None
 
         def reply(batches):
-            for rows in batches:
-                texts = []
-                for row in rows.to_dict("records"):
-                    try:
-                        texts.append(ask(row))
-                    except Exception:  # noqa: BLE001  a provider's failure is an abstention
-                        texts.append(None)
-                yield rows[["u", "v", "vote_no"]].assign(reply=texts)
-
-        asked = pairs.withColumn("vote_no", F.explode(F.sequence(F.lit(0), F.lit(self.votes - 1))))
+            with ThreadPoolExecutor(config.at_once) as pool:
+                for rows in batches:
+                    yield rows[["u", "v", "vote_no"]].assign(reply=list(pool.map(patient, rows.to_dict("records"))))
+
+        asked = pairs.withColumn("prompt", prompt({what: F.col(c) for c, what in TOLD.items() if c in pairs.columns}))
+        asked = asked.withColumn("vote_no", F.explode(F.sequence(F.lit(0), F.lit(self.votes - 1))))
         replies = asked.mapInPandas(reply, "u string, v string, vote_no int, reply string")
         card = parse_card(F.col("reply"))
         return replies.select("u", "v", "vote_no", card.alias("c")).where("c.verdict is not null").select("u", "v", "vote_no", "c.*")
 
 
+def _quiet(ask: Callable[[dict], str], row: dict) -> str | None:
+    try:
+        return ask(row)
+    except Exception:  # noqa: BLE001  a provider's failure is tried again, then an abstention
+        return None
+
+
 def extract_json(reply: Column) -> Column:
     """The JSON text of a reply: all of it, a fenced block, or the outermost braces."""
     whole = F.when(F.trim(reply).startswith("{") & F.trim(reply).endswith("}"), F.trim(reply))

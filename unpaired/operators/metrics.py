@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from unpaired.functions.hashing import hash52
 from unpaired.functions.numeric import ratio, rounded
 from unpaired.graph import Graph, same_pair, unordered
-from unpaired.operators.ranking import average_rank, percent_rank, running_sums
+from unpaired.operators.ranking import average_rank, percent_rank, running_sums, smallest
+from unpaired.tables import settle
 
 
 def _by_score(predictions: DataFrame) -> DataFrame:
@@ -139,3 +141,40 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of rows in which each column isn't null: (signal, coverage)."""
     one = df.agg(*[rounded(F.avg(F.col(c).isNotNull().cast("double"))).alias(c) for c in columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).alias("coverage")) for c in columns])).alias("r")).select("r.*")
+
+
+def contamination(scored: DataFrame, share: float = 0.05, seed: int = 0) -> DataFrame:
+    """How well a flag cleans a negative set, as one row.
+
+    ``scored`` has ``id``, ``y`` (1: a hidden positive, 0: clean), ``signal`` (null: it
+    abstains), ``flag`` and ``other``, a second signal. Given are both AUROCs, the lift of the flag,
+    the AUROC on rows that ``other`` takes for safe (its median or less: what one signal adds
+    to the other), and a scenario: to all clean rows come hidden ones, ``share`` of their
+    number and one at least, drawn by hash, and flagged rows are dropped.
+    """
+    own = settle(scored.where(F.col("signal").isNotNull() & F.col("other").isNotNull()), "contamination")
+    area = lambda rows, score, name: auroc(rows.select("y", F.col(score).alias("score"))).withColumnRenamed("auroc", name)
+    safe = own.join(F.broadcast(own.agg(F.median("other").alias("_median")))).where("other <= _median")
+    rate = lambda y: F.avg(F.when(F.col("y") == y, F.col("flag").cast("double")))
+    counts = own.agg(F.count_if(F.col("y") == 1).alias("n_hidden"), F.count_if(F.col("y") == 0).alias("n_clean"), rounded(ratio(rate(1), rate(0))).alias("lift"), F.count_if((F.col("y") == 0) & F.col("flag")).alias("dropped_clean"))
+    total = counts.first()
+    added = min(total["n_hidden"], max(1, int(total["n_clean"] * share)))
+    drawn = smallest(own.where("y = 1"), added, hash52(seed, F.col("id")), 1 << 52, "id")
+    scenario = drawn.agg(F.count(F.lit(1)).alias("added"), F.count_if("flag").alias("dropped_hidden"))
+    out = counts
+    for part in (scenario, area(own, "signal", "auroc_signal"), area(own, "other", "auroc_other"), area(safe, "signal", "auroc_safe")):
+        out = out.join(F.broadcast(part))  # one row each
+    left = F.col("n_clean") - F.col("dropped_clean") + F.col("added") - F.col("dropped_hidden")
+    return out.select("*", rounded(ratio(F.col("added"), F.col("n_clean") + F.col("added"))).alias("before"), rounded(ratio(F.col("added") - F.col("dropped_hidden"), left)).alias("after"))
+
+
+def judged_recall(verdicts: DataFrame, positive: str = "suspected_false_negative") -> DataFrame:
+    """(recall, false_positive_rate, separation): how often known positives (``y`` 1) and others get the verdict ``positive``."""
+    rate = lambda y: F.avg(F.when(F.col("y") == y, (F.col("verdict") == positive).cast("double")))
+    return verdicts.agg(rounded(rate(1)).alias("recall"), rounded(rate(0)).alias("false_positive_rate"), rounded(rate(1) - rate(0)).alias("separation"))
+
+
+def verdict_shares(verdicts: DataFrame) -> DataFrame:
+    """(verdict, on_positives, on_others): each verdict's share of the rows with ``y`` 1 and 0."""
+    by = verdicts.groupBy("verdict").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("o"))
+    return by.join(F.broadcast(by.agg(F.sum("p").alias("_p"), F.sum("o").alias("_o")))).select("verdict", rounded(ratio(F.col("p"), F.col("_p"))).alias("on_positives"), rounded(ratio(F.col("o"), F.col("_o"))).alias("on_others"))

@@ -14,6 +14,9 @@ from pyspark.sql import window as W
 from unpaired.tables import settle
 
 BUCKETS = 64
+#: Rows that one task may sort for a choice, and ranges that are counted at once.
+FEW = 10_000
+RANGES = 4096
 
 
 def running_sums(df: DataFrame, order: str, values: list[str], descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
@@ -53,4 +56,49 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first ``n`` rows; ties by (u, v)."""
-    return df.orderBy(*order, "u", "v").limit(n)
+    return first(df, n, *order, "u", "v")
+
+
+def smallest(df: DataFrame, n: int, key: Column | str, high: int, *ties: Column | str, few: int = FEW, ranges: int = RANGES) -> DataFrame:
+    """The ``n`` rows of smallest ``key``, whole numbers from 0 to below ``high``; ties by ``ties``.
+
+    Ranges of keys are counted, and the one that holds the last row is split again until it
+    has ``few`` rows at most (or one key). All rows below it are taken where they lie; only
+    that range is sorted. ``df`` is read a few times, so settle it first.
+    """
+    keyed = df.withColumn("_key", F.col(key) if isinstance(key, str) else key)
+    if n <= few:
+        return keyed.orderBy("_key", *ties).limit(max(n, 0)).drop("_key")
+    low, width, before = 0, high, 0
+    while True:
+        step = -(-width // ranges)
+        own = keyed.where((F.col("_key") >= low) & (F.col("_key") < low + width))
+        counted = own.groupBy(F.floor((F.col("_key") - low) / step).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # ``ranges`` rows at most
+        inside = None
+        for b, count in sorted((r["b"], r["n"]) for r in counted):
+            if before + count >= n:
+                inside = (b, count)
+                break
+            before += count
+        if inside is None:
+            return df
+        low, width = low + inside[0] * step, step
+        if inside[1] <= few or step == 1:
+            break
+    below = keyed.where(F.col("_key") < low)
+    last = keyed.where((F.col("_key") >= low) & (F.col("_key") < low + width)).orderBy("_key", *ties).limit(n - before)
+    return below.unionByName(last).drop("_key")
+
+
+def first(df: DataFrame, n: int, *order: Column | str, few: int = FEW) -> DataFrame:
+    """The first ``n`` rows in ``order``: of many, by sorted ranges whose sizes tell where the last one lies."""
+    if n <= few:
+        return df.orderBy(*order).limit(max(n, 0))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = settle(placed.withColumn("_range", F.shiftright("_at", 33)), "in-order")
+    sizes, before = {r["_range"]: r["n"] for r in placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}, 0  # a row for each task
+    for number in sorted(sizes):
+        if before + sizes[number] >= n:
+            return placed.where(F.col("_at") < (number << 33) + n - before).drop("_at", "_range")
+        before += sizes[number]
+    return placed.drop("_at", "_range")

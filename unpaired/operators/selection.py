@@ -11,12 +11,14 @@ from pyspark.sql import window as W
 
 from unpaired.functions.hashing import hash52, sha1_order, uniform
 from unpaired.graph import excluding
-from unpaired.operators.ranking import top
+from unpaired.operators.ranking import first, top
 from unpaired.tables import settle
 
 PROPORTIONS = (0.6, 0.3, 0.1)
 PSM_CAP = 0.7
 OVERSAMPLE = 4
+#: Pairs that a capped choice looks at first, and times as many whenever they don't suffice.
+PREFIX = 8
 
 
 without = excluding
@@ -29,7 +31,7 @@ def degree_matched(pool: DataFrame, n: int, weight: str = "degsum", seed: int =
     """
     draw = uniform(seed, F.col("u"), F.col("v"))
     key = F.when(F.col(weight) > 0, F.log(draw) / F.col(weight))
-    return pool.orderBy(F.desc_nulls_last(key), F.desc(draw), "u", "v").limit(n)
+    return first(pool, n, F.desc_nulls_last(key), F.desc(draw), "u", "v")
 
 
 def hard(pool: DataFrame, n: int) -> DataFrame:
@@ -48,46 +50,74 @@ def stacked(pool: DataFrame, n: int, oversample: int = OVERSAMPLE) -> DataFrame:
 def mixture(pool: DataFrame, n: int, proportions: tuple[float, float, float] = PROPORTIONS, seed: int = 0) -> DataFrame:
     """A blend (representative, safe, hard): stacked first, then confident, then by hash."""
     n_hard, n_safe = round(n * proportions[2]), round(n * proportions[1])
-    first = stacked(pool, n_hard)
-    second = safe(without(pool, first), n_safe)
-    third = without(pool, first, second).orderBy(sha1_order(seed, F.col("u"), F.col("v")), "u", "v").limit(max(0, n - n_hard - n_safe))
-    return first.unionByName(second).unionByName(third)
+    tail = stacked(pool, n_hard)
+    second = safe(without(pool, tail), n_safe)
+    third = first(without(pool, tail, second), max(0, n - n_hard - n_safe), sha1_order(seed, F.col("u"), F.col("v")), "u", "v")
+    return tail.unionByName(second).unionByName(third)
 
 
 def quotas(supply: dict[int, int], wanted: list[tuple[int, int]], n: int, seed: int = 0) -> dict[int, int]:
-    """How many pairs each degree bucket gives, by greedy nearest match.
+    """How many pairs each bucket of degree sums gives, by nearest match without replacement.
 
-    ``supply`` counts pairs for each bucket and ``wanted`` (target, count) positives;
-    targets come in order of a hash. Buckets are distinct degree sums, so both are
-    small whatever the number of pairs; a target takes from the nearest bucket that
-    has any left, the lower one on ties. Only the first ``n`` targets are held.
+    ``supply`` counts pairs by degree sum, ``wanted`` has (sum, count) of targets, of which
+    ``n`` are matched (:func:`shares`). Targets of one sum come together, sums in order of a hash; each takes what is left of the nearest buckets, the
+    lower one on ties. The work is in proportion to the number of different sums, whatever
+    the number of pairs: full runs of buckets are stepped over by links to the next that has any left.
     """
     import hashlib
     from bisect import bisect_left
-    from heapq import nsmallest
 
-    order = nsmallest(n, ((hashlib.md5(f"{seed}:{d}:{i}".encode()).hexdigest(), d) for d, count in wanted for i in range(min(count, n))))
     left = {k: v for k, v in supply.items() if v > 0}
     keys, out = sorted(left), {}
-    for _, d in order[:n]:
-        if not keys:
-            break
+    # the next bucket with any left, from a place on: ``up`` of bucket i at i, ``down`` of bucket i at i + 1 (0: none)
+    up, down = list(range(len(keys) + 1)), list(range(len(keys) + 1))
+
+    def open_at(links: list[int], i: int) -> int:
+        root = i
+        while links[root] != root:
+            root = links[root]
+        while links[i] != root:
+            links[i], i = root, links[i]
+        return root
+
+    matched = shares(dict(wanted), n, seed)
+    for d in sorted(matched, key=lambda x: hashlib.md5(f"{seed}:{x}".encode()).hexdigest()):
+        need = matched[d]
         at = bisect_left(keys, d)
-        near = [i for i in (at - 1, at) if 0 <= i < len(keys)]
-        i = min(near, key=lambda j: (abs(keys[j] - d), keys[j]))
-        k = keys[i]
-        out[k] = out.get(k, 0) + 1
-        left[k] -= 1
-        if not left[k]:
-            keys.pop(i)
+        while need:
+            low, high = open_at(down, at) - 1, open_at(up, at)
+            near = [i for i in (low, high) if 0 <= i < len(keys)]
+            if not near:
+                return out
+            i = min(near, key=lambda j: (abs(keys[j] - d), keys[j]))
+            take = min(need, left[keys[i]])
+            out[keys[i]] = out.get(keys[i], 0) + take
+            left[keys[i]] -= take
+            need -= take
+            if not left[keys[i]]:
+                down[i + 1], up[i] = i, i + 1
     return out
 
 
+def shares(counts: dict[int, int], n: int, seed: int = 0) -> dict[int, int]:
+    """``n`` of the counted targets, spread over their degree sums in proportion; remainders go by hash."""
+    import hashlib
+
+    total = sum(counts.values())
+    if total <= n:
+        return dict(counts)
+    parts = {d: divmod(c * n, total) for d, c in counts.items()}
+    spare = n - sum(q for q, _ in parts.values())
+    by = sorted(counts, key=lambda d: (-parts[d][1], hashlib.md5(f"{seed}:{d}".encode()).hexdigest()))
+    return {d: parts[d][0] + (i < spare) for i, d in enumerate(by)}
+
+
 def psm(pool: DataFrame, positives: DataFrame | None, n: int, cap: float = PSM_CAP, seed: int = 0) -> DataFrame:
     """Degree sums matched to those of the positives (``degsum``), from pairs of hardness up to ``cap``.
 
-    Counts of degree sums come to the driver, which decides how many pairs each
-    bucket gives; which ones is decided by hash, inside the bucket.
+    ``n`` targets follow the positives' degree sums in proportion. Counts of degree sums, of which there are at
+    most twice the largest degree, come to the driver, which decides how many pairs each
+    sum gives; which ones is decided by hash, inside the sum.
     """
     clean = pool.where(F.col("hardness") <= cap)
     if clean.isEmpty():
@@ -138,12 +168,24 @@ def bio_filtered(pool: DataFrame, n: int, flag: str = "different_compartment") -
 def per_entity_cap(pool: DataFrame, n: int, cap: int, by: str = "confidence") -> DataFrame:
     """Greedy top ``n`` in which no entity occurs more than ``cap`` times.
 
-    A pair is safe to take if it is among the first ``cap`` of all candidates of both
-    its ends. Rounds take those, drop pairs whose ends are full, and go on until ``n``
-    pairs are taken that come before all that are left; a round settles at least the
-    first pair left. Counts are carried per entity, so nothing is collected.
+    Whether a pair is taken depends on the pairs before it alone, so only the first
+    ``PREFIX`` n pairs are looked at, then ever more until ``n`` are found. In a prefix, a
+    pair is safe to take if it is among the first ``cap`` of all open pairs of both its
+    ends. Rounds take those, drop pairs whose ends are full, and go on; a round settles
+    at least the first pair left. Counts are carried per entity, so nothing is collected.
     """
-    left = pool.withColumn("_order", F.struct((-F.col(by)).alias("o"), F.col("u").alias("a"), F.col("v").alias("b")))
+    order = F.struct((-F.col(by)).alias("o"), F.col("u").alias("a"), F.col("v").alias("b"))
+    pool = settle(pool.withColumn("_order", order), "capped")
+    total, size = pool.count(), PREFIX * n
+    while True:
+        taken = _capped(first(pool, size, "_order"), cap)
+        if size >= total or taken.count() >= n:
+            return first(taken, n, "_order").drop("_order")
+        size *= PREFIX
+
+
+def _capped(left: DataFrame, cap: int) -> DataFrame:
+    """All pairs that greedy taking in ``_order`` gives."""
     taken = None
     while taken is None or not left.isEmpty():
         ends = left.select("u", "v", "_order", F.explode(F.array("u", "v")).alias("e"))
@@ -154,19 +196,15 @@ def per_entity_cap(pool: DataFrame, n: int, cap: int, by: str = "confidence") ->
             ends = ends.withColumn("count", F.lit(0))
         ranked = ends.withColumn("_r", F.row_number().over(W.Window.partitionBy("e").orderBy("_order")) + F.col("count"))
         both = ranked.groupBy("u", "v").agg(F.max("_r").alias("_r"), F.max("count").alias("_c"))
-        own = left.join(both, ["u", "v"])
+        own = settle(left.join(both, ["u", "v"]), "round")
         now = own.where(F.col("_r") <= cap).drop("_r", "_c")
         taken = now if taken is None else taken.unionByName(now)
-        left = settle(own.where((F.col("_r") > cap) & (F.col("_c") < cap)).drop("_r", "_c"), "left")
-        taken = settle(taken, "taken")
-        first = left.agg(F.min("_order").alias("_first"))
-        if taken.join(F.broadcast(first)).where(F.col("_order") < F.col("_first")).limit(n).count() >= n:
-            break
-    return taken.orderBy("_order").limit(n).drop("_order")
+        left = own.where((F.col("_r") > cap) & (F.col("_c") < cap)).drop("_r", "_c")
+    return taken
 
 
 def drop_and_backfill(pool: DataFrame, chosen: DataFrame, flagged: DataFrame, n: int) -> DataFrame:
     """``chosen`` without the ``flagged`` pairs, refilled to ``n`` by the next most confident."""
     kept = without(chosen, flagged)
     spare = without(pool, chosen, flagged).withColumn("_late", F.lit(1))
-    return kept.withColumn("_late", F.lit(0)).unionByName(spare).orderBy("_late", F.desc("confidence"), "u", "v").limit(n).drop("_late")
+    return first(kept.withColumn("_late", F.lit(0)).unionByName(spare), n, "_late", F.desc("confidence"), "u", "v").drop("_late")

@@ -191,23 +191,34 @@ def pair_features(graph: Graph, pairs: DataFrame) -> DataFrame:
 def shortest_paths(graph: Graph, pairs: DataFrame, cutoff: int = 6) -> DataFrame:
     """Pairs with ``dist``: hops between their ends, ``cutoff`` + 1 if more.
 
-    One frontier join a hop from the pairs' left ends. Each hop is settled; a pair drops
-    out once found, and a left end once all of its pairs are, so hops shrink. A hop only
-    needs the two before it, as no node of an earlier one is next to its frontier.
+    The search goes from both ends and meets in the middle. Each hop grows the side whose
+    frontiers have fewer edges, and a pair is found when the frontiers of its ends share a
+    node; so neither side goes deeper than the other needs, three hops each for the default.
+    A pair drops out once found, and an end once all of its pairs are. A hop only needs the
+    two before it on its side, as no node of an earlier one is next to its frontier.
     """
     open_ = settle(pairs.select("u", "v").distinct(), "open-pairs")
-    frontier = open_.select("u").distinct().select(F.col("u").alias("s"), F.col("u").alias("n"))
-    found = settle(open_.where("u = v").withColumn("dist", F.lit(0)), "found")
-    before = frontier.limit(0)
+    found = open_.where("u = v").withColumn("dist", F.lit(0))
+    left = open_.where("u <> v")
     step = graph.adjacency.select(F.col("u").alias("n"), F.col("v").alias("next"))
+    degree = graph.degrees.select(F.col("id").alias("n"), "k")
+    sides = {end: left.select(F.col(end).alias("s")).distinct().withColumn("n", F.col("s")) for end in ("u", "v")}
+    before = {end: sides[end].limit(0) for end in sides}
     for hop in range(1, cutoff + 1):
-        left = open_.join(found, ["u", "v"], "left_anti").select("u", "v")
-        sources = left.select(F.col("u").alias("s")).distinct()
-        nexts = frontier.join(sources, "s", "left_semi").join(step, "n").select("s", F.col("next").alias("n")).distinct()
-        new = settle(nexts.join(frontier.unionByName(before), ["s", "n"], "left_anti"), "frontier")
-        hit = left.join(new.select(F.col("s").alias("u"), F.col("n").alias("v")), ["u", "v"], "left_semi").withColumn("dist", F.lit(hop))
-        found = settle(found.unionByName(hit), "found")
-        if new.isEmpty():
+        edges = lambda end: sides[end].join(degree, "n").agg(F.sum("k").alias("k")).first()[0] or 0
+        grows, other = sorted(sides, key=edges)
+        nexts = sides[grows].join(step, "n").select("s", F.col("next").alias("n")).distinct()
+        new = settle(nexts.join(sides[grows].unionByName(before[grows]), ["s", "n"], "left_anti"), "frontier")
+        before[grows], sides[grows] = sides[grows], new
+        mine = left.join(new.select(F.col("s").alias(grows), "n"), grows)
+        hit = mine.join(sides[other].select(F.col("s").alias(other), "n"), [other, "n"], "left_semi").select("u", "v").distinct()
+        hit = settle(hit.withColumn("dist", F.lit(hop)), "found")
+        found = found.unionByName(hit)
+        left = settle(left.join(hit, ["u", "v"], "left_anti").select("u", "v"), "open-pairs")
+        if left.isEmpty() or new.isEmpty():
             break
-        before, frontier = frontier, new
+        for end in sides:
+            ends = left.select(F.col(end).alias("s")).distinct()
+            sides[end] = settle(sides[end].join(ends, "s", "left_semi"), "frontier")
+            before[end] = before[end].join(ends, "s", "left_semi")
     return pairs.join(found, ["u", "v"], "left").withColumn("dist", F.coalesce("dist", F.lit(cutoff + 1)))

@@ -2,8 +2,8 @@
 
 ``supply`` joins parts to suppliers (two types), ``coorder`` joins parts of one order
 (one type, so pairs have common neighbours). ``supply`` takes every returned line item;
-the other return flags are its known positives. ``coorder`` takes large line items only;
-an order has a bounded number of lines, so pairs of one order stay few.
+the other return flags are its known positives. ``coorder`` takes every line item; an
+order has a bounded number of lines, so pairs of one order stay few.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def supply(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(supply_pairs(spark, sf_dir), parts(spark, sf_dir).unionByName(suppliers), [("part", "supplier")], "supply").settled()
 
 
-def coorder(spark: SparkSession, sf_dir: str, least: int = 40) -> Graph:
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", key("P", "l_partkey").alias("p"))
+def coorder(spark: SparkSession, sf_dir: str) -> Graph:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", key("P", "l_partkey").alias("p"))
     pairs = lines.withColumnRenamed("p", "u").join(lines.withColumnRenamed("p", "v"), "l_orderkey").where("u < v").select("u", "v")
     return Graph.from_edges(pairs, parts(spark, sf_dir), [("part", "part")], "coorder").settled()
 

@@ -9,7 +9,6 @@ from unpaired.functions.hashing import fold, hash52, parity
 from unpaired.functions.numeric import ratio, rounded
 from unpaired.graph import Graph, excluding
 from unpaired.operators import candidates, fusion, manifold, metrics, ranking, selection, topology
-from unpaired.operators.filters import Context
 from unpaired.tables import settle
 
 FEATURES = ("deg_u", "deg_v", "cn", "jaccard", "aa", "ra", "pref")
@@ -47,23 +46,42 @@ def arms(pool: DataFrame, known: DataFrame, n: int, seed: int = 0, positives: Da
     }
 
 
-def injection(graph: Graph, hidden: DataFrame, max_pool: int | None, n: int, seed: int = 0) -> DataFrame:
+def injection(graph: Graph, hidden: DataFrame, max_pool: int | None, n: int, seed: int = 0, models: tuple[str, ...] = (), caps: tuple[float, ...] = (0.7, 0.5)) -> DataFrame:
     """(arm, injected, selected, share): what each arm selects of hidden positives put into the pool.
 
     The hidden edges are taken out of the graph first and bypass the veto. They enter the
-    pool once, the way round that candidates have.
+    pool once, the way round that candidates have. Matched arms follow the degree sums of the
+    training edges: ``counterfactual`` over the whole pool, ``psm[cap]`` up to a hardness.
+    With ``models`` a fifth of the edges is held out as well, and each arm has the AUROC of
+    each learner trained on its choice (``auroc_<model>``): the harm done downstream.
     """
     hidden = settle(graph.oriented(hidden).distinct(), "hidden")
-    seen = Graph(graph.nodes, excluding(graph.edges, hidden), graph.admissible, graph.name)
-    pairs = excluding(candidates.generate_candidates(seen, max_pool, seed), hidden).unionByName(hidden)
-    pool = frozen_pool(seen, max_pool, seed, pairs)
+    known = settle(excluding(graph.edges, hidden), "known")
+    split = settle(random_split(known, 0.2 if models else 0.0, seed), "split")
+    seen = Graph(graph.nodes, split.where("not is_test").select("u", "v"), graph.admissible, graph.name).settled()
+    drawn = excluding(candidates.generate_candidates(seen, max_pool, seed), hidden, split.where("is_test"))
+    pool = settle(frozen_pool(seen, max_pool, seed, settle(drawn.unionByName(hidden), "pool")), "scored")
+    degrees = seen.degrees
+    matched = seen.edges.join(degrees.select(F.col("id").alias("u"), F.col("k").alias("a")), "u").join(degrees.select(F.col("id").alias("v"), F.col("k").alias("b")), "v").select((F.col("a") + F.col("b")).alias("degsum"))
+    plain = arms(pool, seen.edges, n, seed)
+    chosen = {name: plain[name] for name in ("random_veto", "topology_hard", "topology_safe", "stacked")}
+    chosen["counterfactual"] = selection.psm(pool, matched, n, float("inf"), seed)
+    chosen |= {f"psm[{cap}]": selection.psm(pool, matched, n, cap, seed) for cap in caps}
+    chosen = {name: settle(picks.select("u", "v"), "picks") for name, picks in chosen.items()}
     marked = hidden.withColumn("injected", F.lit(1))
     total = hidden.agg(F.count(F.lit(1)).alias("injected"))
     out = None
-    for name, chosen in arms(pool, seen.edges, n, seed).items():
-        got = chosen.select("u", "v").join(marked, ["u", "v"], "left").agg(F.coalesce(F.sum("injected"), F.lit(0)).alias("selected"))
+    for name, picks in chosen.items():
+        got = picks.join(marked, ["u", "v"], "left").agg(F.coalesce(F.sum("injected"), F.lit(0)).alias("selected"))
         row = got.join(F.broadcast(total)).select(F.lit(name).alias("arm"), "injected", "selected", rounded(ratio(F.col("selected"), F.col("injected"))).alias("share"))
         out = row if out is None else out.unionByName(row)
+    if models:
+        n_test = split.where("is_test").count()
+        negatives = candidates.rejection_sample(graph, n_test, seed + 1)
+        test = split.where("is_test").select("u", "v", F.lit(1).alias("y")).unionByName(negatives.select("u", "v", F.lit(0).alias("y")))
+        harm = _downstream(seen, chosen, candidates.hash_sample(seen.edges, n, seed), test, n_test, models, seed)
+        for model in models:
+            out = out.join(harm.where(F.col("model") == model).select("arm", F.col("auroc").alias(f"auroc_{model}")), "arm")
     return out
 
 
@@ -142,44 +160,83 @@ def learner(name: str, seed: int = 0):
     raise ValueError(f"learner {name!r}")
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: list[str], model: str = "rf", seed: int = 0) -> DataFrame:
-    """Predictions (y, score) of a learner on the test rows."""
+def fit_predict(train: DataFrame, test: DataFrame, features: list[str], model: str = "rf", seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Predictions (y, score, and the columns ``carry``) of a learner on the test rows."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     assemble = VectorAssembler(inputCols=features, outputCol="features")
     fitted = learner(model, seed).setLabelCol("y").setFeaturesCol("features").fit(assemble.transform(train.na.fill(0.0)).select("y", "features"))
-    return fitted.transform(assemble.transform(test.na.fill(0.0))).select("y", vector_to_array("probability")[1].alias("score"))
+    return fitted.transform(assemble.transform(test.na.fill(0.0))).select(*carry, "y", vector_to_array("probability")[1].alias("score"))
+
+
+def _featurizer(seen: Graph, kind: str):
+    """A function from pairs (u, v, y) to features, and their names."""
+    if kind == "spectral":
+        vectors, size = manifold.spectral_embeddings(seen), manifold.DIMENSIONS
+        names = [f"f{i}" for i in range(size)]
+        return lambda p: manifold.pair_vectors(p, vectors).select("u", "v", "y", *[F.coalesce(F.try_element_at("rep", F.lit(i + 1)), F.lit(0.0)).alias(f"f{i}") for i in range(size)]), names
+    if kind == "topological":
+        return lambda p: topology.pair_features(seen, p), list(FEATURES)
+    raise ValueError(f"featurizer {kind!r}")
+
+
+def measures(predictions: DataFrame, n_positive: int, n_negative: int, hits: int = 100, least: int = 10) -> DataFrame:
+    """One row of AUROC, average precision, hits at both ends, and the AUROC of pairs with neighbours.
+
+    ``predictions`` has u, v, y, score and ``linked`` (both ends have neighbours in the
+    training graph). Hits are the share of positives among the highest and of negatives
+    among the lowest scores; ``auroc_linked`` is null for ``least`` rows or fewer.
+    """
+    k = min(hits, n_positive, n_negative)
+    key = predictions.withColumn("_key", F.concat_ws(" ", "u", "v"))
+    linked = predictions.where("linked")
+    enough = linked.agg((F.count(F.lit(1)) > least).alias("_enough"))
+    parts = [
+        metrics.average_precision(predictions), metrics.hits_at_k(key, k, "_key").select(F.col("hits").alias("hits_high")), metrics.hits_at_k(key, k, "_key", lowest=True).select(F.col("hits").alias("hits_low")),
+        metrics.auroc(linked).withColumnRenamed("auroc", "_linked"), enough,
+    ]
+    out = metrics.auroc(predictions)
+    for part in parts:
+        out = out.join(F.broadcast(part))  # one row each
+    return out.select("auroc", "average_precision", "hits_high", "hits_low", F.when(F.col("_enough"), F.col("_linked")).alias("auroc_linked"))
 
 
 def run_benchmark(graph: Graph, gold: DataFrame | None = None, n: int = 1000, max_pool: int = 20_000, models: tuple[str, ...] = ("rf",), arm_names: tuple[str, ...] = ("random_veto", "topology_hard", "stacked"), seed: int = 0, featurizer: str = "topological") -> DataFrame:
-    """(arm, model, auroc, average_precision) of learners trained on each arm's negatives.
+    """(arm, model, and :func:`measures`) of learners trained on each arm's negatives.
 
-    Features and negatives come from the graph of training edges alone.
+    Features and negatives come from the graph of training edges alone. There are as many
+    test positives as test negatives.
     """
     split = settle(random_split(graph.edges, 0.2, seed), "split")
-    seen = Graph(graph.nodes, split.where("not is_test").select("u", "v"), graph.admissible, graph.name)
+    seen = Graph(graph.nodes, split.where("not is_test").select("u", "v"), graph.admissible, graph.name).settled()
     n_test = split.where("is_test").count()
-    negatives = candidates.hash_sample(candidates.non_edges(graph, gold.select(F.col("lo").alias("u"), F.col("hi").alias("v"))), n_test, seed) if gold is not None else candidates.rejection_sample(graph, n_test, seed + 1)
-    test_pairs = split.where("is_test").select("u", "v", F.lit(1).alias("y")).unionByName(negatives.select("u", "v", F.lit(0).alias("y")))
+    if gold is not None:
+        negatives = settle(candidates.hash_sample(candidates.non_edges(graph, gold.select(F.col("lo").alias("u"), F.col("hi").alias("v"))), n_test, seed), "negatives")
+    else:
+        negatives = candidates.rejection_sample(graph, n_test, seed + 1)
+    n_test = min(n_test, negatives.count())
+    held = candidates.hash_sample(split.where("is_test").select("u", "v"), n_test, seed)
+    test_pairs = held.withColumn("y", F.lit(1)).unionByName(negatives.select("u", "v", F.lit(0).alias("y")))
     positives = candidates.hash_sample(seen.edges, n, seed)
     pool = settle(frozen_pool(seen, max_pool, seed), "pool")
-    if featurizer == "spectral":
-        vectors = manifold.spectral_embeddings(seen)
-        size = manifold.DIMENSIONS
-        names = [f"f{i}" for i in range(size)]
-        featurize = lambda p: manifold.pair_vectors(p, vectors).select("y", *[F.coalesce(F.try_element_at("rep", F.lit(i + 1)), F.lit(0.0)).alias(f"f{i}") for i in range(size)])
-    else:
-        names = list(FEATURES)
-        featurize = lambda p: topology.pair_features(seen, p)
-    test = settle(featurize(test_pairs), "test")
+    return _downstream(seen, {name: arms(pool, seen.edges, n, seed)[name] for name in arm_names}, positives, test_pairs, n_test, models, seed, featurizer)
+
+
+def _downstream(seen: Graph, chosen: dict[str, DataFrame], positives: DataFrame, test_pairs: DataFrame, n_test: int, models: tuple[str, ...], seed: int, featurizer: str = "topological") -> DataFrame:
+    """(arm, model, measures): what learners trained on each arm's choice of negatives make of the test pairs."""
+    featurize, names = _featurizer(seen, featurizer)
+    degrees = seen.degrees.where("k > 0").select("id", F.lit(True).alias("_in"))
+    test = featurize(test_pairs)
+    for end in ("u", "v"):
+        test = test.join(degrees.select(F.col("id").alias(end), F.col("_in").alias(f"_{end}")), end, "left")
+    test = settle(test.withColumn("linked", F.col("_u").isNotNull() & F.col("_v").isNotNull()).drop("_u", "_v"), "test")
     out = None
-    every = arms(pool, seen.edges, n, seed)
-    for arm in arm_names:
-        train = settle(featurize(positives.select("u", "v", F.lit(1).alias("y")).unionByName(every[arm].select("u", "v", F.lit(0).alias("y")))), "train")
+    for arm, negatives in chosen.items():
+        train = settle(featurize(positives.select("u", "v", F.lit(1).alias("y")).unionByName(negatives.select("u", "v", F.lit(0).alias("y")))), "train")
         for model in models:
-            predictions = settle(fit_predict(train, test, names, model, seed), "predictions")
-            row = metrics.auroc(predictions).join(F.broadcast(metrics.average_precision(predictions))).select(F.lit(arm).alias("arm"), F.lit(model).alias("model"), "auroc", "average_precision")
+            predictions = settle(fit_predict(train, test, names, model, seed, ("u", "v", "linked")), "predictions")
+            row = measures(predictions, n_test, n_test).select(F.lit(arm).alias("arm"), F.lit(model).alias("model"), "*")
             out = row if out is None else out.unionByName(row)
     return out
 
@@ -200,6 +257,3 @@ def judge_report(verdicts: DataFrame, evidence: DataFrame) -> DataFrame:
     own = verdicts.join(known, (F.least("u", "v") == F.col("lo")) & (F.greatest("u", "v") == F.col("hi")), "left")
     return own.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.coalesce("_hit", F.lit(0.0)))).alias("hit_rate"))
 
-
-def context_of(graph: Graph, **tables) -> Context:
-    return Context(graph, **tables)

@@ -179,6 +179,20 @@ def _reviewed(scored: DataFrame, gated: list[str]) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+def risky_coverage(result: PipelineResult, config: PipelineConfig, stream: str = "literature") -> DataFrame:
+    """(risky, judged, unjudged, gated_cap, contested_total), one row.
+
+    Risky are the records flagged as suspected false negatives; judged are those of them
+    that a review has said anything about, be it that it can't tell.
+    """
+    seen = F.coalesce(F.array_contains(F.map_keys("provenance.gated"), stream), F.lit(False))
+    risky = result.records.where(routing.is_risky(F.col("flags"))).agg(F.count(F.lit(1)).alias("risky"), F.count_if(seen).alias("judged"))
+    emitted = result.eval.unionByName(result.train)
+    total = routing.contested(emitted, config.false_negative_pct).agg(F.count(F.lit(1)).alias("contested_total"))
+    cap = F.lit(config.gated_max).cast("long").alias("gated_cap")
+    return risky.join(F.broadcast(total)).select("risky", "judged", (F.col("risky") - F.col("judged")).alias("unjudged"), cap, "contested_total")
+
+
 def validation(graph: Graph, result: PipelineResult, gold: DataFrame | None = None) -> dict[str, DataFrame]:
     """Leakage, hardness of the two sets, and recall of gold negatives."""
     out = {"leakage": metrics.leakage(graph, result.records), "hardness": metrics.hardness_split(result.records)}

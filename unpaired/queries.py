@@ -14,6 +14,7 @@ from unpaired.graph import Graph
 from unpaired.operators import candidates, diversity, filters, fusion, judge, manifold, metrics, ranking, routing, rules, selection, topology
 from unpaired.plans import bindings as B
 from unpaired.plans import experiments, panels
+from unpaired.plans import pipeline as plan
 from unpaired.plans.pipeline import PipelineConfig, run_pipeline
 from unpaired.sources import readers, writers
 
@@ -43,51 +44,60 @@ def h(x: str) -> str:
 
 
 DEGREES = """
-adj AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges),
-deg AS (SELECT id, type, CAST(coalesce(k, 0) AS BIGINT) AS k FROM nodes LEFT JOIN (SELECT u AS id, count(*) AS k FROM adj GROUP BY u) USING (id)),
+adj AS MATERIALIZED (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges),
+deg AS MATERIALIZED (SELECT id, type, CAST(coalesce(k, 0) AS BIGINT) AS k FROM nodes LEFT JOIN (SELECT u AS id, count(*) AS k FROM adj GROUP BY u) USING (id)),
 twom AS (SELECT 2 * count(*) AS two_m FROM edges)"""
 SUPPLY = (
     """
 nodes AS (SELECT 'S' || s_suppkey AS id, 'supplier' AS type FROM supplier UNION ALL SELECT 'P' || p_partkey, 'part' FROM part),
-edges AS (SELECT DISTINCT 'P' || l_partkey AS u, 'S' || l_suppkey AS v FROM lineitem WHERE l_returnflag = 'R'),"""
+edges AS MATERIALIZED (SELECT DISTINCT 'P' || l_partkey AS u, 'S' || l_suppkey AS v FROM lineitem WHERE l_returnflag = 'R'),"""
     + DEGREES
 )
 COORDER = (
     """
 nodes AS (SELECT 'P' || p_partkey AS id, 'part' AS type FROM part),
-ln AS (SELECT l_orderkey, 'P' || l_partkey AS p FROM lineitem WHERE l_quantity >= 40),
-edges AS (SELECT DISTINCT a.p AS u, b.p AS v FROM ln a JOIN ln b ON a.l_orderkey = b.l_orderkey AND a.p < b.p),"""
+ln AS (SELECT l_orderkey, 'P' || l_partkey AS p FROM lineitem),
+edges AS MATERIALIZED (SELECT DISTINCT a.p AS u, b.p AS v FROM ln a JOIN ln b ON a.l_orderkey = b.l_orderkey AND a.p < b.p),"""
     + DEGREES
 )
-#: The pool of ``supply``: every part-supplier pair that isn't an edge.
-SUPPLY_POOL = SUPPLY + """,
+#: Every part-supplier pair that isn't an edge.
+SUPPLY_COMPLEMENT = SUPPLY + """,
 pool AS (SELECT a.id AS u, b.id AS v FROM nodes a, nodes b WHERE a.type = 'part' AND b.type = 'supplier' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = a.id AND e.v = b.id))"""
 
 
-#: The pool of ``coorder``: as many non-edges, drawn by rejection, as the graph has edges.
-REJECTION = f"""
-ss AS (SELECT id, greatest(1, (SELECT count(*) FROM nodes) // 64) AS b FROM nodes),
-sl AS (SELECT id, b, {h("'slot:' || id")} % b AS bucket FROM ss),
-slots AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) - 1 AS slot FROM sl),
-size AS (SELECT max(b) AS b, max(slot) + 1 AS d FROM slots),
-tries AS (SELECT i AS attempt, {h("'0:ub:' || i")} % b AS ub, {h("'0:us:' || i")} % d AS us, {h("'0:vb:' || i")} % b AS vb, {h("'0:vs:' || i")} % d AS vs FROM (SELECT unnest(range((SELECT 20 * count(*) + 1000 FROM edges))) AS i), size),
-drawn AS (SELECT attempt, least(x.id, y.id) AS u, greatest(x.id, y.id) AS v FROM tries JOIN slots x ON x.bucket = ub AND x.slot = us JOIN slots y ON y.bucket = vb AND y.slot = vs WHERE x.id <> y.id),
+def rejection(first: str, second: str) -> str:
+    """SQL of a pool: as many non-edges between two types of nodes, drawn by rejection, as the graph has edges."""
+    u, v = ("x.id", "y.id") if first != second else ("least(x.id, y.id)", "greatest(x.id, y.id)")
+    return f"""
+ss AS (SELECT id, type, greatest(1, count(*) OVER (PARTITION BY type) // 64) AS b FROM nodes),
+sl AS (SELECT id, type, b, {h("'slot:' || id")} % b AS bucket FROM ss),
+slots AS (SELECT *, row_number() OVER (PARTITION BY type, bucket ORDER BY id) - 1 AS slot FROM sl),
+size AS (SELECT type, max(b) AS b, max(slot) + 1 AS d FROM slots GROUP BY type),
+tries AS (SELECT i AS attempt, {h("'0:ub:' || i")} % p.b AS ub, {h("'0:us:' || i")} % p.d AS us, {h("'0:vb:' || i")} % q.b AS vb, {h("'0:vs:' || i")} % q.d AS vs
+  FROM (SELECT unnest(range((SELECT 20 * count(*) + 1000 FROM edges))) AS i), size p, size q WHERE p.type = '{first}' AND q.type = '{second}'),
+drawn AS (SELECT attempt, {u} AS u, {v} AS v FROM tries JOIN slots x ON x.bucket = ub AND x.slot = us AND x.type = '{first}' JOIN slots y ON y.bucket = vb AND y.slot = vs AND y.type = '{second}' WHERE x.id <> y.id),
 fresh AS (SELECT u, v, min(attempt) AS attempt FROM drawn WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = drawn.u AND e.v = drawn.v) GROUP BY u, v),
-pool AS (SELECT u, v FROM fresh ORDER BY attempt LIMIT (SELECT count(*) FROM edges))"""
-COORDER_POOL = COORDER + "," + REJECTION
+pool AS MATERIALIZED (SELECT u, v FROM fresh ORDER BY attempt LIMIT (SELECT count(*) FROM edges))"""
+
+
+SUPPLY_POOL = SUPPLY + "," + rejection("part", "supplier")
+COORDER_POOL = COORDER + "," + rejection("part", "part")
 #: Scores of the pairs in ``pool``.
 SCORES = f"""
-cns AS (SELECT p.u, p.v, count(*) AS cn, sum(1.0::DOUBLE / d.k) AS ra, sum(CASE WHEN d.k > 1 THEN 1.0::DOUBLE / ln(d.k) END) AS aa FROM pool p JOIN adj a ON a.u = p.u JOIN adj b ON b.u = p.v AND b.v = a.v JOIN deg d ON d.id = a.v GROUP BY p.u, p.v),
-walks AS (SELECT a.u, e.v AS y, sum(1.0 / sqrt(dx.k * dy.k)) AS w FROM (SELECT DISTINCT u FROM pool) s JOIN adj a ON a.u = s.u JOIN adj e ON e.u = a.v JOIN deg dx ON dx.id = a.v JOIN deg dy ON dy.id = e.v GROUP BY a.u, e.v),
-l3s AS (SELECT p.u, p.v, sum(w) AS l3 FROM pool p JOIN adj b ON b.u = p.v JOIN walks k ON k.u = p.u AND k.y = b.v GROUP BY p.u, p.v),
-cal AS (SELECT u, v FROM edges ORDER BY {h("'0:' || u || ':' || v")}, u, v LIMIT 2000),
-calw AS (SELECT c.u, c.v, sum(1.0 / sqrt(dx.k * dy.k)) AS l3 FROM cal c JOIN adj a ON a.u = c.u AND a.v <> c.v JOIN adj e ON e.u = a.v AND e.v <> c.u JOIN adj b ON b.u = c.v AND b.v = e.v JOIN deg dx ON dx.id = a.v JOIN deg dy ON dy.id = e.v GROUP BY c.u, c.v),
-calr AS (SELECT c.u, c.v, sum(1.0::DOUBLE / d.k) AS ra FROM cal c JOIN adj a ON a.u = c.u JOIN adj b ON b.u = c.v AND b.v = a.v JOIN deg d ON d.id = a.v GROUP BY c.u, c.v),
-scales AS (SELECT coalesce((SELECT median(l3) FROM calw WHERE l3 > 0), 1.0) AS s3, coalesce((SELECT median(ra) FROM calr WHERE ra > 0), 1.0) AS sr),
-raw AS (SELECT p.u, p.v, du.type AS t_u, dv.type AS t_v, du.k AS k_u, dv.k AS k_v, coalesce(cn, 0) AS cn, coalesce(ra, 0.0) AS ra, coalesce(aa, 0.0) AS aa, coalesce(l3, 0.0) AS l3, two_m, s3, sr
-  FROM pool p JOIN deg du ON du.id = p.u JOIN deg dv ON dv.id = p.v LEFT JOIN cns ON cns.u = p.u AND cns.v = p.v LEFT JOIN l3s ON l3s.u = p.u AND l3s.v = p.v, twom, scales),
+ids AS MATERIALIZED (SELECT id, type, k, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS i FROM deg),
+steps AS MATERIALIZED (SELECT a.i AS u, b.i AS v, a.k AS ku, b.k AS kv FROM adj JOIN ids a ON a.id = adj.u JOIN ids b ON b.id = adj.v),
+pl AS MATERIALIZED (SELECT p.u AS su, p.v AS sv, a.i AS u, b.i AS v, a.type AS t_u, b.type AS t_v, a.k AS k_u, b.k AS k_v FROM pool p JOIN ids a ON a.id = p.u JOIN ids b ON b.id = p.v),
+cns AS (SELECT p.u, p.v, count(*) AS cn, sum(1.0::DOUBLE / a.kv) AS ra, sum(CASE WHEN a.kv > 1 THEN 1.0::DOUBLE / ln(a.kv) END) AS aa FROM pl p JOIN steps a ON a.u = p.u JOIN steps b ON b.u = p.v AND b.v = a.v GROUP BY p.u, p.v),
+walks AS MATERIALIZED (SELECT a.u, e.v AS y, sum(1.0 / sqrt(e.ku * e.kv)) AS w FROM (SELECT DISTINCT u FROM pl) s JOIN steps a ON a.u = s.u JOIN steps e ON e.u = a.v GROUP BY a.u, e.v),
+l3s AS (SELECT p.u, p.v, sum(w) AS l3 FROM pl p JOIN steps b ON b.u = p.v JOIN walks k ON k.u = p.u AND k.y = b.v GROUP BY p.u, p.v),
+cal AS MATERIALIZED (SELECT a.i AS u, b.i AS v FROM (SELECT u, v FROM edges ORDER BY {h("'0:' || u || ':' || v")}, u, v LIMIT 2000) c JOIN ids a ON a.id = c.u JOIN ids b ON b.id = c.v),
+calw AS (SELECT c.u, c.v, sum(1.0 / sqrt(a.kv * e.kv)) AS l3 FROM cal c JOIN steps a ON a.u = c.u AND a.v <> c.v JOIN steps e ON e.u = a.v AND e.v <> c.u JOIN steps b ON b.u = c.v AND b.v = e.v GROUP BY c.u, c.v),
+calr AS (SELECT c.u, c.v, sum(1.0::DOUBLE / a.kv) AS ra FROM cal c JOIN steps a ON a.u = c.u JOIN steps b ON b.u = c.v AND b.v = a.v GROUP BY c.u, c.v),
+scales AS MATERIALIZED (SELECT coalesce((SELECT median(l3) FROM calw WHERE l3 > 0), 1.0) AS s3, coalesce((SELECT median(ra) FROM calr WHERE ra > 0), 1.0) AS sr),
+raw AS (SELECT p.su AS u, p.sv AS v, t_u, t_v, k_u, k_v, coalesce(cn, 0) AS cn, coalesce(ra, 0.0) AS ra, coalesce(aa, 0.0) AS aa, coalesce(l3, 0.0) AS l3, two_m, s3, sr
+  FROM pl p LEFT JOIN cns ON cns.u = p.u AND cns.v = p.v LEFT JOIN l3s ON l3s.u = p.u AND l3s.v = p.v, twom, scales),
 nrm AS (SELECT *, l3 / (l3 + s3) AS l3n, CASE WHEN ra > 0 THEN ra / (ra + sr) ELSE 0.0 END AS ran, k_u = 0 OR k_v = 0 AS gone, cn = 0 AND l3 = 0 AS easy FROM raw),
-topo AS (SELECT u, v, t_u, t_v, k_u, k_v, CAST(cn AS BIGINT) AS cn, aa, {r4("ra")} AS ra, {r4("l3")} AS l3, {r4("k_u * k_v / greatest(two_m, 1)::DOUBLE")} AS expected,
+topo AS MATERIALIZED (SELECT u, v, t_u, t_v, k_u, k_v, CAST(cn AS BIGINT) AS cn, aa, {r4("ra")} AS ra, {r4("l3")} AS l3, {r4("k_u * k_v / greatest(two_m, 1)::DOUBLE")} AS expected,
   CASE WHEN gone THEN NULL WHEN easy THEN {r4("1 - 0.98::DOUBLE")} ELSE {r4("0.7::DOUBLE * l3n + 0.3::DOUBLE * ran")} END AS risk,
   CASE WHEN gone THEN NULL WHEN easy THEN 0.98::DOUBLE ELSE {r4("1 - (0.7::DOUBLE * l3n + 0.3::DOUBLE * ran)")} END AS value,
   CASE WHEN gone THEN NULL WHEN easy THEN 0.9::DOUBLE ELSE {r4("least(1.0::DOUBLE, l3n + ran)")} END AS confidence,
@@ -97,20 +107,23 @@ stru AS (SELECT p.u, p.v, du.k AS k_u, dv.k AS k_v, {r4("greatest(du.k / tu.top:
   FROM pool p JOIN deg du ON du.id = p.u JOIN deg dv ON dv.id = p.v JOIN tops tu ON tu.type = du.type JOIN tops tv ON tv.type = dv.type)"""
 FROZEN = SCORES + f""",
 froz AS (SELECT s.u, s.v, s.value AS stream_structured, s.k_u + s.k_v AS degsum, t.value AS stream_topology, coalesce(t.risk, 0.0::DOUBLE) AS hardness_raw, t.cn FROM stru s JOIN topo t ON t.u = s.u AND t.v = s.v),
-scored AS (SELECT *, {r4("percent_rank() OVER (ORDER BY hardness_raw)")} AS hardness,
+scored AS MATERIALIZED (SELECT *, {r4("percent_rank() OVER (ORDER BY hardness_raw)")} AS hardness,
   {r4("CASE WHEN stream_topology IS NULL THEN stream_structured ELSE (0.0::DOUBLE + 1.0 * stream_structured + 1.0 * stream_topology) / 2.0 END")} AS confidence FROM froz)"""
 SUPPLY_SCORED = "WITH" + SUPPLY_POOL + "," + FROZEN
 COORDER_SCORED = "WITH" + COORDER_POOL + "," + FROZEN
 
 
+def drawn(g: Graph) -> tuple[Graph, DataFrame]:
+    """A graph and its pool: as many non-edges as it has edges."""
+    return g, candidates.rejection_sample(g, g.edges.count())
+
+
 def supply_pool(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
-    g = B.supply(spark, sf_dir)
-    return g, candidates.generate_candidates(g, max_pool=None)
+    return drawn(B.supply(spark, sf_dir))
 
 
 def coorder_pool(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
-    g = B.coorder(spark, sf_dir)
-    return g, candidates.rejection_sample(g, g.edges.count())
+    return drawn(B.coorder(spark, sf_dir))
 
 
 def supply_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +161,9 @@ def admissible_size(spark, sf_dir):
     return candidates.admissible_sizes(B.supply(spark, sf_dir))
 
 
-@query("WITH" + SUPPLY_POOL + " SELECT u, v FROM pool")
+@query("WITH" + SUPPLY_COMPLEMENT + " SELECT u, v FROM pool")
 def candidate_pairs(spark, sf_dir):
-    return supply_pool(spark, sf_dir)[1]
+    return candidates.generate_candidates(B.supply(spark, sf_dir), max_pool=None)
 
 
 @query("WITH" + SUPPLY_POOL + f" SELECT u, v FROM pool ORDER BY {h(chr(39) + '7:' + chr(39) + ' || u || ' + chr(39) + ':' + chr(39) + ' || v')}, u, v LIMIT 1000")
@@ -489,7 +502,7 @@ def eval_degree_matched(spark, sf_dir):
 
 @query()
 def per_entity_cap(spark, sf_dir):
-    return selection.per_entity_cap(selection.hard(coorder_scored(spark, sf_dir), 2000), 100, 2).select("u", "v", "confidence")
+    return selection.per_entity_cap(coorder_scored(spark, sf_dir), 100, 2).select("u", "v", "confidence")
 
 
 # Routing and records
@@ -585,10 +598,51 @@ def majority_vote(spark, sf_dir):
 
 
 @query(VOTED + " SELECT verdict, count(*) AS n FROM card GROUP BY verdict")
-def risky_coverage(spark, sf_dir):
+def verdict_histogram(spark, sf_dir):
     return judge.verdict_histogram(_cards(spark, sf_dir))
 
 
+#: A stored verdict on a pair of parts, by the sum of their sizes; pairs of one remainder have none.
+SAID = "CASE (a.p_size + b.p_size) % 4 WHEN 0 THEN 'safe_negative' WHEN 1 THEN 'suspected_false_negative' WHEN 2 THEN 'uncertain' END"
+
+
+@query(EMITTED + f""",
+co AS (SELECT em.u, em.v, {SAID} AS verdict FROM em JOIN part a ON 'P' || a.p_partkey = em.u JOIN part b ON 'P' || b.p_partkey = em.v, ecut WHERE hardness >= 0.9 OR confidence <= c + 1e-9),
+lit AS (SELECT u, v, verdict, CASE verdict WHEN 'safe_negative' THEN 0.75::DOUBLE WHEN 'suspected_false_negative' THEN 0.25::DOUBLE END AS lit FROM co WHERE verdict IS NOT NULL),
+re AS (SELECT em.*, verdict, CASE WHEN lit IS NULL THEN confidence WHEN stream_topology IS NULL THEN {r4("(stream_structured + lit) / 2.0::DOUBLE")} ELSE {r4("(stream_structured + stream_topology + lit) / 3.0::DOUBLE")} END AS again FROM em LEFT JOIN lit ON lit.u = em.u AND lit.v = em.v),
+rc AS (SELECT quantile_cont(again, 0.03) AS c FROM re),
+risky AS (SELECT verdict FROM re, rc WHERE verdict = 'suspected_false_negative' OR again <= c + 1e-9)
+SELECT count(*) AS risky, count(verdict) AS judged, count(*) - count(verdict) AS unjudged, CAST(NULL AS BIGINT) AS gated_cap, (SELECT count(*) FROM co) AS contested_total FROM risky""")
+def risky_coverage(spark, sf_dir):
+    g, pool = coorder_pool(spark, sf_dir)
+    sizes = B.table(spark, sf_dir, "part").select(B.key("P", "p_partkey").alias("id"), "p_size")
+    sums = pool.join(sizes.select(F.col("id").alias("u"), F.col("p_size").alias("a")), "u").join(sizes.select(F.col("id").alias("v"), F.col("p_size").alias("b")), "v")
+    said = F.get(F.array(*[F.lit(x) for x in judge.VERDICTS]), (F.col("a") + F.col("b")) % 4)
+    verdicts = sums.select("u", "v", said.alias("verdict"), F.lit(0.75).alias("confidence"), F.lit(1.0).alias("agreement")).where("verdict is not null")
+    config = PipelineConfig(n_eval=CHOSEN, n_train=CHOSEN, max_pool=g.edges.count(), filters=("known_positive_veto", "structured", "topology", "literature"))
+    return plan.risky_coverage(run_pipeline(g, config, context=filters.Context(g, verdicts=verdicts)), config)
+
+
+JUDGED = VOTED + f""", known AS (SELECT DISTINCT p_brand AS u, 'S' || l_suppkey AS v FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 50), jd AS (SELECT verdict, CAST(known.u IS NOT NULL AS INTEGER) AS y FROM card LEFT JOIN known ON known.u = card.u AND known.v = card.v)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards, and whether the pair is among those that other evidence knows (a line of the largest quantity)."""
+    lines = B.table(spark, sf_dir, "lineitem").where("l_quantity = 50").join(B.table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    known = lines.select(F.col("p_brand").alias("u"), B.key("S", "l_suppkey").alias("v")).distinct().withColumn("y", F.lit(1))
+    return _cards(spark, sf_dir).join(known, ["u", "v"], "left").na.fill(0, ["y"])
+
+
+@query(JUDGED + f" SELECT {r4('avg((verdict = ' + chr(39) + 'suspected_false_negative' + chr(39) + ')::INTEGER) FILTER (WHERE y = 1)')} AS recall, {r4('avg((verdict = ' + chr(39) + 'suspected_false_negative' + chr(39) + ')::INTEGER) FILTER (WHERE y = 0)')} AS false_positive_rate, {r4('avg((verdict = ' + chr(39) + 'suspected_false_negative' + chr(39) + ')::INTEGER) FILTER (WHERE y = 1) - avg((verdict = ' + chr(39) + 'suspected_false_negative' + chr(39) + ')::INTEGER) FILTER (WHERE y = 0)')} AS separation FROM jd")
+def judged_recall(spark, sf_dir):
+    return metrics.judged_recall(_judged(spark, sf_dir))
+
+
+@query(JUDGED + f" SELECT verdict, {r4('count(*) FILTER (WHERE y = 1) / (SELECT sum(y) FROM jd)::DOUBLE')} AS on_positives, {r4('count(*) FILTER (WHERE y = 0) / (SELECT sum(1 - y) FROM jd)::DOUBLE')} AS on_others FROM jd GROUP BY verdict")
+def verdict_shares(spark, sf_dir):
+    return metrics.verdict_shares(_judged(spark, sf_dir))
+
+
 # Validation
 
 
@@ -692,6 +746,23 @@ def flag_lift(spark, sf_dir):
     return metrics.lift(B.label_predictions(spark, sf_dir).withColumn("flag", F.col("score") >= 7), "flag", "y")
 
 
+def _pair_area(table: str, score: str) -> str:
+    return f"(SELECT {r4('sum(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) / count(*)')} FROM (SELECT {score} AS s FROM {table} WHERE y = 1) a, (SELECT {score} AS s FROM {table} WHERE y = 0) b)"
+
+
+@query(PREDICTED + f""", ot AS (SELECT pr.*, (n_chars % 1000) / 1000.0::DOUBLE AS other, score >= 7 AS fl FROM pr JOIN documents USING (doc_id)),
+sf AS (SELECT * FROM ot WHERE other <= (SELECT median(other) FROM ot)),
+ct AS (SELECT CAST(sum(y) AS BIGINT) AS n_hidden, CAST(sum(1 - y) AS BIGINT) AS n_clean, {r4("avg(fl::INTEGER) FILTER (WHERE y = 1) / avg(fl::INTEGER) FILTER (WHERE y = 0)")} AS lift, count(*) FILTER (WHERE y = 0 AND fl) AS dropped_clean FROM ot),
+dr AS (SELECT fl FROM ot WHERE y = 1 ORDER BY {h("'0:' || doc_id")}, doc_id LIMIT (SELECT least(n_hidden, greatest(1, CAST(floor(n_clean * 0.05::DOUBLE) AS BIGINT))) FROM ct)),
+sc AS (SELECT count(*) AS added, count(*) FILTER (WHERE fl) AS dropped_hidden FROM dr)
+SELECT n_hidden, n_clean, lift, dropped_clean, added, dropped_hidden, {_pair_area("ot", "score")} AS auroc_signal, {_pair_area("ot", "other")} AS auroc_other, {_pair_area("sf", "score")} AS auroc_safe,
+  {r4("added / (n_clean + added)::DOUBLE")} AS before, {r4("(added - dropped_hidden) / (n_clean - dropped_clean + added - dropped_hidden)::DOUBLE")} AS after FROM ct, sc""")
+def contamination(spark, sf_dir):
+    chars = B.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 1000 / 1000.0).alias("other"))
+    own = B.label_predictions(spark, sf_dir).join(chars, "doc_id")
+    return metrics.contamination(own.select(F.col("doc_id").alias("id"), "y", F.col("score").alias("signal"), (F.col("score") >= 7).alias("flag"), "other"))
+
+
 # Experiments
 
 
@@ -721,8 +792,10 @@ def confidence_groups(spark, sf_dir):
 
 @query()
 def injection_backtest(spark, sf_dir):
+    """A thousand hidden edges; a pool of as many pairs as there are edges, and a fourth as many picks."""
     g = B.coorder(spark, sf_dir)
-    return experiments.injection(g, experiments.hidden_edges(g, 200), g.edges.count(), CHOSEN)
+    n = g.edges.count()
+    return experiments.injection(g, experiments.hidden_edges(g, 1000), n, n // 4, models=("lr",))
 
 
 ABLATED = COORDER_SCORED + ", lab AS (SELECT *, CAST(cn > 0 AS INTEGER) AS y FROM scored)"
@@ -761,11 +834,13 @@ def signal_coverage(spark, sf_dir):
     return metrics.coverage(coorder_scored(spark, sf_dir), ["stream_structured", "stream_topology"])
 
 
-@query("WITH RECURSIVE" + COORDER_POOL + f""",
-few AS (SELECT u, v FROM pool),
-bfs AS (SELECT DISTINCT u AS s, u AS n, 0 AS d FROM few UNION SELECT s, a.v, d + 1 FROM bfs JOIN adj a ON a.u = n WHERE d < 6),
-near AS (SELECT s, n, min(d) AS d FROM bfs GROUP BY s, n)
-SELECT CAST(coalesce(d, 7) AS INTEGER) AS dist, count(*) AS n FROM few LEFT JOIN near ON s = u AND near.n = v GROUP BY 1""")
+@query("WITH RECURSIVE" + COORDER_POOL + "," + SCORES + """,
+near AS (SELECT u, v, 2 AS d FROM cns UNION ALL SELECT u, v, 3 FROM l3s), close AS (SELECT u, v, min(d) AS d FROM near GROUP BY u, v),
+far AS MATERIALIZED (SELECT pl.u, pl.v FROM pl LEFT JOIN close ON close.u = pl.u AND close.v = pl.v WHERE d IS NULL),
+bfs AS (SELECT DISTINCT u AS s, u AS n, 0 AS d FROM far UNION SELECT s, a.v, d + 1 FROM bfs JOIN steps a ON a.u = n WHERE d < 6),
+reached AS (SELECT s, n, min(d) AS d FROM bfs GROUP BY s, n),
+dist AS (SELECT d FROM close UNION ALL SELECT coalesce(d, 7) FROM far LEFT JOIN reached ON s = u AND n = v)
+SELECT CAST(d AS INTEGER) AS dist, count(*) AS n FROM dist GROUP BY 1""")
 def shortest_path_hist(spark, sf_dir):
     g, pool = coorder_pool(spark, sf_dir)
     return panels.path_histogram(g, pool)
@@ -784,11 +859,24 @@ def risk_quadrant(spark, sf_dir):
     return panels.quadrant(coorder_scored(spark, sf_dir), B.part_annotations(spark, sf_dir))
 
 
+def _edge_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of ``coorder`` with both ends embedded, their unit vectors, and quality 1."""
+    reps = manifold.pair_vectors(B.coorder(spark, sf_dir).edges, B.embedding_table(spark, sf_dir))
+    return reps.where("rep is not null").withColumn("quality", F.lit(1.0))
+
+
 @query()
 def diversity_metrics(spark, sf_dir):
-    vec = B.embedding_table(spark, sf_dir)
-    own = manifold.pair_vectors(candidates.hash_sample(B.coorder(spark, sf_dir).edges, 1500), vec).where("rep is not null").withColumn("quality", F.lit(1.0))
-    return diversity.diversity(diversity.diverse(own, 48))
+    return diversity.diversity(diversity.diverse(_edge_vectors(spark, sf_dir), 48))
+
+
+@query("WITH" + COORDER + f""", {VECTORS},
+known AS (SELECT e.u, e.v, list_transform(range(1, len(a.vec) + 1), lambda i: a.vec[i] * b.vec[i]) AS rep FROM edges e JOIN vec a ON a.id = e.u JOIN vec b ON b.id = e.v),
+unit AS (SELECT u, v, list_transform(rep, lambda x: x / sqrt(list_sum(list_transform(rep, lambda y: y * y)))) AS rep FROM known ORDER BY {h("'0:' || u || ':' || v")}, u, v LIMIT 600),
+sims AS (SELECT list_sum(list_transform(range(1, len(a.rep) + 1), lambda i: a.rep[i] * b.rep[i])) AS c FROM unit a, unit b WHERE (a.u, a.v) < (b.u, b.v))
+SELECT {r4("avg(c)")} AS mean_cosine, {r4("max(c)")} AS max_cosine, (SELECT count(DISTINCT n) FROM (SELECT u AS n FROM unit UNION ALL SELECT v FROM unit)) AS nodes FROM sims""")
+def pairwise_diversity(spark, sf_dir):
+    return diversity.diversity(candidates.hash_sample(_edge_vectors(spark, sf_dir), 600))
 
 
 @query()
@@ -806,7 +894,13 @@ def spectral_manifold(spark, sf_dir):
 @query()
 def downstream_benchmark(spark, sf_dir):
     g = B.coorder(spark, sf_dir)
-    return experiments.run_benchmark(g, n=1000, max_pool=g.edges.count(), models=("lr",))
+    return experiments.run_benchmark(g, n=1000, max_pool=g.edges.count(), models=("rf", "lr"))
+
+
+@query()
+def spectral_benchmark(spark, sf_dir):
+    g = B.coorder(spark, sf_dir)
+    return experiments.run_benchmark(g, n=1000, max_pool=g.edges.count(), models=("lr",), featurizer="spectral")
 
 
 @query()

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
 from pathlib import Path
+from xml.etree import ElementTree
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from unpaired.functions.domain import pdockq
+from unpaired.functions.numeric import rounded
 from unpaired.graph import Graph, canonical
 from unpaired.tables import settle
 
 # Structural proteins that a bait table writes with one letter.
 STRUCTURAL = ("E", "M", "N", "S")
+# Fixed value: atoms nearer than this are in contact (Angstrom).
+CONTACT = 8.0
+#: Rows of a record batch that a reader of packed files gives.
+BATCH = 4096
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -259,3 +271,140 @@ def display_names(genes: DataFrame) -> DataFrame:
     """(id, name): ``symbol — full (aka a, b)`` from (id, symbol, full, aliases array)."""
     aka = F.when(F.size("aliases") > 0, F.concat(F.lit(" (aka "), F.array_join("aliases", ", "), F.lit(")"))).otherwise("")
     return genes.select("id", F.concat(F.concat_ws(" — ", "symbol", "full"), aka).alias("name"))
+
+
+def embeddings_npz(spark: SparkSession, path: str, ids: str = "ids", vectors: str = "emb") -> DataFrame:
+    """(id, vec) from npz files with the arrays ``ids`` and ``emb``; ids become strings.
+
+    Spark reads and deals out the files, each of 2 GB at most; rows are given in batches.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as packed:
+                    names, table = packed[ids], packed[vectors]
+                for i in range(0, len(names), BATCH):
+                    rows = table[i : i + BATCH].astype(np.float64)
+                    ends = np.arange(len(rows) + 1, dtype=np.int32) * table.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in names[i : i + BATCH].tolist()]), pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))], ["id", "vec"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "id string, vec array<double>")
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _sheet_rows(content: bytes, sheet: str) -> Iterator[dict[int, str]]:
+    """The rows of one sheet of a workbook: text by column number. Cells are read one row at a time."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = set(book.namelist())
+        links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        found = [x.get(_LINK) for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet") if x.get("name") == sheet]
+        if not found:
+            raise ValueError(f"no sheet {sheet!r}")
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in x.iter(f"{_SHEET}t")) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+        target = links[found[0]]
+        with book.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}") as table:
+            for _, row in ElementTree.iterparse(table):
+                if row.tag != f"{_SHEET}row":
+                    continue
+                cells, at = {}, -1
+                for cell in row.iter(f"{_SHEET}c"):
+                    letters = (cell.get("r") or "").rstrip("0123456789")
+                    at = at + 1 if not letters else sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters))) - 1
+                    value = cell.find(f"{_SHEET}v")
+                    if cell.get("t") == "inlineStr":
+                        cells[at] = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
+                    elif value is not None and value.text is not None:
+                        cells[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+                yield cells
+                row.clear()
+
+
+def spreadsheet(spark: SparkSession, path: str, sheet: str, columns: list[str]) -> DataFrame:
+    """The named ``columns`` of one sheet of xlsx files as text; the first row is the header, empty cells are null.
+
+    Spark reads and deals out the files; a file is one task's.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows = _sheet_rows(content.as_py(), sheet)
+                header = {text.strip(): i for i, text in next(rows, {}).items()}
+                if missing := [c for c in columns if c not in header]:
+                    raise ValueError(f"sheet {sheet!r} has no column {missing[0]!r}")
+                kept: list[list[str | None]] = []
+                for row in rows:
+                    if row:
+                        kept.append([row.get(header[c]) for c in columns])
+                    if len(kept) >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*kept, strict=True)], columns)
+                        kept = []
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*kept, strict=True)], columns)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, ", ".join(f"`{c}` string" for c in columns))
+
+
+def pocket_descriptors(spark: SparkSession, path: str) -> DataFrame:
+    """(node, pocket_volume, pocket_hydrophobicity, pocket_polarity) of ``<node>_info.txt`` files.
+
+    A file has a block of lines for each pocket, blank lines between; the first is the
+    largest one and alone counts. Below its title a line is a name, a colon and a number.
+    A file without any such line gives no row; a share of polar atoms is given in percent.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*)_info\\.txt$", 1).alias("node"), "value")
+    blocks = F.filter(F.split("value", "\n\n"), lambda b: F.trim(F.regexp_replace(b, "\\s", " ")) != "")
+    first = F.split(F.get(blocks, F.lit(0)), "\r?\n")
+    # a block may begin with a line break that was left of the blank lines before it
+    entries = F.slice(F.filter(first, lambda x: F.trim(x) != ""), 2, 1_000)
+    named = F.filter(F.transform(entries, lambda x: F.struct(F.regexp_extract(x, r"^\s*(.*?)\s*:[^:]*$", 1).alias("name"), F.regexp_extract(x, r":\s*([^:\s]*)\s*$", 1).try_cast("double").alias("number"))), lambda x: (x["name"] != "") & x["number"].isNotNull())
+    one = lambda name: F.try_element_at(F.transform(F.filter("fields", lambda x: x["name"] == name), lambda x: x["number"]), F.lit(-1))
+    own = text.select("node", named.alias("fields")).where(F.size("fields") > 0)
+    out = own.select("node", rounded(one("Volume")).alias("pocket_volume"), rounded(one("Hydrophobicity score")).alias("pocket_hydrophobicity"), rounded(one("Proportion of polar atoms") / 100).alias("pocket_polarity"))
+    return out.where("pocket_volume is not null or pocket_hydrophobicity is not null or pocket_polarity is not null")
+
+
+def residues(spark: SparkSession, path: str) -> DataFrame:
+    """(file, chain, residue, x, y, z, plddt, at) from PDB files: the beta carbon of each residue (alpha of glycine).
+
+    Of several records of one residue the last counts. ``at`` is the place of the chain in its file.
+    """
+    f = lambda start, size: F.trim(F.substring("value", start, size))
+    own = lines(spark, path).where(F.substring("value", 1, 4) == "ATOM").where(f(13, 4) == F.when(f(18, 3) == "GLY", "CA").otherwise("CB"))
+    own = own.select("file", "at", F.substring("value", 22, 1).alias("chain"), f(23, 4).cast("int").alias("residue"), *[f(s, 8).cast("double").alias(c) for c, s in (("x", 31), ("y", 39), ("z", 47))], f(61, 6).cast("double").alias("plddt"))
+    begins = own.groupBy("file", "chain").agg(F.min("at").alias("begins"))
+    latest = W.Window.partitionBy("file", "chain", "residue").orderBy(F.desc("at"))
+    last = own.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r", "at")
+    return last.join(begins, ["file", "chain"]).withColumnRenamed("begins", "at")
+
+
+def interface_contacts(atoms: DataFrame, threshold: float = CONTACT) -> DataFrame:
+    """(file, a, b, contacts, plddt, pdockq) of every two chains of a file, ``a`` the one that begins first.
+
+    Contacts are pairs of residues nearer than ``threshold``. Residues lie in cells of a grid of
+    that width, and each meets only those of its own and the 26 cells around. ``plddt`` is the
+    mean over the residues in contact, of both chains; two chains without contacts score 0.
+    """
+    cell = lambda c: F.floor(F.col(c) / threshold).cast("int")
+    placed = settle(atoms.select("*", *[cell(c).alias(f"c{c}") for c in "xyz"]), "residues")
+    chains = placed.select("file", "chain", "at").distinct()
+    a, b = (chains.select("file", F.col("chain").alias(n), F.col("at").alias(f"_{n}")) for n in "ab")
+    both = a.join(b, "file").where("_a < _b").select("file", "a", "b")
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    side = lambda n: placed.select("file", F.col("chain").alias(n), F.col("residue").alias(f"r{n}"), F.col("plddt").alias(f"p{n}"), F.col("at").alias(f"at{n}"), *[F.col(c).alias(f"{c}{n}") for c in "xyz"], "cx", "cy", "cz")
+    reached = side("b")
+    for c in "xyz":
+        reached = reached.withColumn("_d", F.explode(near)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_d")).drop("_d")
+    apart = sum(((F.col(f"{c}a") - F.col(f"{c}b")) ** 2 for c in "xyz"), F.lit(0.0))
+    met = settle(side("a").join(reached, ["file", "cx", "cy", "cz"]).where((F.col("ata") < F.col("atb")) & (apart < threshold**2)).select("file", "a", "b", "ra", "rb", "pa", "pb"), "contacts")
+    counted = met.groupBy("file", "a", "b").agg(F.count(F.lit(1)).alias("contacts"))
+    touched = met.select("file", "a", "b", F.lit("a").alias("s"), F.col("ra").alias("r"), F.col("pa").alias("p")).unionByName(met.select("file", "a", "b", F.lit("b").alias("s"), F.col("rb").alias("r"), F.col("pb").alias("p"))).distinct()
+    confidence = touched.groupBy("file", "a", "b").agg(F.avg("p").alias("plddt"))
+    own = both.join(counted, ["file", "a", "b"], "left").join(confidence, ["file", "a", "b"], "left").na.fill(0, ["contacts"])
+    return own.select("file", "a", "b", "contacts", "plddt", F.when(F.col("contacts") > 0, rounded(pdockq(F.col("plddt"), F.col("contacts")))).otherwise(0.0).alias("pdockq"))

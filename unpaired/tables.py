@@ -31,3 +31,30 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it doesn't exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, on whatever file system the path names; it appears whole or not at all."""
+    where, partly = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, path + ".part"))
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(partly, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(where, False)
+    files.rename(partly, where)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
