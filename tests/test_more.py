@@ -57,6 +57,22 @@ def test_draw_of_many_has_no_one_task_stage(spark):
     assert "TakeOrderedAndProject(limit=12000" not in plan
 
 
+@pytest.mark.parametrize("limit", [None, 6])
+def test_packed_sums_equal_joins(spark, monkeypatch, limit):
+    edges = random_edges(60, 200, 5) | {(0, i) for i in range(1, 40)} | {(70, 71), (71, 72), (72, 73)}
+    pairs = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a in range(76) for b in range(a + 1, 76) if (a, b) not in edges], "u string, v string")
+    rounded_rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.na.fill(0).collect())
+
+    def results():
+        g = graph_of(spark, edges, 76)
+        out = [rounded_rows(topology.common_neighbors(g, pairs, limit)), rounded_rows(topology.l3(g, pairs, limit)), rounded_rows(topology.topology_score(g, pairs, max_degree=limit).drop("flags"))]
+        return [*out, rounded_rows(topology.all_l3(g)), rounded_rows(topology.l3_of_edges(g, g.edges)), rounded_rows(topology.calibration(g, 50))]
+
+    small = results()
+    monkeypatch.setattr(topology.packed, "PACKED_EDGES", 0)
+    assert results() == small and all(small)
+
+
 def test_shortest_paths_equal_breadth_first_search(spark):
     edges = {(i, i + 1) for i in range(12)} | {(20, 21), (20, 22), (3, 30), (30, 31)} | {(a + 40, b + 40) for a, b in random_edges(12, 20, 4)}
 
@@ -174,7 +190,7 @@ def test_contamination_and_recall(spark):
 def test_injection_has_matched_arms_and_harm(spark):
     g = graph_of(spark, random_edges(60, 300, 3), 60).settled()
     out = experiments.injection(g, experiments.hidden_edges(g, 20), 300, 60, models=("lr",)).collect()
-    assert {r["arm"] for r in out} == {"random_veto", "topology_hard", "topology_safe", "stacked", "counterfactual", "psm[0.7]", "psm[0.5]"}
+    assert {r["arm"] for r in out} == {"random_raw", "random_veto", "topology_hard", "topology_safe", "stacked", "mixture", "counterfactual", "psm[0.7]", "psm[0.5]"}
     assert all(r["injected"] == 20 and 0 <= r["selected"] <= 20 and 0 <= r["auroc_lr"] <= 1 for r in out)
 
 

@@ -2,7 +2,8 @@
 
 Neighbour sums are chained equi-joins. Paths of length 3 are summed over their middle
 first, so the intermediate is the number of 2-walks from the pool's own left ends, not
-of whole paths. ``max_degree`` drops hubs as intermediate nodes only where the caller
+of whole paths. Graphs of a checked size are sent to the tasks instead, which then sum
+without joins (:mod:`unpaired.operators.packed`). ``max_degree`` drops hubs as intermediate nodes only where the caller
 asks for it; by default every path counts.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from unpaired.functions.hashing import hash52
 from unpaired.functions.numeric import rounded
 from unpaired.graph import Graph
+from unpaired.operators import packed
 from unpaired.tables import settle
 
 # Fixed values of the risk model.
@@ -33,6 +35,8 @@ def _middle(graph: Graph, max_degree: int | None) -> DataFrame:
 
 def common_neighbors(graph: Graph, pairs: DataFrame, max_degree: int | None = None) -> DataFrame:
     """(u, v, cn, ra, aa): counts and sums over common neighbours; pairs without any are absent."""
+    if (small := packed.adjacency(graph)) is not None:
+        return packed.sums_of_pairs(small, pairs, max_degree).where("cn > 0").select("u", "v", "cn", "ra", F.when(F.col("aa") > 0, F.col("aa")).alias("aa"))
     side = _middle(graph, max_degree)
     left = pairs.select("u", "v").join(side, "u")
     right = graph.adjacency.select(F.col("u").alias("v"), F.col("v").alias("x"))
@@ -57,9 +61,11 @@ def _walks(graph: Graph, starts: DataFrame, max_degree: int | None) -> DataFrame
 def l3(graph: Graph, pairs: DataFrame, max_degree: int | None = None) -> DataFrame:
     """(u, v, l3) of non-edges: sum of 1/sqrt(k_x k_y) over paths u-x-y-v; absent if none.
 
-    The sum is the same from either end. Walks start at the end of larger degree, so a
+    The sum is the same from either end. In joins, walks start at the end of larger degree, so a
     pair meets only the neighbours of its smaller end.
     """
+    if (small := packed.adjacency(graph)) is not None:
+        return packed.sums_of_pairs(small, pairs, max_degree).where("l3 > 0").select("u", "v", "l3")
     deg = graph.degrees.select("id", "k")
     own = pairs.select("u", "v").join(deg.select(F.col("id").alias("u"), F.col("k").alias("k_u")), "u").join(deg.select(F.col("id").alias("v"), F.col("k").alias("k_v")), "v")
     larger = F.col("k_u") >= F.col("k_v")
@@ -69,8 +75,17 @@ def l3(graph: Graph, pairs: DataFrame, max_degree: int | None = None) -> DataFra
     return own.join(ends, "b").join(walks, ["a", "y"]).groupBy("u", "v").agg(F.sum("w").alias("l3"))
 
 
+def path_sums(graph: Graph, pairs: DataFrame, max_degree: int | None = None) -> DataFrame:
+    """(u, v, cn, ra, aa, l3) of ``pairs``: both neighbour sums at once; nulls or zeros where there is nothing to sum."""
+    if (small := packed.adjacency(graph)) is not None:
+        return packed.sums_of_pairs(small, pairs, max_degree)
+    return common_neighbors(graph, pairs, max_degree).join(l3(graph, pairs, max_degree), ["u", "v"], "full_outer")
+
+
 def l3_of_edges(graph: Graph, edges: DataFrame) -> DataFrame:
     """(u, v, l3) of edges, without walks over the edge itself (x = v or y = u)."""
+    if (small := packed.adjacency(graph)) is not None:
+        return packed.sums_of_edges(small, edges).where("l3 > 0")
     deg = graph.degrees.select("id", "k")
     x = graph.adjacency.select(F.col("u"), F.col("v").alias("x")).join(deg.select(F.col("id").alias("x"), F.col("k").alias("kx")), "x")
     y = graph.adjacency.select(F.col("u").alias("v"), F.col("v").alias("y")).join(deg.select(F.col("id").alias("y"), F.col("k").alias("ky")), "y")
@@ -93,8 +108,11 @@ def all_l3(graph: Graph) -> DataFrame:
     Nodes are ranked by (degree, id). A pair is summed once, from its end of higher rank;
     walks that lead to no end of lower rank go before they are grouped (``low`` is the
     lowest rank next to a node, ``low2`` the lowest two steps away). Starts lie in lanes of
-    wide rows, which divides the rows of the last join and of its grouping.
+    wide rows, which divides the rows of the last join and of its grouping. A graph small
+    enough to be sent to tasks is summed there (:mod:`unpaired.operators.packed`).
     """
+    if (small := packed.adjacency(graph)) is not None:
+        return packed.all_path_sums(small, graph)
     nodes = graph.degrees.select("id", "k", F.struct("k", "id").alias("r"))
     edges = graph.adjacency.select(F.col("u").alias("id"), F.col("v").alias("to"))
     steps = edges.join(nodes.select(F.col("id").alias("to"), F.col("k").alias("k_to"), F.col("r").alias("r_to")), "to")
@@ -135,7 +153,7 @@ def with_two_m(graph: Graph, pairs: DataFrame) -> DataFrame:
 
 def calibration(graph: Graph, limit: int = CALIBRATION_EDGES, seed: int = 0) -> DataFrame:
     """One row (s3, sr): medians of the positive L3 and RA of sampled edges, 1.0 if none."""
-    sample = graph.edges.orderBy(hash52(seed, F.col("u"), F.col("v")), "u", "v").limit(limit)
+    sample = settle(graph.edges.orderBy(hash52(seed, F.col("u"), F.col("v")), "u", "v").limit(limit), "calibration")
     paths = l3_of_edges(graph, sample).where("l3 > 0").agg(F.coalesce(F.median("l3"), F.lit(1.0)).alias("s3"))
     shares = common_neighbors(graph, sample).where("ra > 0").agg(F.coalesce(F.median("ra"), F.lit(1.0)).alias("sr"))
     return paths.join(F.broadcast(shares))
@@ -149,7 +167,7 @@ def topology_score(graph: Graph, pairs: DataFrame, scales: DataFrame | None = No
     """
     scales = calibration(graph) if scales is None else scales
     own = with_two_m(graph, with_degrees(graph, pairs))
-    own = own.join(common_neighbors(graph, pairs, max_degree).drop("aa"), ["u", "v"], "left").join(l3(graph, pairs, max_degree), ["u", "v"], "left")
+    own = own.join(path_sums(graph, pairs, max_degree).drop("aa"), ["u", "v"], "left")
     own = own.na.fill(0, ["cn"]).na.fill(0.0, ["ra", "l3"]).join(F.broadcast(scales))
     abstains = (F.col("k_u") == 0) | (F.col("k_v") == 0)
     easy = (F.col("cn") == 0) & (F.col("l3") == 0)

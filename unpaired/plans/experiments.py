@@ -63,8 +63,7 @@ def injection(graph: Graph, hidden: DataFrame, max_pool: int | None, n: int, see
     pool = settle(frozen_pool(seen, max_pool, seed, settle(drawn.unionByName(hidden), "pool")), "scored")
     degrees = seen.degrees
     matched = seen.edges.join(degrees.select(F.col("id").alias("u"), F.col("k").alias("a")), "u").join(degrees.select(F.col("id").alias("v"), F.col("k").alias("b")), "v").select((F.col("a") + F.col("b")).alias("degsum"))
-    plain = arms(pool, seen.edges, n, seed)
-    chosen = {name: plain[name] for name in ("random_veto", "topology_hard", "topology_safe", "stacked")}
+    chosen = arms(pool, seen.edges, n, seed)
     chosen["counterfactual"] = selection.psm(pool, matched, n, float("inf"), seed)
     chosen |= {f"psm[{cap}]": selection.psm(pool, matched, n, cap, seed) for cap in caps}
     chosen = {name: settle(picks.select("u", "v"), "picks") for name, picks in chosen.items()}
