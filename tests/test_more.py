@@ -57,16 +57,15 @@ def test_draw_of_many_has_no_one_task_stage(spark):
     assert "TakeOrderedAndProject(limit=12000" not in plan
 
 
-@pytest.mark.parametrize("limit", [None, 6])
-def test_packed_sums_equal_joins(spark, monkeypatch, limit):
+def test_packed_sums_equal_joins(spark, monkeypatch):
     edges = random_edges(60, 200, 5) | {(0, i) for i in range(1, 40)} | {(70, 71), (71, 72), (72, 73)}
     pairs = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a in range(76) for b in range(a + 1, 76) if (a, b) not in edges], "u string, v string")
     rounded_rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.na.fill(0).collect())
 
     def results():
-        g = graph_of(spark, edges, 76)
-        out = [rounded_rows(topology.common_neighbors(g, pairs, limit)), rounded_rows(topology.l3(g, pairs, limit)), rounded_rows(topology.topology_score(g, pairs, max_degree=limit).drop("flags"))]
-        return [*out, rounded_rows(topology.all_l3(g)), rounded_rows(topology.l3_of_edges(g, g.edges)), rounded_rows(topology.calibration(g, 50))]
+        g = graph_of(spark, edges, 76).settled()
+        out = [f(g, pairs, limit) for limit in (None, 6) for f in (topology.common_neighbors, topology.l3)]
+        return [rounded_rows(x) for x in (*out, topology.all_l3(g), topology.l3_of_edges(g, g.edges))]
 
     small = results()
     monkeypatch.setattr(topology.packed, "PACKED_EDGES", 0)
