@@ -48,7 +48,7 @@ def test_smallest_and_first_equal_a_sort(spark, n, few, ranges):
 def test_draw_of_many_has_no_one_task_stage(spark):
     """A pool above the bound is cut by counts of key ranges; the same rows as a sort."""
     g = graph_of(spark, random_edges(300, 900, 1), 300).settled()
-    drawn = candidates._draw(g, 0, 4 * 12_000 + 1000)
+    drawn = candidates._draw(g, candidates._slots(g), 0, 4 * 12_000 + 1000)
     want = sorted((r["attempt"], r["u"], r["v"]) for r in drawn.collect())[:12_000]
     got = candidates.rejection_sample(g, 12_000)
     assert rows(got) == sorted((u, v) for _, u, v in want)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 
 from pyspark.sql import DataFrame
@@ -90,12 +91,14 @@ def rejection_sample(graph: Graph, n: int, seed: int = 0) -> DataFrame:
     """``n`` distinct admissible non-edges at most, drawn by hash.
 
     An attempt draws a type pair, then an address for each end; an address without a
-    node, a self-pair, an edge or a repeat is rejected. Attempts: 4 n + 1000, and up to
-    20 n + 1000 where those don't suffice; the first ``n`` that succeed are the same.
-    A warning tells if fewer than ``n`` were found.
+    node, a self-pair, an edge or a repeat is rejected. Attempts: as many as should give
+    ``n``, then 4 n + 1000, and 20 n + 1000 where those don't suffice; the first ``n`` that
+    succeed are the same. A warning tells if fewer than ``n`` were found.
     """
-    for attempts in (4 * n + 1000, 20 * n + 1000):
-        drawn = settle(_draw(graph, seed, attempts), "drawn")
+    slots = settle(_slots(graph), "slots")
+    most = 20 * n + 1000
+    for attempts in sorted({min(_attempts(graph, slots, n), most), 4 * n + 1000, most}):
+        drawn = settle(_draw(graph, slots, seed, attempts), "drawn")
         if (found := drawn.count()) >= n:
             break
     else:
@@ -103,9 +106,25 @@ def rejection_sample(graph: Graph, n: int, seed: int = 0) -> DataFrame:
     return settle(smallest(drawn, n, "attempt", attempts).select("u", "v"), "pool")
 
 
-def _draw(graph: Graph, seed: int, attempts: int) -> DataFrame:
+def _attempts(graph: Graph, slots: DataFrame, n: int) -> int:
+    """How many attempts should give ``n`` different non-edges, with a margin.
+
+    An attempt meets two nodes by the share of filled addresses, and then each admissible
+    pair alike; type pairs of different sizes make this an estimate.
+    """
+    filled = slots.groupBy("type").agg((F.count(F.lit(1)) / (F.max("buckets") * (F.max("slot") + 1))).alias("share"))
+    share = {r["type"]: r["share"] for r in filled.collect()}  # a handful of types
+    kinds = [p or ("*", "*") for p in graph.type_pairs()]
+    both = sum(share.get(a, 0.0) * share.get(b, 0.0) for a, b in kinds) / max(len(kinds), 1)
+    pairs = admissible_sizes(graph).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    free = pairs - graph.edges.count()
+    if both == 0 or free <= n:
+        return 20 * n + 1000
+    return int(1.02 * pairs / both * math.log(free / (free - n))) + 1000
+
+
+def _draw(graph: Graph, slots: DataFrame, seed: int, attempts: int) -> DataFrame:
     """(u, v, attempt): the non-edges that so many attempts give, each with its first attempt."""
-    slots = _slots(graph)
     sizes = slots.groupBy("type").agg(F.max("buckets").alias("buckets"), (F.max("slot") + 1).alias("depth"))
     kinds = [p or ("*", "*") for p in graph.type_pairs()]
     table = F.array(*[F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2")) for a, b in kinds])

@@ -319,15 +319,15 @@ def pair_operators(spark, sf_dir):
 @query("WITH" + COORDER + f""", {VECTORS},
 known AS (SELECT e.u, e.v, list_transform(range(1, len(a.vec) + 1), lambda i: a.vec[i] * b.vec[i]) AS rep FROM edges e JOIN vec a ON a.id = e.u JOIN vec b ON b.id = e.v),
 unit AS (SELECT u, v, list_transform(rep, lambda x: x / sqrt(list_sum(list_transform(rep, lambda y: y * y)))) AS rep FROM known),
-bg AS (SELECT * FROM unit ORDER BY {h("'0:' || u || ':' || v")}, u, v LIMIT 50),
-sims AS (SELECT q.u, q.v, list_sum(list_transform(range(1, len(q.rep) + 1), lambda i: q.rep[i] * bg.rep[i])) AS s, row_number() OVER (PARTITION BY q.u, q.v ORDER BY list_sum(list_transform(range(1, len(q.rep) + 1), lambda i: q.rep[i] * bg.rep[i])) DESC) AS r FROM unit q, bg)
-SELECT u, v, {r4("avg(s)")} AS resemblance FROM sims WHERE r <= 10 GROUP BY u, v""")
+bg AS MATERIALIZED (SELECT rep FROM unit ORDER BY {h("'0:' || u || ':' || v")}, u, v LIMIT {manifold.BACKGROUND}),
+sims AS (SELECT q.u, q.v, max(list_inner_product(q.rep, bg.rep), 10) AS s FROM unit q, bg GROUP BY q.u, q.v)
+SELECT u, v, {r4("list_avg(s)")} AS resemblance FROM sims""")
 def topk_mean_similarity(spark, sf_dir):
     import numpy as np
 
     vec = B.embedding_table(spark, sf_dir)
     reps = manifold.pair_vectors(B.coorder(spark, sf_dir).edges, vec).where("rep is not null")
-    rows = candidates.hash_sample(reps, 50).select("rep").collect()
+    rows = candidates.hash_sample(reps, manifold.BACKGROUND).select("rep").collect()  # a bounded sample
     base = np.array([r[0] for r in rows]) if rows else np.zeros((0, 1))
     return manifold.topk_mean_similarity(reps, base, 10).select("u", "v", rounded(F.col("resemblance")).alias("resemblance"))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -133,20 +133,26 @@ def embeddings(spark: SparkSession, path: str, key: str = "id", vector: str = "v
 def positive_sources(spark: SparkSession, manifest: str, restrict_to: DataFrame | None = None, modality: str | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Union of a manifest's sources: pairs (u, v, source), counts by source, missing names.
 
-    Disabled sources are left out.
+    Disabled sources are left out. Manifest and sources are read through Spark, so they may lie
+    on any file system it knows; paths are relative to the manifest's folder.
     """
     import yaml
 
-    folder = Path(manifest).parent
+    manifest = str(manifest)
+    text = spark.read.text(manifest, wholetext=True).collect()  # a short file
+    folder = manifest.rsplit("/", 1)[0] + "/" if "/" in manifest else ""
     out, missing = None, []
-    for entry in yaml.safe_load(Path(manifest).read_text()) or []:
+    for entry in yaml.safe_load(text[0][0] if text else "") or []:
         if not entry.get("enabled", True) or (modality and entry.get("modality", modality) != modality):
             continue
-        path = folder / entry["path"]
-        if not path.exists():
+        path = entry["path"] if entry["path"].startswith("/") or "://" in entry["path"] else folder + entry["path"]
+        try:
+            part = pair_list(spark, path, restrict_to).withColumn("source", F.lit(entry["name"]))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             missing.append(entry["name"])
             continue
-        part = pair_list(spark, str(path), restrict_to).withColumn("source", F.lit(entry["name"]))
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], "u string, v string, source string")
