@@ -72,6 +72,25 @@ def test_packed_sums_equal_joins(spark, monkeypatch):
     assert results() == small and all(small)
 
 
+@pytest.mark.parametrize("entries,steps,cells", [(150, 20, 100), (10**6, 7, 1)])
+def test_sums_in_blocks_equal_packed_sums(spark, monkeypatch, entries, steps, cells):
+    """A graph above the bound: no row for each pair and neighbour is made, whatever the blocks."""
+    edges = random_edges(60, 200, 5) | {(0, i) for i in range(1, 40)} | {(70, 71), (71, 72), (72, 73)}
+    listed = [(f"n{a:03}", f"n{b:03}") for a in range(76) for b in range(76) if a != b and (min(a, b), max(a, b)) not in edges]
+    pairs = spark.createDataFrame([*listed, *listed[:40]], "u string, v string")
+    some = lambda df: {(r["u"], r["v"]): tuple(round(r[c], 9) for c in ("cn", "ra", "aa", "l3")) for r in df.where("cn > 0 or l3 > 0").collect()}
+    want = [some(topology.path_sums(graph_of(spark, edges, 76).settled(), pairs, limit)) for limit in (None, 6)]
+    for name, value in (("ENTRIES", entries), ("STEPS", steps), ("CELLS", cells)):
+        monkeypatch.setattr(topology.blocked, name, value)
+    monkeypatch.setattr(topology.packed, "PACKED_EDGES", 0)
+    sums = [topology.path_sums(graph_of(spark, edges, 76).settled(), pairs, limit) for limit in (None, 6)]
+    assert [some(df) for df in sums] == want and all(want)
+    assert all(df.count() == len(some(df)) for df in sums)
+    empty = spark.createDataFrame([], "u string, v string")
+    assert topology.path_sums(graph_of(spark, edges, 76).settled(), empty).isEmpty()
+    assert topology.path_sums(Graph.from_edges(empty, spark.createDataFrame([("a", "p")], "id string, type string")), pairs).isEmpty()
+
+
 def test_shortest_paths_equal_breadth_first_search(spark):
     edges = {(i, i + 1) for i in range(12)} | {(20, 21), (20, 22), (3, 30), (30, 31)} | {(a + 40, b + 40) for a, b in random_edges(12, 20, 4)}
 
