@@ -125,6 +125,21 @@ def test_whole_complement_listed_and_scored(spark, monkeypatch):
     assert results() == small and all(small)
 
 
+def test_vectors_move_only_for_pairs_that_need_them(spark):
+    """Pairs are drawn and left out by ids; the vectors and scores are those of joining every pair with both."""
+    rng = np.random.default_rng(4)
+    vec = spark.createDataFrame([(f"n{i:03}", rng.normal(size=6).astype(np.float32).tolist()) for i in range(0, 40, 2)], "id string, vec array<float>")
+    g = graph_of(spark, random_edges(40, 300, 6), 40).settled()
+    want = candidates.hash_sample(manifold.pair_vectors(g.edges, vec).where("rep is not null"), 20)
+    got = manifold.sampled_vectors(g.edges, vec, 20)
+    assert rows(got.select("u", "v", "rep")) == rows(want.select("u", "v", "rep"))
+    assert rows(manifold.known_vectors(manifold.known_pairs(g.edges, vec), vec).select("u", "v", "rep")) == rows(manifold.pair_vectors(g.edges, vec).where("rep is not null").select("u", "v", "rep"))
+    pairs = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", a) for a in range(40) for b in range(a + 1, 40, 3)], "u string, v string, extra int")
+    scored = {(r["u"], r["v"]): r for r in manifold.manifold_score(g, pairs, vec).collect()}
+    assert len(scored) == pairs.count()
+    assert all((r["resemblance"] is None) == (int(u[1:]) % 2 + int(v[1:]) % 2 > 0) for (u, v), r in scored.items())
+
+
 def test_means_half_way_are_rounded_up_in_any_order(spark):
     """Means like 0.94485 come out as 0.9449, where sums of doubles may fall below."""
     rng = random.Random(8)
