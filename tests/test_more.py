@@ -462,3 +462,20 @@ def test_run_is_judged_on_and_survives_a_crash(spark, tmp_path):
     runs.judge_rest(spark, out, who, 2)
     assert runs.load(spark, out)[1].count() == 4
     assert len([x for x in folders(spark, out) if x.startswith("version=")]) == 2 and at.startswith(out)
+
+
+# --- pairs as numbers ---
+
+
+def test_pairs_of_a_large_graph_are_exchanged_as_numbers(spark, monkeypatch):
+    """Above the bound, no exchange of the scores of pairs carries ids, and no pair is joined with its sums; the scores stay the same."""
+    edges = random_edges(50, 160, 7)
+    pairs = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a in range(50) for b in range(50) if a != b and (min(a, b), max(a, b)) not in edges][:600] + [("n001", "none")], "u string, v string")
+    scores = lambda: topology.topology_score(graph_of(spark, edges, 52).settled(), pairs)
+    small = scores()
+    monkeypatch.setattr(topology.packed, "PACKED_EDGES", 0)
+    large = scores()
+    settled = lambda df: sorted(tuple(str(x) for x in r) for r in df.select("u", "v", "k_u", "k_v", "cn", "ra", "l3", "risk", "value", "bucket").collect())
+    assert settled(large) == settled(small)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(u#" not in plan and "SortMergeJoin" not in plan and "hashpartitioning(g#" in plan
