@@ -479,3 +479,18 @@ def test_pairs_of_a_large_graph_are_exchanged_as_numbers(spark, monkeypatch):
     assert settled(large) == settled(small)
     plan = large._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(u#" not in plan and "SortMergeJoin" not in plan and "hashpartitioning(g#" in plan
+
+
+def test_attempts_are_hashed_in_batches(spark):
+    """Many hashes at once are those of the column, and rules that ask for no neighbours read no edges."""
+    from unpaired.functions.hashing import hash52, hash52_of
+    from unpaired.operators import rules
+
+    numbers_ = np.array([0, 9, 10, 99, 100, 12_345, 10**9, 10**17, 10**18, *range(7, 4000, 37)])
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in numbers_.tolist()], "x long").select(hash52(3, "ub", F.col("x"))).collect()]
+    assert hash52_of("3:ub", numbers_).tolist() == want
+    g = graph_of(spark, random_edges(20, 40, 2), 20).settled()
+    whole, none = rules.annotate(g), rules.annotate(g, derived=())
+    assert none.columns == ["node"] and whole.columns == ["node", "neighbors", "degree", "graph_two_m"] and "/edges-" not in str(none.inputFiles())
+    count = g.edges.count()
+    assert all(len(r["neighbors"]) == r["degree"] and r["graph_two_m"] == 2 * count for r in whole.collect())
