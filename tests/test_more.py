@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from unpaired import queries
 from unpaired.graph import Graph
 from unpaired.operators import candidates, complement, diversity, filters, judge, manifold, metrics, ranking, selection, topology
+from unpaired.plans import bindings as B
 from unpaired.plans import experiments, panels, runs
 from unpaired.plans.pipeline import PipelineConfig, risky_coverage, run_pipeline
 from unpaired.sources import readers
@@ -163,6 +164,19 @@ def test_complement_of_a_large_graph_is_not_exchanged(spark, monkeypatch):
     assert few[0] == few[1] and len(few[0]) == 25
 
 
+def test_only_lines_of_embedded_parts_are_paired(spark, monkeypatch):
+    """The pairs with vectors are those of the whole graph, which isn't built for them; a few are dealt to several tasks."""
+    vec = B.embedding_table(spark, DATA).where("id like '%7'")
+    want = rows(manifold.known_pairs(B.coorder(spark, DATA).edges, vec))
+    whole = B.table
+    monkeypatch.setattr(B, "table", lambda s, d, name: whole(s, d, name).where("vec_id % 10 = 7") if name == "embeddings" else whole(s, d, name))
+    monkeypatch.setattr(B, "coorder", None)
+    got = B.embedded_pairs(spark, DATA)
+    assert rows(got) == want and want
+    assert manifold.dealt(got).rdd.getNumPartitions() == 4
+    assert queries.QUERIES["topk_mean_similarity"](spark, DATA).count() == len(want)
+
+
 def test_vectors_move_only_for_pairs_that_need_them(spark):
     """Pairs are drawn and left out by ids; the vectors and scores are those of joining every pair with both."""
     rng = np.random.default_rng(4)
