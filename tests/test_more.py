@@ -164,6 +164,27 @@ def test_complement_of_a_large_graph_is_not_exchanged(spark, monkeypatch):
     assert few[0] == few[1] and len(few[0]) == 25
 
 
+def test_complement_above_the_bounds_passes_cells(spark, monkeypatch):
+    """Above the bounds too no pair is exchanged: cells and chunks of any size give the rows of a graph that is sent, with and without sums and names."""
+    rng = random.Random(5)
+    kinds = [(f"p{i}", "part") for i in range(50)] + [(f"s{i}", "supplier") for i in range(13)]
+    edges = {(f"p{rng.randrange(44)}", f"s{rng.randrange(11)}") for _ in range(110)} | {tuple(sorted((f"p{a}", f"p{b}"))) for a, b in random_edges(44, 30, 8)}
+    admissible = [("part", "part"), ("part", "supplier"), ("part", "none")]
+    made = lambda: Graph.from_edges(spark.createDataFrame(sorted(edges), "u string, v string"), spark.createDataFrame(kinds, "id string, type string"), admissible).settled()
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(sorted(df.columns)).collect())
+    forms = ({"sums": True}, {}, {"sums": True, "names": False})
+    small = made()
+    want = [key(complement.pairs(small, **f)) for f in forms]
+    monkeypatch.setattr(complement, "EDGES", 0)
+    for sizes in ({}, {"ENTRIES": 9, "ENDS": 7, "PAIRS": 60, "BATCH": 4}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(complement.listing, name, size)
+        large = made()
+        assert [key(complement.pairs(large, **f)) for f in forms] == want
+        plan = complement.pairs(large, sums=True)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "HashJoin" not in plan
+
+
 def test_only_lines_of_embedded_parts_are_paired(spark, monkeypatch):
     """The pairs with vectors are those of the whole graph, which isn't built for them; a few are dealt to several tasks."""
     vec = B.embedding_table(spark, DATA).where("id like '%7'")
