@@ -185,6 +185,21 @@ def test_complement_above_the_bounds_passes_cells(spark, monkeypatch):
         assert "SortMergeJoin" not in plan and "HashJoin" not in plan
 
 
+def test_ranks_above_the_bounds_exchange_few_counts(spark, monkeypatch):
+    """The counts behind ranks come from a bounded number of tasks, however many list the pairs, with the same ranks."""
+    edges = random_edges(40, 90, 2)
+    made = lambda: Graph(graph_of(spark, edges, 45).nodes, graph_of(spark, edges, 45).edges, (("p", "p"),)).settled()
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("u", "v", "hardness_raw", "hardness").collect())
+    want = key(experiments.scored_complement(made()))
+    monkeypatch.setattr(complement, "EDGES", 0)
+    monkeypatch.setattr(complement.listing, "PAIRS", 90)
+    monkeypatch.setattr(experiments, "COUNTING", 3)
+    large = made()
+    assert key(experiments.scored_complement(large)) == want
+    assert complement.pairs(large, sums=True).rdd.getNumPartitions() > 3
+    assert "Coalesce 3" in experiments._counts(large, "hardness_raw")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_only_lines_of_embedded_parts_are_paired(spark, monkeypatch):
     """The pairs with vectors are those of the whole graph, which isn't built for them; a few are dealt to several tasks."""
     vec = B.embedding_table(spark, DATA).where("id like '%7'")
