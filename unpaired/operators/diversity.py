@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unpaired.functions.numeric import ratio, rounded
+from unpaired.operators import manifold
 from unpaired.tables import settle
 
 EPSILON = 1e-10
@@ -76,8 +80,8 @@ def diversity(chosen: DataFrame, vector: str = "rep", block: int = BLOCK) -> Dat
     """Mean and largest pairwise cosine, and distinct nodes.
 
     The mean comes from the sum of the unit vectors: its squared norm counts every pair
-    twice and every row once. The largest is found block against block, each pair of blocks
-    in a task of its own.
+    twice and every row once. The largest is found block against block in a cross join: a task has
+    some blocks of ``block`` rows and takes them past the others, so each vector is exchanged once.
     """
     unit = chosen.select("u", "v", F.col(vector).alias("_x"), F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)).alias("_n"))
     unit = settle(unit.select("u", "v", F.transform("_x", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)).alias("_x")), "unit")
@@ -85,21 +89,27 @@ def diversity(chosen: DataFrame, vector: str = "rep", block: int = BLOCK) -> Dat
     total = sums.agg(F.sum(F.col("s") * F.col("s") - F.col("own")).alias("_twice"))
     n = unit.count()
     mean = total.select(rounded(ratio(F.col("_twice"), F.lit(float(n) * (n - 1)))).alias("mean_cosine"))
-    blocks = -(-n // block) or 1
-    dealt = unit.withColumn("_b", F.pmod(F.xxhash64("u", "v"), F.lit(blocks)).cast("int"))
-    # every row goes to each pair of blocks that its own is in
-    pairs = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_p", F.least("_b", "_o")).withColumn("_q", F.greatest("_b", "_o"))
-
-    def largest(rows: pd.DataFrame) -> pd.DataFrame:
-        p, q = rows["_p"].iloc[0], rows["_q"].iloc[0]
-        a = np.stack(rows["_x"][rows["_b"] == p].to_numpy()) if (rows["_b"] == p).any() else np.zeros((0, 1))
-        if p == q:
-            sims = (a @ a.T)[np.triu_indices(len(a), 1)]
-        else:
-            other = rows["_x"][rows["_b"] == q]
-            sims = (a @ np.stack(other.to_numpy()).T).ravel() if len(a) and len(other) else np.zeros(0)
-        return pd.DataFrame({"c": [float(sims.max())] if len(sims) else []}, dtype=float)
-
-    top = pairs.groupBy("_p", "_q").applyInPandas(largest, "c double").agg(rounded(F.max("c")).alias("max_cosine"))
+    width = unit.agg(F.max(F.size("_x"))).first()[0] or 1
+    blocks = settle(manifold.packed_vectors(unit, 8 * width * block, "_x"), "blocks", maxRecordsPerFile=1)
+    a, b = (blocks.select(*[F.col(c).alias(f"{c}_{end}") for c in ("number", "width", "packed")]) for end in ("a", "b"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(2))
+    # every two blocks meet once, in the task of the one or the other by a hash, so that tasks have alike to do
+    mine = F.when(F.col("number_a") < F.col("number_b"), place("number_a") == place("number_b")).otherwise((F.col("number_a") == F.col("number_b")) | (place("number_a") != place("number_b")))
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = -np.inf
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column("number_a")[i] == batch.column("number_b")[i]
+                x, y = (manifold.unpacked(batch, i, f"packed_{end}", f"width_{end}") for end in "ab")
+                for at in range(0, len(x), manifold.AT_ONCE):
+                    sims = x[at : at + manifold.AT_ONCE] @ y.T
+                    if same:
+                        sims[np.arange(len(sims)), at + np.arange(len(sims))] = -np.inf
+                    most = max(most, float(sims.max()))
+        yield pa.RecordBatch.from_arrays([pa.array([most] if most > -np.inf else [], pa.float64())], ["c"])
+
+    met = a.coalesce(1).crossJoin(b.repartition(max(1, -(-n // block))).hint("shuffle_replicate_nl")).where(mine)
+    top = met.mapInArrow(largest, "c double").agg(rounded(F.max("c")).alias("max_cosine"))
     nodes = chosen.select(F.explode(F.array("u", "v")).alias("n")).agg(F.countDistinct("n").alias("nodes"))
     return mean.join(F.broadcast(top)).join(F.broadcast(nodes))  # one row each
