@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_more import graph_of, random_edges
+from tests.test_more import graph_of, random_edges, rows
 from unpaired import queries
-from unpaired.operators import manifold
+from unpaired.operators import blocked, candidates, filters, manifold, metrics, numbers, topology
 from unpaired.plans import bindings as B
+from unpaired.plans import experiments
+from unpaired.plans.pipeline import PipelineConfig, run_pipeline
 
 DATA = "/root/testdata/sf0.001"
 
@@ -78,3 +80,44 @@ def test_no_known_pairs(spark):
     one = spark.createDataFrame([("a", "b", [1.0, 0.0])], "u string, v string, rep array<double>")
     assert [tuple(r) for r in manifold.resemblance_to_all(one, none, 3).collect()] == [("a", "b", 0.0)]
     assert manifold.resemblance_to_all(one, one, 3, own=True).first()["resemblance"] is None
+
+
+def test_drawn_pairs_are_summed_as_numbers(spark, monkeypatch):
+    """Above the bound a drawn pool isn't named before its sums, which are the same, each pair the same way round; chunks hold few pairs."""
+    edges = random_edges(80, 300, 5)
+    made = lambda: graph_of(spark, edges, 80).settled()
+    g = made()
+    want = rows(topology.topology_score(g, candidates.rejection_sample(g, 400)))
+    monkeypatch.setattr(topology.packed, "PACKED_EDGES", 0)
+    for entries, pairs, fewest in ((150, 30, 10), (10**6, 50, 10)):
+        for name, value in (("ENTRIES", entries), ("PAIRS", pairs), ("FEWEST_PAIRS", fewest)):
+            monkeypatch.setattr(blocked, name, value)
+        g = made()
+        pool = candidates.rejection_sample(g, 400)
+        assert numbers.keys_of(g, pool) is not None
+        assert rows(topology.topology_score(g, pool)) == want
+    assert len(want) == 400
+
+
+def test_a_run_neither_vetoes_nor_joins_its_own_draw(spark, monkeypatch):
+    """The pool of a run has no edges, so only further positives are vetoed, and its scores come without a join of pairs; the records are the same."""
+    g = graph_of(spark, random_edges(90, 400, 3), 90).settled()
+    config = PipelineConfig(n_eval=30, n_train=30, max_pool=10**6, filters=("known_positive_veto", "structured", "topology"))
+    monkeypatch.setattr(topology.packed, "PACKED_EDGES", 0)
+    monkeypatch.setattr(filters, "known_pairs", None)
+    result = run_pipeline(g, config)
+    scored = {(r["u"], r["v"]): (r["stream_structured"], r["stream_topology"], r["degsum"]) for r in result.scored.collect()}
+    whole = experiments.frozen_pool(g, None, pairs=candidates.generate_candidates(g, None))
+    assert scored == {(r["u"], r["v"]): (r["stream_structured"], r["stream_topology"], r["degsum"]) for r in whole.collect()}
+    assert metrics.leakage(g, result.records).first()[0] == 0 and metrics.leakage(g, g.edges.limit(7)).first()[0] == 7
+    kept = next(iter(scored))
+    less = run_pipeline(g, config, context=filters.Context(g, known_positives=spark.createDataFrame([kept[::-1]], "u string, v string"))).scored
+    assert {(r["u"], r["v"]) for r in less.collect()} == scored.keys() - {kept}
+
+
+def test_degree_sums_of_edges(spark):
+    edges = random_edges(40, 90, 2)
+    g = graph_of(spark, edges, 45).settled()
+    k = {r["id"]: r["k"] for r in g.degrees.collect()}
+    want = sorted(k[r["u"]] + k[r["v"]] for r in g.edges.collect())
+    assert sorted(r[0] for r in topology.degree_sums(g).collect()) == want
