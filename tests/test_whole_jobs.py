@@ -1,12 +1,16 @@
 """Whole jobs: nothing is drawn, capped or kept where the result is of all pairs."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_more import graph_of, random_edges, rows
 from unpaired import queries
-from unpaired.operators import blocked, candidates, filters, manifold, metrics, numbers, topology
+from unpaired.functions.hashing import Endings
+from unpaired.graph import Graph
+from unpaired.operators import blocked, candidates, complement, filters, manifold, metrics, numbers, topology
 from unpaired.plans import bindings as B
 from unpaired.plans import experiments
 from unpaired.plans.pipeline import PipelineConfig, run_pipeline
@@ -121,3 +125,23 @@ def test_degree_sums_of_edges(spark):
     k = {r["id"]: r["k"] for r in g.degrees.collect()}
     want = sorted(k[r["u"]] + k[r["v"]] for r in g.edges.collect())
     assert sorted(r[0] for r in topology.degree_sums(g).collect()) == want
+
+
+def test_complement_hashed_in_tasks(spark, monkeypatch):
+    """The choice by hash is that of all listed non-edges, which don't leave the tasks; ids of all lengths are hashed as the column is."""
+    texts = [b"S" * k + str(k).encode() for k in range(1, 40)]
+    endings = Endings(texts)
+    for prefixes in ([b"7:P1:"], [b"7:P12:", b"7:P13:"], [b"0:P123:"], [b"12:P1234:", b"12:P9999:", b"12:Q9999:"]):
+        got = {(int(first + i // len(places)), int(places[i % len(places)])): int(h) for first, places, keys in endings.hashed(prefixes) for i, h in enumerate(keys)}
+        assert got == {(k, i): int(hashlib.md5(x + text).hexdigest()[:13], 16) for k, x in enumerate(prefixes) for i, text in enumerate(texts)}
+    edges = random_edges(60, 200, 5)
+    one = Graph(graph_of(spark, edges, 64).nodes, graph_of(spark, edges, 64).edges, (("p", "p"),)).settled()
+    for g in (B.supply(spark, DATA), one):
+        monkeypatch.setattr(complement, "HASHED", 300)
+        monkeypatch.setattr(complement, "ALIKE", 3)
+        for n, seed in ((25, 7), (10**6, 0)):
+            want = candidates.hash_sample(complement.pairs(g).select("u", "v"), n, seed)
+            assert rows(complement.first_by_hash(g, n, seed)) == rows(want)
+    monkeypatch.setattr(complement, "pairs", None)
+    assert queries.QUERIES["candidate_hash_sample"](spark, DATA).count() == 749
+    assert queries.QUERIES["hidden_positives"](spark, DATA).first()["n"] == 749
