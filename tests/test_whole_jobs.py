@@ -145,3 +145,20 @@ def test_complement_hashed_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(complement, "pairs", None)
     assert queries.QUERIES["candidate_hash_sample"](spark, DATA).count() == 749
     assert queries.QUERIES["hidden_positives"](spark, DATA).first()["n"] == 749
+
+
+def test_pairs_with_paths_are_listed_without_joins(spark, monkeypatch):
+    """Pairs and paths of a larger graph come out of tasks as they are, neither exchanged nor written; the paths are those of the joins."""
+    near = lambda df: {(r["u"], r["v"]): pytest.approx(r["l3"], abs=1e-9) for r in df.collect()}
+    edges = random_edges(60, 150, 5)
+    one = lambda: Graph(graph_of(spark, edges, 64).nodes, graph_of(spark, edges, 64).edges, (("p", "p"),)).settled()
+    monkeypatch.setattr(topology.packed, "PACKED_EDGES", 0)
+    for made in (lambda: B.supply(spark, DATA), one):
+        want = near(topology.all_l3(made()))
+        assert near(complement.paths(made())) == want and want
+        with monkeypatch.context() as m:
+            m.setattr(complement, "EDGES", 0)
+            assert near(complement.paths(made())) == want
+    for name in ("l3_score", "candidate_pairs"):
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "FileScan" not in plan
